@@ -226,8 +226,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids binary, bytes binary")
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode(encode(docs))``.
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode(encode(docs))``, and
+    the packed ids if asked for.
 
     Both steps run in one pass over a batch, so the ids need not leave the worker.
     """
@@ -236,14 +237,16 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         bpe = tokenizer(path, pattern)
         sha = hashlib.sha256
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, ids = [], [], [], []
             for t in b.column(1):
                 packed = bpe.encode(t.as_py() or "")
                 n.append(len(packed) // 4)
+                ids.append(packed if with_ids else None)
                 a.append(sha(packed).hexdigest())
                 d.append(sha(bpe.decode(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")
+    return out if with_ids else out.drop("ids")

@@ -121,6 +121,10 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
+
+
 def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,13 +177,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for J >= num / den.
+    """(doc_id, n_shingles, component_id, k) for J >= num / den; ``k`` is the hash of id
+    and text, which tells rows apart (row_key()).
 
     ``seed`` salts the classes' 64-bit hashes; two different sets with equal hashes
     (about one chance in a million for five million documents) stop the job.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    src = src.withColumns({"k": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), "raw": F.col("text").cast("binary")}).select("doc_id", "k", "raw")
+    src = src.withColumns({"k": row_key("doc_id", "text"), "raw": F.col("text").cast("binary")}).select("doc_id", "k", "raw")
     sketches = work_table(_sketches(src, n, num, den, seed), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n_shingles").alias("size"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
@@ -205,4 +210,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")
     out = sketches.drop("sigs").join(of_class, "h", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies, that with the least id, and all
+    documents without words; all columns."""
+    found = jaccard_components(docs, n, num, den, id_col, text_col)
+    grouped = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("k"))).alias("first"))
+    stay = grouped.select(F.col("first.k").alias("__k")).union(found.where("n_shingles = 0").select("k")).distinct()
+    kept = docs.withColumn("__k", row_key(id_col, text_col)).join(stay, "__k", "left_semi")
+    return kept.dropDuplicates(["__k"]).drop("__k")

@@ -163,10 +163,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"k1": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "k2": F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)), "raw": F.col(text_col).cast("string").cast("binary")})
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` holds the words that stay, as bytes
-    of UTF-8, joined by one blank."""
-    src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").select("doc_id", "k1", "k2", "raw")
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, rest): ``kept`` holds the words that stay, as
+    bytes of UTF-8, joined by one blank; ``rest`` the columns named in ``carry``."""
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")), "doc_id", "text").drop("text")
     spans = duplicate_spans(src, window, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +183,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 else:
                     gone.append(0)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), b.column(3)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
 
-    kind = src.schema["doc_id"].dataType.simpleString()
-    joined = src.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    kind, rest_kind = (src.schema[c].dataType.simpleString() for c in ("doc_id", "rest"))
+    joined = src.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "spans", "rest")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, rest {rest_kind}")
