@@ -12,10 +12,11 @@ which would be alike in all sets; a set with more empty segments than spare ones
 its empty ones too, so that no pair is lost.
 
 Equal sets form a class at once, and a class takes part once. Of the classes that share
-a signature, each is verified against the least one, on whole sets; then all those of one
-signature that are still in different components are verified against each other. So a
-group of n near copies costs n verifications and not n * n, and no link between
-components is lost. Frequent signatures are pre-aggregated; joins back are split by
+a signature, each is verified against the least one, its head, on whole sets. Classes
+with one head that are still in different components may be linked too: their
+differences from the head are joined by their first elements (_open_pairs), and what
+passes is verified on whole sets. So a group of n near copies costs n verifications and
+not n * n, and no link between components is lost. Frequent signatures are pre-aggregated; joins back are split by
 Spark where a key is frequent (AQE skew join).
 
 Edges: a null or blank text is the empty set, which links with nothing; a text of fewer
@@ -154,26 +155,70 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
     return src.mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, h long, h2 long, sigs array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole sets are similar."""
+def most_apart(total: int, num: int, den: int) -> int:
+    """The largest symmetric difference of two similar sets of ``total`` elements in all."""
+    return total - 2 * -(-num * total // (num + den))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Whole sets of each pair (a, b) of classes compared: (a, b, linked, size of b's
+    set, apart, first). ``apart`` is the size of D, the sets' symmetric difference;
+    ``first`` its first elements, those that b has and a has not before the others, as
+    many as a pair of b and any class similar to it might need to share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for b in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+            linked, size, apart, first = [], [], [], []
+            for x, y in zip(b.column(2), b.column(3)):
                 raw = x.as_py()
                 if raw != last:
                     last, left = raw, shingles(raw, n)
                 right = shingles(y.as_py(), n)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if den * both >= num * (len(left) + len(right) - both):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good, pa.int64())), b.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
+                new, gone = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
+                both = len(right) - len(new)
+                linked.append(den * both >= num * (len(left) + len(right) - both))
+                size.append(len(right))
+                apart.append(len(new) + len(gone))
+                enough = most_apart(len(right) + len(right) * den // num, num, den) + 1
+                first.append(np.concatenate((new, gone))[:enough].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(apart, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["a", "b", "linked", "size", "apart", "first"])
 
     half = pairs.join(texts.select(F.col("h").alias("b"), F.col("raw").alias("raw_b")), "b")
     whole = half.join(texts.select(F.col("h").alias("a"), F.col("raw").alias("raw_a")), "a")
-    return whole.select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long")
+    return whole.select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long, linked boolean, size int, apart int, first array<long>")
+
+
+def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may be similar among the classes compared with the same head, where
+    their components differ.
+
+    With D_b = b xor head, |D_b xor D_c| = |b xor c|, so a similar pair has
+    |D_b ^ D_c| >= need = (|D_b| + |D_c| - most) / 2. In one order of all elements they
+    share one of the first |D| - need + 1 of both; where the first shared stands bounds
+    how many can follow. Pairs with need < 1 are both similar to the head.
+    """
+    known = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    heads = known.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a")
+    members = known.join(heads, "a", "left_semi").select("a", "b", "label", "size", "apart", F.posexplode("first").alias("pos", "x"))
+    members = work_table(members, "family-elements")
+    side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos")])
+    total = "(s_size + l_size)"
+    most = f"({total} - 2 * cast(ceil({num} * {total} / {num + den}) as int))"
+    need = f"((s_apart + l_apart - {most} + 1) div 2)"
+    meets = [
+        "s_label <> l_label",
+        "s_apart < l_apart OR s_apart = l_apart AND s_b < l_b",
+        f"l_apart - s_apart <= {most}",
+        f"least(s_size, l_size) * {den} >= greatest(s_size, l_size) * {num}",
+        f"s_pos <= s_apart - {need} AND l_pos <= l_apart - {need}",
+        f"least(s_apart - s_pos, l_apart - l_pos) >= {need}",
+    ]
+    small, large = side("s"), side("l")
+    on = (small["a"] == large["a"]) & (small["x"] == large["x"])
+    for m in meets:
+        on = on & F.expr(f"({m})")
+    return small.join(large, on).select(F.least("s_b", "l_b").alias("a"), F.greatest("s_b", "l_b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -186,26 +231,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumns({"k": row_key("doc_id", "text"), "raw": F.col("text").cast("binary")}).select("doc_id", "k", "raw")
     sketches = work_table(_sketches(src, n, num, den, seed), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n_shingles").alias("size"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
+    classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
     rows = sketches.select("h", F.explode("sigs").alias("sig"))
     heads = rows.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("sig", "a")
-    near = work_table(rows.join(heads, "sig").select("sig", "a", F.col("h").alias("b")).distinct(), "candidates")
-    sized = lambda p: p.join(classes.select(F.col("h").alias("a"), F.col("size").alias("m")), "a").join(classes.select(F.col("h").alias("b"), F.col("size").alias("o")), "b").where(F.least("m", "o") * den >= F.greatest("m", "o") * num).select("a", "b")
-    pairs = work_table(sized(near.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).drop("shared")), "pairs")
-    involved = near.select(F.col("b").alias("h")).distinct().join(classes, "h").select("h", "k")
+    pairs = work_table(rows.join(heads, "sig").where("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
+    involved = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(classes, "h").select("h", "k")
     texts = work_table(src.join(involved, "k").select("h", "raw"), "texts")
-    links = work_table(_verified(pairs, texts, n, num, den).distinct(), "verified")
+    compared = work_table(_compared(pairs, texts, n, num, den), "compared")
+    links = compared.where("linked").select("a", "b")
     labels = components(links)
-    # classes that share a signature and are not yet known to be connected
-    known = near.join(labels.withColumnRenamed("node", "b"), "b", "left").select("sig", "b", F.coalesce("label", "b").alias("label"))
-    open_ = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    left = work_table(known.join(open_, "sig", "left_semi").distinct(), "open")
-    other = left.select("sig", F.col("b").alias("c"), F.col("label").alias("other"))
-    cross = left.join(other, "sig").where("label < other").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    cross = work_table(sized(cross).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    more = work_table(_verified(cross, texts, n, num, den).distinct(), "verified")
-    labels = components(links.unionByName(more))
+    more = work_table(_compared(_open_pairs(compared, labels, num, den), texts, n, num, den).where("linked").select("a", "b"), "more-links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")
