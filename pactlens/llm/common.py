@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of the deduplication operators: runs of anything but ASCII white space.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -37,12 +39,22 @@ def work_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, so a result used
-    twice is computed once and a lost executor costs one re-read.
+    twice is computed once and a lost executor costs one re-read. The shuffle files
+    behind it are freed when it is written.
     """
-    path = new_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_dir(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_work_table(df: DataFrame) -> None:

@@ -235,6 +235,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
     rows = sketches.select("h", F.explode("sigs").alias("sig"))
     heads = rows.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("sig", "a")
+    heads = work_table(heads, "heads")
     pairs = work_table(rows.join(heads, "sig").where("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(classes, "h").select("h", "k")
     texts = work_table(src.join(involved, "k").select("h", "raw"), "texts")

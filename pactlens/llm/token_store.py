@@ -85,7 +85,8 @@ def word_ids(path: str, kind: str) -> WordIds:
 
 def key_hash(keys: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """64 bits for (key, null?, how many equal keys came before)."""
-    return mix(mix(keys.astype(np.uint64)) + mix(nth.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64)))
+    which = nth.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64)
+    return mix(mix(keys.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + mix(~which))
 
 
 def _bit(h: np.ndarray, level: int, size: int) -> np.ndarray:
