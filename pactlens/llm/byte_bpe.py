@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Texts longer than this (in characters) are split into pieces by parts.
 PART = 1 << 20
 
@@ -246,6 +248,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
                 d.append(sha(bpe.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     out = src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")

@@ -57,6 +57,14 @@ def work_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Python workers get at most so many rows at once: with whole texts in them,
+    the usual ten thousand would take hundreds of MB of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def drop_work_table(df: DataFrame) -> None:
     """Delete the files of a work table that nothing will read any more."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling
+from .common import mix, rolling, small_batches
 
 WINDOW, LITERAL, SHORTEST, COVERAGE = 8, 5, 5, 0.5
 BITS = 24
@@ -159,6 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
         bitmap[r.word] = r.bits
     bitmap = bitmap.astype("<u4").view(np.uint8)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     ours = _rows(src, window, literal, shortest, lengths, bitmap)
     theirs = items.select("w", "length", F.col("id").alias("item_id"), "total", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))

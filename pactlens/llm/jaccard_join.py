@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, rolling, work_table
+from .common import WordHashes, drop_work_table, mix, rolling, small_batches, work_table
 from .components import components
 
 _hashes = WordHashes()
@@ -228,6 +228,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     ``seed`` salts the classes' 64-bit hashes; two different sets with equal hashes
     (about one chance in a million for five million documents) stop the job.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumns({"k": row_key("doc_id", "text"), "raw": F.col("text").cast("binary")}).select("doc_id", "k", "raw")
     sketches = work_table(_sketches(src, n, num, den, seed), "sketches")
@@ -248,7 +249,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")
-    out = sketches.drop("sigs").join(of_class, "h", "left")
+    of_class = work_table(of_class, "class-components")
+    rows_of = work_table(sketches.drop("sigs"), "documents")
+    for table in (sketches, classes, heads, pairs, texts, compared, more):
+        drop_work_table(table)
+    out = rows_of.join(of_class, "h", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
 
 

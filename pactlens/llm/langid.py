@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 UNKNOWN = "und"
 
 
@@ -215,6 +217,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
                 lang, score = label(part.column(part.num_columns - 1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names[:-1], lang_as, score_as])
 
+    small_batches(docs.sparkSession)
     src = docs.drop(*[c for c in (lang_as, score_as) if c != text_col])
     schema = T.StructType([*src.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     return src.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(go, schema)

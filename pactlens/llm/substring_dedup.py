@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, rolling, work_table
+from .common import WordHashes, drop_work_table, mix, rolling, small_batches, work_table
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -146,7 +146,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     windows = work_table(windows, "border-windows")
     again = windows.groupBy("w", "g").agg(F.sum("copies").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("w", "g")
     found = windows.where("copies = 1").join(again, ["w", "g"]).select("k1", "k2", (F.shiftleft(F.col("lo").cast("long"), 31) + F.col("lo")).alias("span"))
-    return whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    spans = work_table(whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    for table in (blocks, index, windows):
+        drop_work_table(table)
+    return spans
 
 
 def covered(n_words: int, spans: np.ndarray, window: int) -> np.ndarray:
@@ -166,6 +169,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, rest): ``kept`` holds the words that stay, as
     bytes of UTF-8, joined by one blank; ``rest`` the columns named in ``carry``."""
+    small_batches(docs.sparkSession)
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")), "doc_id", "text").drop("text")
     spans = duplicate_spans(src, window, anchor)
