@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, drop_work_table, mix, rolling, small_batches, work_table
@@ -155,53 +155,60 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
     return src.mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, h long, h2 long, sigs array<long>")
 
 
-def most_apart(total: int, num: int, den: int) -> int:
-    """The largest symmetric difference of two similar sets of ``total`` elements in all."""
-    return total - 2 * -(-num * total // (num + den))
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Whole sets of each pair (a, b) of classes compared: (a, b, linked, size of b's
-    set, apart, first). ``apart`` is the size of D, the sets' symmetric difference;
-    ``first`` its first elements, those that b has and a has not before the others, as
-    many as a pair of b and any class similar to it might need to share one of them."""
+    set, differ: the elements that just one of the two sets has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for b in batches:
-            linked, size, apart, first = [], [], [], []
+            linked, size, differ = [], [], []
             for x, y in zip(b.column(2), b.column(3)):
                 raw = x.as_py()
                 if raw != last:
                     last, left = raw, shingles(raw, n)
                 right = shingles(y.as_py(), n)
-                new, gone = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
-                both = len(right) - len(new)
-                linked.append(den * both >= num * (len(left) + len(right) - both))
+                apart = np.setxor1d(left, right, assume_unique=True)
+                both = (len(left) + len(right) - len(apart)) // 2
+                linked.append(den * both >= num * (both + len(apart)))
                 size.append(len(right))
-                apart.append(len(new) + len(gone))
-                enough = most_apart(len(right) + len(right) * den // num, num, den) + 1
-                first.append(np.concatenate((new, gone))[:enough].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(apart, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["a", "b", "linked", "size", "apart", "first"])
+                differ.append(apart.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "linked", "size", "differ"])
 
     half = pairs.join(texts.select(F.col("h").alias("b"), F.col("raw").alias("raw_b")), "b")
     whole = half.join(texts.select(F.col("h").alias("a"), F.col("raw").alias("raw_a")), "a")
-    return whole.select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long, linked boolean, size int, apart int, first array<long>")
+    return whole.select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long, linked boolean, size int, differ array<long>")
 
 
-def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(compared: DataFrame, pairs: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that may be similar among the classes compared with the same head, where
-    their components differ.
+    their components differ. Who meets nobody but the head by any signature stays out:
+    all of its pairs are compared.
 
     With D_b = b xor head, |D_b xor D_c| = |b xor c|, so a similar pair has
     |D_b ^ D_c| >= need = (|D_b| + |D_c| - most) / 2. In one order of all elements they
     share one of the first |D| - need + 1 of both; where the first shared stands bounds
-    how many can follow. Pairs with need < 1 are both similar to the head.
+    how many can follow. The order is by how many members have the element, rarest
+    first: what the head alone has of its own stands in every D and so comes last. No
+    more than the first most + 1 can be needed, and one that no other member has meets
+    none. Pairs with need < 1 are both similar to the head.
     """
-    known = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    crowd = pairs.where("among_more").select("a", "b")
+    known = compared.join(crowd, ["a", "b"], "left_semi").join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     heads = known.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a")
-    members = known.join(heads, "a", "left_semi").select("a", "b", "label", "size", "apart", F.posexplode("first").alias("pos", "x"))
-    members = work_table(members, "family-elements")
+    known = known.join(heads, "a", "left_semi").withColumn("apart", F.size("differ"))
+    members = work_table(known.select("a", "b", "label", "size", "apart"), "family-members")
+    elements = known.select("a", "b", F.explode("differ").alias("x"))
+    shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "family-shared")
+    met = work_table(elements.join(shared, ["a", "x"]), "family-met")
+    rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("x"))
+    reach = f"size + cast(floor(size * {den} / {num}) as int)"
+    ranked = met.withColumn("back", F.row_number().over(rarest)).join(members, ["a", "b"]).withColumn("pos", F.expr("apart - back"))
+    ranked = ranked.where(f"pos <= {reach} - 2 * cast(ceil({num} * ({reach}) / {num + den}) as int)")
+    ranked = work_table(ranked.drop("often", "back"), "family-prefixes")
+    for table in (members, shared, met):
+        drop_work_table(table)
+    members = ranked
     side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos")])
     total = "(s_size + l_size)"
     most = f"({total} - 2 * cast(ceil({num} * {total} / {num + den}) as int))"
@@ -235,23 +242,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
     rows = sketches.select("h", F.explode("sigs").alias("sig"))
-    heads = rows.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("sig", "a")
+    heads = rows.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("sig", "a", "m")
     heads = work_table(heads, "heads")
-    pairs = work_table(rows.join(heads, "sig").where("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
+    pairs = work_table(rows.join(heads, "sig").where("a <> h").groupBy("a", F.col("h").alias("b")).agg((F.max("m") > 2).alias("among_more")), "pairs")
+    rows_of = work_table(sketches.drop("sigs"), "documents")
+    for table in (sketches, heads):
+        drop_work_table(table)
     involved = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(classes, "h").select("h", "k")
     texts = work_table(src.join(involved, "k").select("h", "raw"), "texts")
     compared = work_table(_compared(pairs, texts, n, num, den), "compared")
     links = compared.where("linked").select("a", "b")
     labels = components(links)
-    more = work_table(_compared(_open_pairs(compared, labels, num, den), texts, n, num, den).where("linked").select("a", "b"), "more-links")
+    more = work_table(_compared(_open_pairs(compared, pairs, labels, num, den), texts, n, num, den).where("linked").select("a", "b"), "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")
     of_class = work_table(of_class, "class-components")
-    rows_of = work_table(sketches.drop("sigs"), "documents")
-    for table in (sketches, classes, heads, pairs, texts, compared, more):
+    for table in (classes, pairs, texts, compared, more):
         drop_work_table(table)
     out = rows_of.join(of_class, "h", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
