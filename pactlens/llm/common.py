@@ -57,7 +57,7 @@ def work_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Let Python workers get at most so many rows at once: with whole texts in them,
     the usual ten thousand would take hundreds of MB of a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -100,7 +100,7 @@ class WordHashes(dict):
     ``limit`` bounds the memory; beyond it the memo starts anew.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
