@@ -228,6 +228,13 @@ def _open_pairs(compared: DataFrame, pairs: DataFrame, labels: DataFrame, num: i
     return small.join(large, on).select(F.least("s_b", "l_b").alias("a"), F.greatest("s_b", "l_b").alias("b")).distinct()
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between classes as links between their components so far."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    both = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return both.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, k) for J >= num / den; ``k`` is the hash of id
     and text, which tells rows apart (row_key()).
@@ -255,7 +262,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     labels = components(links)
     more = work_table(_compared(_open_pairs(compared, pairs, labels, num, den), texts, n, num, den).where("linked").select("a", "b"), "more-links")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        joined = components(_between(more, labels)).select(F.col("node").alias("label"), F.col("label").alias("further"))
+        ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        known = labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+        labels = known.join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
     named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")

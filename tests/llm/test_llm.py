@@ -247,3 +247,19 @@ def test_pipeline_stages(spark, tmp_path):
     want[63], want[64] = " ".join(texts[63].split()[:40]), " ".join(texts[64].split()[60:])
     for i, r in out.items():
         assert r.decoded_sha256 == hashlib.sha256(want[i].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
+def test_components(spark, shape):
+    from pactlens.llm.components import components
+
+    rng = random.Random(3)
+    nodes = [rng.getrandbits(60) - (1 << 59) for _ in range(60)]
+    links = {"chain": list(zip(nodes, nodes[1:])), "star": [(nodes[7], x) for x in nodes], "random": [(rng.choice(nodes), rng.choice(nodes)) for _ in range(45)], "none": []}[shape]
+    group = {x: x for ab in links if ab[0] != ab[1] for x in ab}
+    for _ in group:
+        for a, b in links:
+            if a != b:
+                group[a] = group[b] = min(group[a], group[b])
+    got = components(spark.createDataFrame(links + links[:3], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(group.items())
