@@ -42,6 +42,8 @@ _hashes = WordHashes()
 C1, C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Shingles that a segment should hold on average: fewer are shared by chance too often.
 LEAST_SEGMENT = 3
+#: Elements and heads that a row carries, so that pairs which share several are told apart.
+FIRSTS = 16
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -192,24 +194,36 @@ def _open_pairs(compared: DataFrame, pairs: DataFrame, labels: DataFrame, num: i
     first: what the head alone has of its own stands in every D and so comes last. No
     more than the first most + 1 can be needed, and one that no other member has meets
     none. Pairs with need < 1 are both similar to the head.
+
+    A similar pair is found by each head of both and by the element shared first, if by
+    any; so it comes from the least such head and that element alone, as far as they are
+    among the FIRSTS that a row carries. Beyond those it comes more than once, hence the
+    distinct.
     """
     crowd = pairs.where("among_more").select("a", "b")
     known = compared.join(crowd, ["a", "b"], "left_semi").join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     heads = known.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a")
     known = known.join(heads, "a", "left_semi").withColumn("apart", F.size("differ"))
-    members = work_table(known.select("a", "b", "label", "size", "apart"), "family-members")
+    heads_of = known.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, FIRSTS).alias("heads"))
+    lesser = F.filter("heads", lambda h: h < F.col("a")).alias("lesser")
+    members = work_table(known.join(heads_of, "b").select("a", "b", "label", "size", "apart", lesser), "family-members")
     elements = known.select("a", "b", F.explode("differ").alias("x"))
     shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "family-shared")
     met = work_table(elements.join(shared, ["a", "x"]), "family-met")
     rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("x"))
     reach = f"size + cast(floor(size * {den} / {num}) as int)"
-    ranked = met.withColumn("back", F.row_number().over(rarest)).join(members, ["a", "b"]).withColumn("pos", F.expr("apart - back"))
+    whole = Window.partitionBy("a", "b")
+    ranked = met.withColumn("back", F.row_number().over(rarest)).withColumn("have", F.count(F.lit(1)).over(whole))
+    firsts = F.collect_list(F.when(F.col("have") - F.col("back") < FIRSTS, F.struct("often", "x"))).over(whole)
+    earlier = F.filter(F.col("firsts"), lambda e: e < F.struct("often", "x"))
+    ranked = ranked.withColumn("firsts", firsts).withColumn("earlier", F.transform(earlier, lambda e: e["x"]))
+    ranked = ranked.join(members, ["a", "b"]).withColumn("pos", F.expr("apart - back"))
     ranked = ranked.where(f"pos <= {reach} - 2 * cast(ceil({num} * ({reach}) / {num + den}) as int)")
-    ranked = work_table(ranked.drop("often", "back"), "family-prefixes")
+    ranked = work_table(ranked.drop("often", "back", "have", "firsts"), "family-prefixes")
     for table in (members, shared, met):
         drop_work_table(table)
     members = ranked
-    side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos")])
+    side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos", "earlier", "lesser")])
     total = "(s_size + l_size)"
     most = f"({total} - 2 * cast(ceil({num} * {total} / {num + den}) as int))"
     need = f"((s_apart + l_apart - {most} + 1) div 2)"
@@ -220,6 +234,7 @@ def _open_pairs(compared: DataFrame, pairs: DataFrame, labels: DataFrame, num: i
         f"least(s_size, l_size) * {den} >= greatest(s_size, l_size) * {num}",
         f"s_pos <= s_apart - {need} AND l_pos <= l_apart - {need}",
         f"least(s_apart - s_pos, l_apart - l_pos) >= {need}",
+        "NOT arrays_overlap(s_earlier, l_earlier) AND NOT arrays_overlap(s_lesser, l_lesser)",
     ]
     small, large = side("s"), side("l")
     on = (small["a"] == large["a"]) & (small["x"] == large["x"])
