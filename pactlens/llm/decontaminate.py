@@ -11,14 +11,18 @@ whose numbers, names or units were changed are caught as well as verbatim ones.
 
 A window needs ``literal`` words that are no placeholders, so tables of numbers or lists
 of names match nothing. Items of fewer than ``window`` tokens are windows of their own
-length, down to ``shortest``; shorter ones are too general to look for.
+length, down to ``shortest``. An item without any such window (too short, or with too few
+words) is looked for as a whole, at any length: a run of the document must equal its whole
+template, with consistent slots; where the template has no word at all, with equal slots.
+A whole item has two templates: the usual one, and one that keeps capitalised words as
+words, so that a copy is found where no sentence starts as well.
 
 Scale: documents' windows are first tested against a bitmap of the benchmark's hashes of
 fixed size (2 MB, whatever the benchmark's size), inside the task that reads the text;
 only survivors are shuffled to the hash join, whose frequent keys Spark splits (AQE skew
 join). Slot values travel with survivors only.
 
-Edges: null and empty texts have no windows; repeated rows and repeated items are
+Edges: null and empty texts, and items of punctuation alone, have no windows; repeated rows and repeated items are
 reported each by their ids; an empty benchmark contaminates nothing.
 """
 
@@ -45,6 +49,8 @@ UNITS = frozenset(
     "dollar dollars cent cents euro euros usd eur gbp mph kmh".split()
 )
 LITERAL_KIND, BREAK, NUMBER, UNIT, CAPITAL, EMPTY = range(6)
+#: Kinds of keys: windows, whole items, whole items whose capitalised words are words.
+WINDOWS, WHOLE, WHOLE_WORDS = range(3)
 PLACEHOLDER = {NUMBER: 0x6E756D, UNIT: 0x756E6974, CAPITAL: 0x6E616D65}
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:[a-zµ%°]{0,4})?", re.I)
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w%]+$")
@@ -78,15 +84,16 @@ class Tokens(dict):
 _tokens = Tokens()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash, kind, raw token) of each template token."""
+def template(text: str, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash, kind, raw token) of each template token; without ``names`` capitalised
+    words are words."""
     raw = text.replace("\n", " \n ").split(" ") if text else []
     raw = [x for x in raw if x]
     if not raw:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     h, kind, ends = (np.array(x, t) for x, t in zip(zip(*map(_tokens.__getitem__, raw)), (np.uint64, np.int64, bool)))
     starts = np.concatenate(([True], ends[:-1]))
-    kind[(kind == CAPITAL) & starts] = LITERAL_KIND
+    kind[(kind == CAPITAL) & (starts | (not names))] = LITERAL_KIND
     after_number = np.concatenate(([False], kind[:-1] == NUMBER))
     kind[(kind == UNIT) & ~after_number] = LITERAL_KIND
     again = np.concatenate(([False], (kind[1:] == CAPITAL) & (kind[:-1] == CAPITAL)))
@@ -113,35 +120,60 @@ def _slots(kind: np.ndarray, raw: list[str], start: int, n: int) -> list[str]:
     return [f"{i - start}:{kind[i]}:{_EDGE.sub('', raw[i]).lower()}" for i in range(start, start + n) if kind[i] != LITERAL_KIND]
 
 
-ROW = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("length", pa.int32()), ("total", pa.int32()), ("pos", pa.int32()), ("w", pa.int64()), ("slots", pa.list_(pa.string()))])
+def _wholes(text: str) -> list[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
+    """(form, length, hash, kind, raw token) of both templates of a whole item."""
+    both = [(form, *template(text, form == WHOLE)) for form in (WHOLE, WHOLE_WORDS)]
+    return [(form, len(h), h, kind, raw) for form, h, kind, raw in both if len(h)]
 
 
-def _rows(src: DataFrame, window: int, literal: int, shortest: int, lengths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
+ROW = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("form", pa.int32()), ("length", pa.int32()), ("total", pa.int32()), ("pos", pa.int32()), ("w", pa.int64()), ("strict", pa.bool_()), ("slots", pa.list_(pa.string()))])
+
+
+def _rows(src: DataFrame, window: int, literal: int, shortest: int, lengths: dict[int, list[int]] | None, bitmap: np.ndarray | None) -> DataFrame:
     """The windows of texts: of items (``lengths`` None) those of their own length, of
-    documents all lengths asked for, if the bitmap has them."""
+    documents all lengths asked for of each form, if the bitmap has them. ``strict``: an
+    item's window without words."""
+
+    def of_item(text: str) -> Iterator[tuple]:
+        h, kind, raw = template(text)
+        found = windows(h, kind, [min(window, len(h))] if len(h) >= shortest else [], literal)
+        if any(len(starts) for _, starts, _ in found):
+            yield from ((WINDOWS, n, starts, w, kind, raw) for n, starts, w in found)
+            return
+        for form, n, h, kind, raw in _wholes(text):
+            yield form, n, np.zeros(1, np.int64), mix(rolling(h, n) + np.uint64(n)), kind, raw
+
+    def of_document(text: str) -> Iterator[tuple]:
+        for form, own in lengths.items():
+            h, kind, raw = template(text, form != WHOLE_WORDS)
+            yield from ((form, n, starts, w, kind, raw) for n, starts, w in windows(h, kind, own, literal if form == WINDOWS else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[] for _ in ROW]
             for key, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                h, kind, raw = template(text.as_py() or "")
-                own = lengths if lengths is not None else [min(window, len(h))] if len(h) >= shortest else []
-                found = windows(h, kind, own, literal)
-                for n, starts, w in found:
+                text = text.as_py() or ""
+                for form, n, starts, w, kind, raw in of_item(text) if lengths is None else of_document(text):
                     total = len(starts)
                     if bitmap is not None:
                         bit = w >> np.uint64(64 - BITS)
                         hit = bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
                         starts, w = starts[hit], w[hit]
+                    met = set()
                     for at, x in zip(starts.tolist(), w.view(np.int64).tolist()):
-                        for col, v in zip(cols, (key, k, n, total, at, x, _slots(kind, raw, at, n))):
+                        slots = _slots(kind, raw, at, n)
+                        if form != WINDOWS:  # a whole item's copies with equal slots count once
+                            if (x, *slots) in met:
+                                continue
+                            met.add((x, *slots))
+                        for col, v in zip(cols, (key, k, form, n, total, at, x, LITERAL_KIND not in kind[at : at + n], slots)):
                             col.append(v)
                 if len(cols[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW)], schema=ROW)
                     cols = [[] for _ in ROW]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW)], schema=ROW)
 
-    return src.mapInArrow(run, "id long, k long, length int, total int, pos int, w long, slots array<string>")
+    return src.mapInArrow(run, "id long, k long, form int, length int, total int, pos int, w long, strict boolean, slots array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, shortest: int = SHORTEST, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -158,16 +190,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     for r in held:
         bitmap[r.word] = r.bits
     bitmap = bitmap.astype("<u4").view(np.uint8)
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    lengths: dict[int, list[int]] = {}
+    for form, n in sorted(map(tuple, items.select("form", "length").distinct().collect())):
+        lengths.setdefault(form, []).append(n)
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     ours = _rows(src, window, literal, shortest, lengths, bitmap)
-    theirs = items.select("w", "length", F.col("id").alias("item_id"), "total", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = ours.drop("total").join(theirs, ["w", "length"])
+    theirs = items.select("w", "form", "length", F.col("id").alias("item_id"), "total", "strict", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    met = ours.drop("total", "strict").join(theirs, ["w", "form", "length"])
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.regexp_replace(a, "^[0-9]+:", "").alias("item"), F.regexp_replace(b, "^[0-9]+:", "").alias("ours")))
-    aligned = met.withColumn("pairs", pair).groupBy("id", "k", "item_id", "total", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    aligned = met.withColumn("pairs", pair).groupBy("id", "k", "item_id", "form", "strict", "total", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    good = aligned.where(consistent).groupBy("id", "k", "item_id", "total").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min(F.forall("pairs", lambda p: p["item"] == p["ours"])).alias("verbatim"))
+    equal = F.forall("pairs", lambda p: p["item"] == p["ours"])
+    good = aligned.where(consistent & (equal | (F.col("form") == WINDOWS) | ~F.col("strict"))).groupBy("id", "k", "item_id", "total").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min(equal).alias("verbatim"))
     share = F.size("places") / F.col("total")
     return good.withColumn("coverage", share).where(F.col("coverage") >= coverage).select(F.col("id").alias("doc_id"), "k", "item_id", "coverage", "verbatim")
 

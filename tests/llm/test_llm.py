@@ -159,6 +159,14 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, b.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_items_with_few_words(spark):
+    items = ["Compute 12 + 7 - 3 + 9", "What is 15 % of 240?", "Solve 3 x + 5 = 20 for x", "Convert 60 miles to km", "If 3 + 4 = 7 and 5 + 6 = 11 what is 7 + 8?", "Name Boyle's law", "17 23 5", "Who wrote Emma?", "!?"]
+    texts = [f"some words before {t} and some after" for t in items] + ["Now. What is 20 % of 300? Yes", "Solve 4 x + 6 = 20 for x", "please convert 75 km to km", "If 3 + 4 = 7 and 5 + 6 = 11 what is 3 + 8?", "18 24 6", None]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.verbatim) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect()}
+    assert got == {(i, i): (1.0, True) for i in range(8)} | {(9, 1): (1.0, False), (10, 2): (1.0, False), (11, 3): (1.0, False)}
+
+
 def test_language(spark):
     d = entries.table(spark, "/root/testdata/sf0.01", "documents")
     out = entries.language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
