@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers turn into <num>, units after a number into <unit>, runs
+Texts are split at all white space, as Unicode has it, and line breaks end sentences.
+They become templates: numbers turn into <num>, units after a number into <unit>, runs
 of capitalised words inside a sentence into one <name>, other words are lower-cased and
 stripped of outer punctuation. Every window of ``window`` template tokens is a key; a
 document's windows are hash-joined to the benchmark's. Windows on one diagonal (document
@@ -53,6 +54,8 @@ LITERAL_KIND, BREAK, NUMBER, UNIT, CAPITAL, EMPTY = range(6)
 WINDOWS, WHOLE, WHOLE_WORDS = range(3)
 PLACEHOLDER = {NUMBER: 0x6E756D, UNIT: 0x756E6974, CAPITAL: 0x6E616D65}
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:[a-zµ%°]{0,4})?", re.I)
+#: Line breaks; any other white space only parts words.
+LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w%]+$")
 
 
@@ -87,14 +90,19 @@ _tokens = Tokens()
 def template(text: str, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash, kind, raw token) of each template token; without ``names`` capitalised
     words are words."""
-    raw = text.replace("\n", " \n ").split(" ") if text else []
-    raw = [x for x in raw if x]
+    raw = []
+    for line in LINE_END.split(text):
+        raw += line.split()
+        raw.append("\n")
+    raw.pop()
     if not raw:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     h, kind, ends = (np.array(x, t) for x, t in zip(zip(*map(_tokens.__getitem__, raw)), (np.uint64, np.int64, bool)))
     starts = np.concatenate(([True], ends[:-1]))
     kind[(kind == CAPITAL) & (starts | (not names))] = LITERAL_KIND
-    after_number = np.concatenate(([False], kind[:-1] == NUMBER))
+    solid = np.flatnonzero(kind != BREAK)  # a line may end between a number and its unit
+    after_number = np.zeros(len(kind), bool)
+    after_number[solid[1:]] = kind[solid[:-1]] == NUMBER
     kind[(kind == UNIT) & ~after_number] = LITERAL_KIND
     again = np.concatenate(([False], (kind[1:] == CAPITAL) & (kind[:-1] == CAPITAL)))
     keep = np.flatnonzero(~again & (kind != BREAK) & (kind != EMPTY))

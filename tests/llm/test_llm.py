@@ -167,6 +167,24 @@ def test_decontamination_of_items_with_few_words(spark):
     assert got == {(i, i): (1.0, True) for i in range(8)} | {(9, 1): (1.0, False), (10, 2): (1.0, False), (11, 3): (1.0, False)}
 
 
+@pytest.mark.parametrize("blank", ["\t", "\x0b", "\x0c", "\r", "\r\n", "\xa0", "\u2003", " \t\xa0"])
+def test_decontamination_at_other_blanks(blank):
+    item = "a train with two coaches travels 60 miles in 3 hours and then rests; what is its average speed?"
+    h, kind, raw = decontaminate.template(item)
+    for ours in (decontaminate.template(item.replace(" ", blank)), decontaminate.template(f"{blank}{item}{blank}".replace(" ", blank))):
+        assert ours[0].tolist() == h.tolist() and ours[1].tolist() == kind.tolist() and ours[2] == raw
+    lines = decontaminate.template("so said\rAlice and\r\n\r\nBob to Carol")
+    assert lines[1].tolist() == [0, 0, 0, 0, 0, 0, decontaminate.CAPITAL]
+
+
+def test_decontamination_of_tabbed_text(spark):
+    item = "A train with Alice Smith travels 60 miles in 3 hours. What is its average speed, in miles an hour, if it rests for 10 minutes?"
+    b = spark.createDataFrame([(1, item), (2, item.replace("train", "ship").replace(" ", "\t"))], "item_id long, text string")
+    texts = [f"x y.\t{item}".replace(" ", "\t"), item.replace(" ", "\xa0"), item.replace("train", "ship")]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect()}
+    assert got.items() >= {(0, 1): True, (1, 1): True, (2, 2): True}.items()
+
+
 def test_language(spark):
     d = entries.table(spark, "/root/testdata/sf0.01", "documents")
     out = entries.language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
