@@ -7,7 +7,10 @@ that is if ``factor`` times the least distance there exceeds the distance of the
 neighbour kept. Factor one is exact; larger ones prune more and may miss some.
 
 Largest inner product is nearest distance once every vector x has one more component,
-the root of M^2 - |x|^2 for the largest norm M, and queries have zero there.
+the root of M^2 - |x|^2 for the largest norm M, and queries have zero there. These
+distances only prune, with a slack for their rounding that grows with M. Neighbours are
+kept by the inner product itself and, among equal ones, by the smallest id, so vectors
+of few distinct values, where hundreds tie at the border, and single huge norms are exact.
 
 Scale: rows are dealt to shards of at most ``shard_rows`` by the hash of their id, and
 queries to blocks; each (shard, block) is one task's group, of bounded size. Equal
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 
 LEAF = 192
 SLACK = 1e-9
+#: Inner products offered, and summed in order, at once: these bound a worker's memory.
+OFFERED, SUMMED = 1 << 20, 1 << 14
 
 
 def build(points: np.ndarray) -> tuple:
@@ -51,25 +56,62 @@ def build(points: np.ndarray) -> tuple:
     return grow(np.arange(len(points)))
 
 
-def search(tree: tuple, points: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, rows) of the k nearest of each query, unordered; row -1 pads."""
-    nq = len(queries)
-    best = np.full((nq, k), np.inf)
+def _best(scores: np.ndarray, firsts: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    """Places of each owner's best k by score, ties to the smaller first id, owners ascending."""
+    order = np.lexsort((firsts, -scores, owner))
+    owner = owner[order]
+    return order[np.arange(len(order)) - np.searchsorted(owner, owner) < k]
+
+
+def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(inner products, rows) of the k best of each query, unordered; row -1 pads.
+
+    ``points`` are ``vectors`` with one more component. Lifted distances only rule out
+    subtrees; what is kept is decided by the inner product, summed in order as SQL does,
+    and among equal ones by the least of ``firsts``. A matrix product says which
+    inner products are worth summing, up to its rounding error.
+    """
+    nq, size = queries.shape
+    best = np.full((nq, k), -np.inf)
     rows = np.full((nq, k), -1, np.int64)
+    norms, qnorms = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
+    rounding = 4 * (size + 4) * np.finfo(float).eps
+    # largest lifted norm; distances err by no more than the slack
+    lifted = np.sqrt((points**2).sum(axis=1).max()) if len(points) else 0.0
+    slack = SLACK + 4 * rounding * (qnorms + lifted)
+    span = qnorms**2 + lifted**2 * (1 + 4 * rounding)
     worst = np.full(nq, np.inf)
-    norms, qnorms = (points**2).sum(axis=1), (queries**2).sum(axis=1)
 
     def offer(q: np.ndarray, r: np.ndarray) -> None:
-        d = np.maximum(qnorms[q, None] + norms[r] - 2 * (queries[q] @ points[r].T), 0)
-        all_d = np.concatenate((best[q], d), axis=1)
-        all_r = np.concatenate((rows[q], np.broadcast_to(r, d.shape)), axis=1)
-        keep = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-        best[q] = np.take_along_axis(all_d, keep, 1)
-        rows[q] = np.take_along_axis(all_r, keep, 1)
-        worst[q] = np.sqrt(best[q].max(axis=1))
+        step = max(OFFERED // len(r), 1)
+        for at in range(0, len(q), step):
+            _offer(q[at : at + step], r)
+
+    def _offer(q: np.ndarray, r: np.ndarray) -> None:
+        s = queries[q] @ vectors[r].T
+        error = rounding * qnorms[q, None] * norms[r]
+        bar = best[q].min(axis=1)
+        if len(r) > k:
+            bar = np.maximum(bar, np.partition(s - error, len(r) - k, axis=1)[:, len(r) - k])
+        qi, at = np.nonzero(~(s + error < bar[:, None]))
+        if not len(qi):
+            return
+        exact = np.empty(len(qi))
+        for a in range(0, len(qi), SUMMED):
+            part = slice(a, a + SUMMED)
+            exact[part] = np.cumsum(queries[q[qi[part]]] * vectors[r[at[part]]], axis=1)[:, -1]
+        touched, qi = np.unique(qi, return_inverse=True)
+        mine = q[touched]
+        scores = np.concatenate((best[mine].ravel(), exact))
+        found = np.concatenate((rows[mine].ravel(), r[at]))
+        owner = np.concatenate((np.repeat(np.arange(len(mine)), k), qi))
+        keep = _best(scores, np.where(found >= 0, firsts[found], np.iinfo(np.int64).max), owner, k)
+        best[mine] = scores[keep].reshape(-1, k)
+        rows[mine] = found[keep].reshape(-1, k)
+        worst[mine] = np.sqrt(np.maximum(span[mine] - 2 * best[mine].min(axis=1) + 2 * rounding * qnorms[mine] * lifted, 0))
 
     def visit(node: tuple, q: np.ndarray, least: np.ndarray) -> None:
-        go = ~(least * factor > worst[q] + SLACK)
+        go = ~(least * factor > worst[q] + slack[q])
         q, least = q[go], least[go]
         if not len(q):
             return
@@ -77,7 +119,7 @@ def search(tree: tuple, points: np.ndarray, queries: np.ndarray, k: int, factor:
             offer(q, node[1])
             return
         _, vantage, inner, outer, inside, outside = node
-        d = np.sqrt(np.maximum(((queries[q] - points[vantage]) ** 2).sum(axis=1), 0))
+        d = np.sqrt(((queries[q] - points[vantage, :-1]) ** 2).sum(axis=1) + points[vantage, -1] ** 2)
         offer(q, np.array([vantage]))
         away = [np.maximum(least, np.maximum(d - hi, lo - d)) for lo, hi in (inner, outer)]
         nearer = away[0] <= away[1]
@@ -101,15 +143,13 @@ def shard_neighbours(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     by_group = np.argsort(group, kind="stable")  # ids ascend within a group
     starts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(unique)))))
     more = np.sqrt(np.maximum(largest**2 - (unique**2).sum(axis=1), 0))
-    points = np.hstack((unique, more[:, None]))
-    flat = np.hstack((queries, np.zeros((len(queries), 1))))
-    mixed = np.random.default_rng(0).permutation(len(points))  # vantage points at random
-    points = points[mixed]
-    _, rows = search(build(points), points, flat, min(len(points), k + 9), factor)
-    rows = np.where(rows >= 0, mixed[rows], -1)
+    mixed = np.random.default_rng(0).permutation(len(unique))  # vantage points at random
+    points = np.hstack((unique, more[:, None]))[mixed]
+    # one more than k: the query's own vector may be among them
+    best, rows = search(build(points), points, unique[mixed], ids[by_group[starts[:-1]]][mixed], queries, min(len(points), k + 1), factor)
     qi, at = np.nonzero(rows >= 0)
-    hit = rows[qi, at]
-    score = np.cumsum(queries[qi] * unique[hit], axis=1)[:, -1]  # summed in order, as SQL does
+    score = best[qi, at]
+    hit = mixed[rows[qi, at]]
     n = np.minimum(starts[hit + 1] - starts[hit], k + 1)
     first = np.repeat(starts[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     qi, score, found = np.repeat(qi, n), np.repeat(score, n), ids[by_group[first]]

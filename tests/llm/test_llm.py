@@ -248,6 +248,24 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["signs", "sparse", "huge"])
+def test_neighbours_with_ties_and_huge_norms(shape):
+    rng = np.random.default_rng(2)
+    x = {"signs": lambda: rng.choice([-1.0, 1.0], (6000, 16)), "sparse": lambda: (rng.random((6000, 64)) < 0.1).astype(float), "huge": lambda: rng.normal(size=(6000, 8)).astype(np.float32).astype(float)}[shape]()
+    if shape == "huge":
+        x[17] *= 1e8
+    x = x[x.any(axis=1)]
+    ids = rng.permutation(len(x)) * 3
+    asked = np.arange(0, len(x), 120)
+    got = collections.defaultdict(list)
+    for q, i, s in zip(*ann.shard_neighbours(ids, x, ids[asked], x[asked], float(np.sqrt((x**2).sum(axis=1).max())) * (1 + 1e-12), 20, 1.0)):
+        got[q].append((-s, i))
+    for a in asked:
+        s = np.cumsum(x[a] * x, axis=1)[:, -1]
+        order = [j for j in np.lexsort((ids, -s)) if j != a][:20]
+        assert got[ids[a]] == [(-s[j], ids[j]) for j in order]
+
+
 def test_html(spark):
     page = "<html><body><header><h1>Site</h1></header><div id=menu><a>x</a></div><div class=content><h2>T&eacute;st &amp;amp; co</h2><p>One<br>two <b>bold</b></p><div class='cookie-notice'>ok?</div><table><tr><td>1<td>2</table></div><div class=comments><p>no</p></div><form>f</form><p>end"
     assert html_extract.text_of(html_extract.parse(page)) == "Tést &amp; co\n\nOne two bold\n\n1\n\n2\n\nend"
