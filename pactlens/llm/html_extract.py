@@ -13,8 +13,9 @@ what is left of the body.
 Scale: the counts are added up in a task before they are shuffled; one row a node of a
 host's reference is kept. Pages meet their host's reference in a join whose frequent
 hosts Spark splits (AQE skew join, which needs the references as a written table: an
-aggregate below a join is not split); no host's pages are ever gathered. Child lists whose
-DP table would exceed ``WIDE`` cells are matched in order instead.
+aggregate below a join is not split); no host's pages are ever gathered. The table of two
+child lists is never held: its rows are computed again for the trace, in linear memory
+but for a logarithm. Equal subtrees at both ends are paired beforehand.
 
 Edges: null or empty html gives the empty text; pages without a host in their url have
 no template; exact copies of the reference say nothing about it and don't count; repeated
@@ -26,9 +27,10 @@ from __future__ import annotations
 import html as html_module
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +56,16 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
 
-WIDE = 40_000
 #: Share of the other pages in which a template node recurs, outside and inside the article; pages needed.
 SHARE, SHARE_INSIDE, PAGES, PAGES_INSIDE = 0.6, 0.9, 3, 8
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "text", "drop", "size", "number")
+    __slots__ = ("tag", "label", "kids", "text", "drop", "size", "number", "shape", "same")
 
     def __init__(self, tag: str, label: str, text: str = "", drop: bool = False):
         self.tag, self.label, self.text, self.drop, self.kids = tag, label, text, drop, []
-        self.size = self.number = 0
+        self.size = self.number = self.shape = self.same = 0
 
 
 def _element(tag: str, attributes: str, inside: bool) -> Node:
@@ -152,7 +153,8 @@ def parse(page: str) -> Node:
 
 
 def _count(root: Node) -> None:
-    """Number the nodes in document order; ``size`` is a subtree's number of nodes."""
+    """Number the nodes in document order; ``size`` is a subtree's number of nodes,
+    ``shape`` the hash of its labels, ``same`` that of its labels and texts."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -161,50 +163,135 @@ def _count(root: Node) -> None:
         todo.extend(reversed(node.kids))
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.kids)
+        node.shape = hash((node.label, *[k.shape for k in node.kids]))
+        node.same = hash((node.label, node.text, *[k.same for k in node.kids]))
+
+
+def _score(a: Node, b: Node, scores: dict) -> int:
+    """Nodes of the largest match of two trees; ``scores`` is a bounded memo by their shapes."""
+    if a.label != b.label:
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    key = a.shape, b.shape
+    found = scores.get(key)
+    if found is None:
+        x, y = _differing(a.kids, b.kids, "shape")
+        found = 1 + sum(k.size for k in a.kids) - sum(k.size for k in x)
+        if x and y:
+            found += int(_rows(x, y, scores)[-1])
+        if len(scores) > 100_000:
+            scores.clear()
+        scores[key] = found
+    return found
+
+
+def _differing(x: list[Node], y: list[Node], what: str) -> tuple[list[Node], list[Node]]:
+    """Both lists without their equal leading and trailing runs, which some largest match pairs."""
+    n = min(len(x), len(y))
+    lead = next((i for i in range(n) if getattr(x[i], what) != getattr(y[i], what)), n)
+    tail = next((i for i in range(n - lead) if getattr(x[-1 - i], what) != getattr(y[-1 - i], what)), n - lead)
+    return x[lead : len(x) - tail], y[lead : len(y) - tail]
+
+
+def _weights(y: list[Node], scores: dict) -> Callable[[Node], np.ndarray]:
+    """node -> its scores with all of ``y``, computed once for each shape."""
+    classes: dict[int, int] = {}
+    of = np.array([classes.setdefault(c.shape, len(classes)) for c in y])
+    first = list({c.shape: c for c in reversed(y)}.items())
+    first = [c for _, c in sorted(first, key=lambda f: classes[f[0]])]
+    memo: dict[int, np.ndarray] = {}
+
+    def weigh(k: Node) -> np.ndarray:
+        w = memo.get(k.shape)
+        if w is None:
+            if len(memo) * len(y) > 1 << 20:
+                memo.clear()
+            w = memo[k.shape] = np.array([_score(k, c, scores) for c in first], np.int64)[of]
+        return w
+
+    return weigh
+
+
+def _step(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The next row of the table: the best of above, left, and the diagonal plus ``w``."""
+    out = np.zeros_like(row)
+    np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w), out=out[1:])
+    return out
+
+
+def _rows(x: list[Node], y: list[Node], scores: dict) -> np.ndarray:
+    """The table's last row."""
+    weigh = _weights(y, scores)
+    row = np.zeros(len(y) + 1, np.int64)
+    for k in x:
+        row = _step(row, weigh(k))
+    return row
+
+
+def _align(x: list[Node], y: list[Node], scores: dict) -> list[tuple[Node, Node]]:
+    """Pairs of the largest order-preserving match of two lists.
+
+    The table is traced back from its end in halves of its rows, the later first, whose
+    first rows alone are kept: memory is a row times the logarithm of their number.
+    """
+    weigh = _weights(y, scores)
+    pairs: list[tuple[Node, Node]] = []
+
+    def back(lo: int, hi: int, row: np.ndarray, j: int) -> int:
+        if not j:
+            return 0
+        if hi - lo > 32:
+            mid, middle = (lo + hi) // 2, row
+            for k in x[lo:mid]:
+                middle = _step(middle, weigh(k)[:j])
+            j = back(mid, hi, middle, j)
+            return back(lo, mid, row[: j + 1], j)
+        rows = [row]
+        for k in x[lo:hi]:
+            rows.append(_step(rows[-1], weigh(k)[:j]))
+        i = hi - lo
+        while i and j:
+            w = weigh(x[lo + i - 1])[j - 1]
+            if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                pairs.append((x[lo + i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return j
+
+    back(0, len(x), np.zeros(len(y) + 1, np.int64), len(y))
+    return pairs
 
 
 def match(a: Node, b: Node) -> tuple[int, list]:
     """Simple tree matching: (number of matched nodes, pairs of text nodes)."""
     if a.label != b.label:
         return 0, []
-    if a.tag == "#":
-        return 1, [(a, b)]
-    x, y = a.kids, b.kids
-    if not x or not y:
-        return 1, []
-    total, pairs = 1, []
-    # equal borders need no table: leaves of one kind in the same place
-    if len(x) * len(y) > WIDE:
-        j = 0
-        for k in x:
-            i = next((i for i in range(j, min(len(y), j + 8)) if y[i].label == k.label), None)
-            if i is not None:
-                n, p = match(k, y[i])
-                total, pairs, j = total + n, pairs + p, i + 1
-        return total, pairs
-    below = {}
-    rows = [[0] * (len(y) + 1)]
-    for i, k in enumerate(x):
-        last, row = rows[-1], [0]
-        for j, c in enumerate(y):
-            best = last[j + 1] if last[j + 1] > row[j] else row[j]
-            if k.label == c.label:
-                m = below[i, j] = match(k, c)
-                if last[j] + m[0] > best:
-                    best = last[j] + m[0]
-            row.append(best)
-        rows.append(row)
-    i, j = len(x), len(y)
-    while i and j:
-        m = below.get((i - 1, j - 1))
-        if m and rows[i][j] == rows[i - 1][j - 1] + m[0]:
-            pairs += m[1]
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return total + rows[-1][-1], pairs
+    scores: dict = {}
+    pairs, todo = [], [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        if p.tag == "#":
+            pairs.append((p, q))
+            continue
+        if p.shape == q.shape:
+            todo.extend(zip(p.kids, q.kids))
+            continue
+        x, y = _differing(p.kids, q.kids, "same")
+        # what is left out is equal to its partner
+        lead = next((i for i, k in enumerate(p.kids) if x and k is x[0]), None)
+        if lead is None:
+            lead = next((i for i, k in enumerate(q.kids) if y and k is y[0]), 0)
+        tail = len(p.kids) - lead - len(x)
+        todo.extend(zip(p.kids[:lead], q.kids[:lead]))
+        if tail:
+            todo.extend(zip(p.kids[-tail:], q.kids[-tail:]))
+        if x and y:
+            todo.extend(_align(x, y, scores))
+    return _score(a, b, scores), pairs
 
 
 def _squeeze(text: str) -> str:

@@ -276,6 +276,34 @@ def test_html(spark):
     assert got[20].text == got[22].text == "" and got[21].text == "alone"
 
 
+def test_html_long_lists():
+    page = lambda n, own: html_extract.parse("<body><p>Top</p>" + "".join(f"<p>{own} {i}</p>" for i in range(n)) + "<p>Bottom</p></body>")
+    n, pairs = html_extract.match(page(160, "one"), page(260, "two"))
+    texts = [(a.text, b.text) for a, b in pairs]
+    assert ("Top", "Top") in texts and ("Bottom", "Bottom") in texts and len(texts) == 162 and n == 2 + 2 * 162
+
+
+def test_html_match_is_largest():
+    def largest(a, b):
+        if a.label != b.label:
+            return 0
+        rows = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + largest(x, y))
+        return 1 + rows[-1][-1]
+
+    rng = random.Random(5)
+    make = lambda depth, most: "".join(f"<{t}>{make(depth - 1, 4) if depth else rng.choice('xy')}</{t}>" for t in (rng.choice(["div", "section", "b"]) for _ in range(rng.randint(0, most))))
+    for most in [6] * 60 + [90] * 4:
+        a, b = html_extract.parse(make(2, most)), html_extract.parse(make(2, most))
+        n, pairs = html_extract.match(a, b)
+        assert n == largest(a, b)
+        assert len({x.number for x, _ in pairs}) == len({y.number for _, y in pairs}) == len(pairs)
+        inner = sorted((x.number, y.number) for x, y in pairs)
+        assert [y for _, y in inner] == sorted(y for _, y in inner)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(3)
     words = [w for r in entries.table(spark, "/root/testdata/sf0.001", "documents").where("lang = 'en'").limit(40).collect() for w in r.text.split()]
