@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against an index of all blocks.
+"""Substring deduplication by counting blocks and windows against an index of all blocks.
 
 Words are runs of anything but ASCII white space. A window of ``window`` words that
 starts at two places or more, in one document or several, is a duplicate; every word
@@ -10,15 +10,14 @@ window's start to the last one's end. Equal windows have equal anchors at equal
 so a window can only recur in blocks with the same anchor. The blocks of all documents
 are the reference, indexed by (anchor, block) hash.
 
-Parsing. A document is factored greedily, block after block: while a block occurs
-elsewhere as a whole, the factor goes on; where only its anchor does, a factor ends
-inside the block. Those blocks at factor boundaries are checked window by window
-against all other blocks of the same anchor, one of each kind of whole copies
-included. The factors of a window's length or more are the duplicate spans.
+Counting. No relative Lempel-Ziv factors are built. A block that occurs elsewhere as a
+whole is duplicate from its first window to its last. Where only its anchor occurs
+elsewhere, its windows are counted one by one with those of all other blocks of the
+same anchor, one of each kind of whole copies included.
 
 Scale. About one row for 14 words is shuffled, pre-aggregated by hash; the counts are
 joined back, and Spark splits frequent keys there (AQE skew join). Windows are only
-shuffled for blocks at factor boundaries. No group is ever collected but the spans of
+shuffled for blocks with shared anchors. No group is ever collected but the spans of
 one document. Keys have 128 bits: the anchor's hash with the block's or the window's.
 
 Edges: a null text has no words; empty and short texts lose nothing; a text repeated
