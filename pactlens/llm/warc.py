@@ -14,7 +14,8 @@ the listed files alone; of any other folder or file, each ``*.warc`` or ``*.warc
 
 Rows written: record_type, record_id, target_uri, date, refers_to, payload_digest,
 payload_bytes, payload (binary; null or of a revisit: no payload follows). Rows read:
-the same. A null header is left out and read back as null. A record whose headers lack
+the same. Spark keeps one reader for each loaded frame, so two different filters of one
+frame in one plan would both be pushed to it: load the path once for each. A null header is left out and read back as null. A record whose headers lack
 Content-Length or whose bytes end early raises an error.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import filesystem, new_dir
+from .common import drop_work_table, filesystem, new_dir, work_table
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 ARROW = pa.schema([(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest")] + [("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -239,16 +240,15 @@ class WarcWriter(DataSourceArrowWriter):
 
         fs, root = filesystem(self.path)
         out, files = None, []
-        for b in batches:
-            for row in b.to_pylist():
-                if out is None:
-                    files.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped)
-                    out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
-                raw = record(row)
-                out.write(gzip.compress(raw, 3, mtime=0) if self.zipped else raw)
-                if out.tell() >= self.file_bytes:
-                    out.close()
-                    out = None
+        for row in (row for b in batches for at in range(0, b.num_rows, 64) for row in b.slice(at, 64).to_pylist()):
+            if out is None:
+                files.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped)
+                out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
+            raw = record(row)
+            out.write(gzip.compress(raw, 3, mtime=0) if self.zipped else raw)
+            if out.tell() >= self.file_bytes:
+                out.close()
+                out = None
         if out is not None:
             out.close()
         return Written(files)
@@ -297,40 +297,43 @@ def register(spark: SparkSession) -> None:
 
 # --- pages to records ----------------------------------------------------------------
 
-#: Base-32 digits in order; a fixed value of the format.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Digits of Spark's base 32 and of RFC 4648's, in order; fixed values.
+BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Repeated payloads whose digests are broadcast at most: about 100 MB.
+BROADCAST_ROWS = 1_000_000
 
 
-def base32_sha1(data: F.Column) -> F.Column:
-    """Upper-case base-32 SHA-1: 8 groups of 5 hexadecimal digits, 4 digits each."""
-    hexes = F.sha1(data)
-    digits = []
-    for k in range(8):
-        group = F.conv(F.substring(hexes, 5 * k + 1, 5), 16, 10).cast("int")
-        digits += [F.substring(F.lit(BASE32), F.shiftright(group, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*digits)
+def base32(hexes: F.Column) -> F.Column:
+    """Upper-case base-32 form of a SHA-1 in hexadecimal: 4 groups of 40 bits."""
+    groups = [F.lpad(F.conv(F.substring(hexes, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*groups), *BASE32)
 
 
-def mark_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, first): ``first`` is the
-    largest page_id of the records with the same payload.
+def mark_revisits(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(page_id, url, payload, payload_bytes, sha1, first) and the table of repeated
+    digests behind it, which the caller drops: ``first`` is the largest page_id of the
+    records with the same payload.
 
-    Digests are pre-aggregated before the shuffle, so a payload that a third of all
-    pages share costs a row a task. Only digests that occur more than once are joined
-    back; Spark splits the partition of a frequent one (AQE skew join). Rows that share
-    payload and largest page_id are responses alike; null page_ids are the smallest.
+    Only digests and ids are shuffled to find it, pre-aggregated, so a payload that a
+    third of all pages share costs a row a task. The digests that occur more than once
+    are counted; up to ``broadcast_rows`` they are broadcast, so that no payload is
+    shuffled. Beyond, payloads meet them in a sort-merge join, in which Spark splits the
+    partition of a frequent digest (AQE skew join). Rows that share payload and largest
+    page_id are responses alike; null page_ids are the smallest.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    often = rows.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(often, "payload_digest", "left")
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    often = rows.groupBy(F.unhex("sha1").alias("digest")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = work_table(often.select(F.lower(F.hex("digest")).alias("sha1"), "first"), "repeated-payloads")
+    side = F.broadcast(often) if often.count() <= broadcast_rows else often.hint("merge")
+    return rows.join(side, "sha1", "left").withColumn("payload_bytes", F.length("payload").cast("long")), often
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", **options: str) -> None:
     """Write a record for each page; repeated payloads become revisits."""
     register(pages.sparkSession)
-    rows = mark_revisits(pages)
+    rows, often = mark_revisits(pages)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     rows.select(
@@ -339,29 +342,30 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         F.col("url").alias("target_uri"),
         F.lit(date).alias("date"),
         F.when(revisit, urn(F.col("first"))).alias("refers_to"),
-        F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
+        F.concat(F.lit("sha1:"), base32(F.col("sha1"))).alias("payload_digest"),
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
     ).write.format("warc").options(**options).mode("append").save(path)
+    drop_work_table(often)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives
     that ``write_pages`` makes of ``pages``.
 
-    The responses' lengths and digests come from the payloads as read, those of the
-    revisits, which have none, from their headers.
+    The archives are read twice, each time with a predicate on the record type that the
+    source decides on the headers: the responses' lengths and digests come from their
+    payloads as read, those of the revisits, which have none, from their headers. The
+    archives stay, since the frame reads them.
     """
     spark = pages.sparkSession
     path = new_dir(spark, "warc")
     write_pages(pages, path)
-    archive = spark.read.format("warc").load(path)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) AS BIGINT)")
-    response = F.col("record_type") == "response"
-    return archive.select(
-        number("record_id").alias("page_id"),
-        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+
+    def of_type(name: str, n_bytes: F.Column, digest: F.Column) -> DataFrame:
+        archive = spark.read.format("warc").load(path)
+        return archive.where(F.col("record_type") == name).select(number("record_id").alias("page_id"), n_bytes.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+    responses = of_type("response", F.length("payload").cast("long"), base32(F.sha1("payload")))
+    return responses.unionByName(of_type("revisit", F.col("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "")))
