@@ -1,34 +1,37 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-For each host one page (that with the least hash) is the reference. Every page's DOM
+For each host one page of its most frequent layout is the reference. Every page's DOM
 tree is aligned to its host's reference by simple tree matching: the largest
 order-preserving match of the trees, computed by dynamic programming over children.
-Counts over all pages tell how often a reference node's text recurs unchanged; nodes
-that hardly vary are the host's template, and what aligns to them with the same text is
-dropped from a page. Varying slots are content, unless their element says that they are
-a menu, header, footer, sidebar, notice, advert, form, comment section or the like. Of
-content, the article is the ``article`` element with the most text, else ``main``, else
-what is left of the body.
-
-Scale: the counts are added up in a task before they are shuffled; one row a node of a
-host's reference is kept. Pages meet their host's reference in a join whose frequent
-hosts Spark splits (AQE skew join, which needs the references as a written table: an
-aggregate below a join is not split); no host's pages are ever gathered. The table of two
-child lists is never held: its rows are computed again for the trace, in linear memory
-but for a logarithm. Equal subtrees at both ends are paired beforehand.
+Counts over all different articles of the host tell how often a reference node's text
+recurs unchanged; nodes that hardly vary are the host's template, and what aligns to
+them with the same text is dropped from a page. Varying slots are content, unless their
+element says that they are a menu, header, footer, sidebar, notice, advert, form,
+comment section or the like. The main text is what the outermost ``main`` and
+``article`` elements hold, all of them; on pages without, what is left of the page.
+A host that prints one article again and again counts it once, and template removal
+never takes more than half of a page's main text.
+
+Scale: one row a page, of its host, the hash of its main text and the nodes that recur,
+is shuffled for the counts, pre-aggregated. Pages meet their host's reference in a join
+whose frequent hosts Spark splits (AQE skew join, which needs the references as a
+written table: an aggregate below a join is not split); no host's pages are ever
+gathered. The table of two child lists is never held: its rows are computed again for
+the trace, in linear memory but for a logarithm. Equal subtrees at both ends are paired
+beforehand. The work is done when the frame is made, but for the last pass over the pages.
 
 Edges: null or empty html gives the empty text; pages without a host in their url have
 no template; exact copies of the reference say nothing about it and don't count; repeated
-rows are returned each.
+rows are returned each; pages of any depth are matched without recursion.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +52,28 @@ SCOPE = frozenset("table ul ol dl select html body".split())
 #: Elements, roles and words in class or id that mark what is not the article.
 DROPPED = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object embed svg canvas dialog menu map audio video noframes noembed xmp title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist reply replies respond disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager paging skip hidden".split())
+DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist reply replies respond disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social widget widgets toolbar pagination pager paging skip hidden".split())
 HEADERS = frozenset("header topbar".split())
+#: Words that mark boilerplate only as a whole class or id, or before one of the second kind.
+AROUND = frozenset("related recommended recommendations".split())
+LINKS = frozenset("posts articles stories links news content items".split())
+MAIN = ("article", "main")
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
 
-#: Share of the other pages in which a template node recurs, outside and inside the article; pages needed.
+#: Share of the other articles in which a template node recurs, outside and inside the
+#: main text; different articles needed.
 SHARE, SHARE_INSIDE, PAGES, PAGES_INSIDE = 0.6, 0.9, 3, 8
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "text", "drop", "size", "number", "shape", "same")
+    __slots__ = ("tag", "label", "kids", "text", "drop", "size", "height", "number", "shape", "same")
 
     def __init__(self, tag: str, label: str, text: str = "", drop: bool = False):
         self.tag, self.label, self.text, self.drop, self.kids = tag, label, text, drop, []
-        self.size = self.number = self.shape = self.same = 0
+        self.size = self.height = self.number = self.shape = self.same = 0
 
 
 def _element(tag: str, attributes: str, inside: bool) -> Node:
@@ -79,12 +87,16 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
             if flag or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 drop = True
             elif name in ("class", "id"):
-                words.update(WORD.findall(value))
+                for part in value.split():
+                    found = WORD.findall(part)
+                    words.update(found)
+                    if found and found[0] in AROUND and (len(found) == 1 or found[1] in LINKS):
+                        drop = True
                 if name == "class":
                     label = f"{tag}.{value}"
             elif name == "role":
                 drop = drop or value in DROPPED_ROLES
-        if tag not in ("html", "body", "article", "main"):
+        if tag not in ("html", "body") and (inside or tag not in MAIN):
             drop = drop or not DROPPED_WORDS.isdisjoint(words) or not inside and not HEADERS.isdisjoint(words)
     return Node(tag, label, drop=drop)
 
@@ -98,7 +110,7 @@ def parse(page: str) -> Node:
     def close(k: int) -> None:
         nonlocal inside
         for name in names[k:]:
-            inside -= name in ("article", "main")
+            inside -= name in MAIN
         del stack[k:], names[k:]
 
     def add_text(raw: str) -> None:
@@ -147,14 +159,14 @@ def parse(page: str) -> Node:
         elif tag not in VOID:
             stack.append(node)
             names.append(tag)
-            inside += tag in ("article", "main")
+            inside += tag in MAIN
     _count(root)
     return root
 
 
 def _count(root: Node) -> None:
     """Number the nodes in document order; ``size`` is a subtree's number of nodes,
-    ``shape`` the hash of its labels, ``same`` that of its labels and texts."""
+    ``height`` that of the levels below it, ``shape`` the hash of its labels, ``same`` that of its labels and texts."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -162,38 +174,70 @@ def _count(root: Node) -> None:
         order.append(node)
         todo.extend(reversed(node.kids))
     for node in reversed(order):
-        node.size = 1 + sum(k.size for k in node.kids)
-        node.shape = hash((node.label, *[k.shape for k in node.kids]))
-        node.same = hash((node.label, node.text, *[k.same for k in node.kids]))
+        kids = node.kids
+        if kids:
+            node.size = 1 + sum([k.size for k in kids])
+            node.height = 1 + max([k.height for k in kids])
+            node.shape = hash((node.label, *[k.shape for k in kids]))
+            node.same = hash((node.label, *[k.same for k in kids]))
+        else:
+            node.size, node.shape, node.same = 1, hash((node.label,)), hash((node.label, node.text))
 
 
-def _score(a: Node, b: Node, scores: dict) -> int:
-    """Nodes of the largest match of two trees; ``scores`` is a bounded memo by their shapes."""
+def _known(a: Node, b: Node, scores: dict) -> int:
+    """Nodes of the largest match of two trees, if ``scores`` has what it needs."""
     if a.label != b.label:
         return 0
-    if a.shape == b.shape:
-        return a.size
-    key = a.shape, b.shape
-    found = scores.get(key)
-    if found is None:
-        x, y = _differing(a.kids, b.kids, "shape")
-        found = 1 + sum(k.size for k in a.kids) - sum(k.size for k in x)
-        if x and y:
-            found += int(_rows(x, y, scores)[-1])
-        if len(scores) > 100_000:
-            scores.clear()
-        scores[key] = found
-    return found
-
-
-def _differing(x: list[Node], y: list[Node], what: str) -> tuple[list[Node], list[Node]]:
-    """Both lists without their equal leading and trailing runs, which some largest match pairs."""
-    n = min(len(x), len(y))
-    lead = next((i for i in range(n) if getattr(x[i], what) != getattr(y[i], what)), n)
-    tail = next((i for i in range(n - lead) if getattr(x[-1 - i], what) != getattr(y[-1 - i], what)), n - lead)
+    return a.size if a.shape == b.shape else scores[a.shape, b.shape]
+
+
+def _score(a: Node, b: Node, scores: dict) -> int:
+    """Nodes of the largest match of two trees; ``scores`` is a memo by their shapes.
+
+    The pairs of subtrees that it rests on are listed first and then scored from the
+    lowest up, so that no depth of a page exhausts the stack.
+    """
+    todo, pairs = [(a, b)], {}
+    while todo:
+        p, q = todo.pop()
+        key = p.shape, q.shape
+        if p.label != q.label or p.shape == q.shape or key in scores or key in pairs:
+            continue
+        x, y = _differing(p.kids, q.kids)
+        pairs[key] = p.height, p, x, y
+        left, right = ({k.shape: k for k in z if k.kids}.values() for z in (x, y))
+        todo.extend((k, c) for k in left for c in right if k.label == c.label)
+    for key, (_, p, x, y) in sorted(pairs.items(), key=lambda item: item[1][0]):
+        found = 1 + sum(k.size for k in p.kids) - sum(k.size for k in x)
+        scores[key] = found + (int(_rows(x, y, scores)[-1]) if x and y else 0)
+    return _known(a, b, scores)
+
+
+def _ends(x: list[Node], y: list[Node], what: str) -> tuple[int, int]:
+    """Lengths of the equal leading and trailing runs of two lists; some largest match
+    pairs them."""
+    n, lead, tail = min(len(x), len(y)), 0, 0
+    get = attrgetter(what)
+    while lead < n and get(x[lead]) == get(y[lead]):
+        lead += 1
+    while tail < n - lead and get(x[-1 - tail]) == get(y[-1 - tail]):
+        tail += 1
+    return lead, tail
+
+
+def _differing(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Both lists without the runs at their ends that are equal in shape."""
+    lead, tail = _ends(x, y, "shape")
     return x[lead : len(x) - tail], y[lead : len(y) - tail]
 
 
+def _paired(x: list[Node], y: list[Node], what: str) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """(pairs of the equal runs at both ends, what is left of either list)."""
+    lead, tail = _ends(x, y, what)
+    pairs = [*zip(x[:lead], y[:lead]), *zip(x[len(x) - tail :], y[len(y) - tail :])]
+    return pairs, x[lead : len(x) - tail], y[lead : len(y) - tail]
+
+
 def _weights(y: list[Node], scores: dict) -> Callable[[Node], np.ndarray]:
     """node -> its scores with all of ``y``, computed once for each shape."""
     classes: dict[int, int] = {}
@@ -207,7 +251,7 @@ def _weights(y: list[Node], scores: dict) -> Callable[[Node], np.ndarray]:
         if w is None:
             if len(memo) * len(y) > 1 << 20:
                 memo.clear()
-            w = memo[k.shape] = np.array([_score(k, c, scores) for c in first], np.int64)[of]
+            w = memo[k.shape] = np.array([_known(k, c, scores) for c in first], np.int64)[of]
         return w
 
     return weigh
@@ -230,13 +274,21 @@ def _rows(x: list[Node], y: list[Node], scores: dict) -> np.ndarray:
 
 
 def _align(x: list[Node], y: list[Node], scores: dict) -> list[tuple[Node, Node]]:
-    """Pairs of the largest order-preserving match of two lists.
+    """Pairs of the largest order-preserving match of two lists; among matches of equal
+    size, one with more pairs that are equal in their texts too.
 
     The table is traced back from its end in halves of its rows, the later first, whose
     first rows alone are kept: memory is a row times the logarithm of their number.
     """
-    weigh = _weights(y, scores)
     pairs: list[tuple[Node, Node]] = []
+    if {k.same for k in x}.isdisjoint([c.same for c in y]):
+        pairs, x, y = _paired(x, y, "shape")
+        if not x or not y:
+            return pairs
+        weigh = _weights(y, scores)
+    else:
+        structure, same = _weights(y, scores), np.array([c.same for c in y])
+        weigh = lambda k: structure(k) * (len(y) + 1) + (same == k.same)
 
     def back(lo: int, hi: int, row: np.ndarray, j: int) -> int:
         if not j:
@@ -271,6 +323,7 @@ def match(a: Node, b: Node) -> tuple[int, list]:
     if a.label != b.label:
         return 0, []
     scores: dict = {}
+    total = _score(a, b, scores)
     pairs, todo = [], [(a, b)]
     while todo:
         p, q = todo.pop()
@@ -280,18 +333,15 @@ def match(a: Node, b: Node) -> tuple[int, list]:
         if p.shape == q.shape:
             todo.extend(zip(p.kids, q.kids))
             continue
-        x, y = _differing(p.kids, q.kids, "same")
-        # what is left out is equal to its partner
-        lead = next((i for i, k in enumerate(p.kids) if x and k is x[0]), None)
-        if lead is None:
-            lead = next((i for i, k in enumerate(q.kids) if y and k is y[0]), 0)
-        tail = len(p.kids) - lead - len(x)
-        todo.extend(zip(p.kids[:lead], q.kids[:lead]))
-        if tail:
-            todo.extend(zip(p.kids[-tail:], q.kids[-tail:]))
+        equal, x, y = _paired(p.kids, q.kids, "same")
+        todo.extend(equal)
         if x and y:
+            for k in {k.shape: k for k in x if k.kids}.values():
+                for c in {c.shape: c for c in y if c.kids}.values():
+                    if k.label == c.label and k.shape != c.shape and (k.shape, c.shape) not in scores:
+                        _score(k, c, scores)
             todo.extend(_align(x, y, scores))
-    return _score(a, b, scores), pairs
+    return total, pairs
 
 
 def _squeeze(text: str) -> str:
@@ -303,9 +353,9 @@ def _reference(page: str) -> Node:
     return parse(page)
 
 
-def _visible(node: Node, template: frozenset[int]) -> int:
-    """Characters of a subtree without what is dropped."""
-    n, todo = 0, [node]
+def _visible(nodes: list[Node], template: frozenset[int]) -> int:
+    """Characters of subtrees without what is dropped."""
+    n, todo = 0, list(nodes)
     while todo:
         x = todo.pop()
         if x.tag == "#":
@@ -315,25 +365,34 @@ def _visible(node: Node, template: frozenset[int]) -> int:
     return n
 
 
-def _article(root: Node, template: frozenset[int]) -> Node:
-    found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-    todo = [root]
+def _main(root: Node) -> list[Node]:
+    """The outermost ``main`` and ``article`` elements that have text, in page order; on
+    pages without, the whole page."""
+    found, todo = [], [root]
     while todo:
         x = todo.pop()
         if x.drop:
             continue
-        if x.tag in found:
-            found[x.tag].append(x)
-        todo.extend(reversed(x.kids))
-    for tag in ("article", "main", "body"):
-        best = max(found[tag], key=lambda x: _visible(x, template), default=None)
-        if best is not None and _visible(best, template):
-            return best
-    return root
+        if x.tag in MAIN:
+            if _visible([x], frozenset()):
+                found.append(x)
+        else:
+            todo.extend(reversed(x.kids))
+    return found or [root]
+
+
+def _template(root: Node, parts: list[Node], constant: frozenset[int], inner: frozenset[int]) -> frozenset[int]:
+    """What to leave out of a page: text nodes aligned to constant ones outside its main
+    text, and those inside, unless less than half of the main text would stay: an article
+    that its host prints again and again is no template."""
+    if parts[0] is root:
+        return constant if _visible(parts, constant) else frozenset()
+    out = inner if 2 * _visible(parts, inner) >= _visible(parts, frozenset()) else frozenset()
+    return frozenset(out)
 
 
 def text_of(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by blank lines."""
+    """The main text's blocks, joined by blank lines."""
     blocks, part = [], []
 
     def flush() -> None:
@@ -341,7 +400,7 @@ def text_of(root: Node, template: frozenset[int] = frozenset()) -> str:
             blocks.append(block)
         part.clear()
 
-    todo: list[Node | None] = [_article(root, template)]
+    todo: list[Node | None] = [None, *reversed(_main(root))]
     while todo:
         x = todo.pop()
         if x is None:
@@ -366,7 +425,7 @@ def _inside(root: Node) -> set[int]:
     todo = [root]
     while todo:
         x = todo.pop()
-        if x.tag in ("article", "main") and not x.drop:
+        if x.tag in MAIN and not x.drop:
             out.update(range(x.number, x.number + x.size))
         else:
             todo.extend(x.kids)
@@ -375,70 +434,80 @@ def _inside(root: Node) -> set[int]:
 
 # --- Spark ---------------------------------------------------------------------------
 
+#: Start tags of a page's frame, with their class, as far as it is the first attribute.
+SKELETON = r"<(?:body|div|main|section|article|aside|nav|header|footer|form|table)\b(?:\s+class=\"[^\"0-9]*)?"
+#: Kinds of frames told apart on a host; the reference has the most frequent one.
+LAYOUTS = 8
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _article_hash(root: Node) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text_of(root).encode()) - (1 << 63)
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    """For each page the hash of its main text and the reference's text nodes that recur
+    in it; none for copies of the reference."""
     for b in batches:
+        hosts, articles, nodes = [], [], []
         for host, page, ref in zip(*(b.column(k) for k in range(3))):
-            page, ref, host = page.as_py(), ref.as_py(), host.as_py()
+            page, ref = page.as_py(), ref.as_py()
             if page == ref:
                 continue
-            tree = _reference(ref)
-            counts[host, -1] += 1
-            for mine, theirs in match(tree, parse(page))[1]:
-                if mine.text.strip() and _squeeze(mine.text) == _squeeze(theirs.text):
-                    counts[host, mine.number] += 1
-        if len(counts) > 100_000:
-            yield _pack(counts)
-            counts.clear()
-    yield _pack(counts)
-
-
-def _pack(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "n"])
+            tree, root = _reference(ref), parse(page)
+            hosts.append(host.as_py())
+            articles.append(_article_hash(root))
+            nodes.append([mine.number for mine, theirs in match(tree, root)[1] if mine.text.strip() and _squeeze(mine.text) == _squeeze(theirs.text)])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(nodes, pa.list_(pa.int32()))], names=["host", "article", "nodes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            texts = []
+            texts, dropped = [], []
             for page, ref, outer, inner in zip(*(part.column(k) for k in range(2, 6))):
                 page, ref = page.as_py(), ref.as_py()
                 if not page:
                     texts.append("")
+                    dropped.append(0)
                     continue
                 root = parse(page)
                 outer, inner = set(outer.as_py() or ()), set(inner.as_py() or ())
-                template = frozenset()
+                template: frozenset[int] = frozenset()
                 if outer and ref is not None:
-                    tree = _reference(ref)
-                    own = _inside(tree)
-                    constant = (outer - own) | (inner & own)
-                    template = frozenset(theirs.number for mine, theirs in match(tree, root)[1] if mine.number in constant and _squeeze(mine.text) == _squeeze(theirs.text))
+                    equal = [(mine.number, theirs.number) for mine, theirs in match(_reference(ref), root)[1] if mine.number in outer and _squeeze(mine.text) == _squeeze(theirs.text)]
+                    template = _template(root, _main(root), frozenset(q for _, q in equal), frozenset(q for p, q in equal if p in inner))
                 texts.append(text_of(root, template))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                dropped.append(len(template))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())], names=["page_id", "url", "text", "n_template"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_template) of every page; ``n_template``: how many
+    of its text nodes the host's template took out of the main text."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract("url", HOST, 1))
     rows = rows.withColumn("host", F.when(host != "", host))
-    references = rows.where("host IS NOT NULL AND html <> ''").groupBy("host").agg(F.min_by("html", F.xxhash64("page_id", "html")).alias("reference"))
+    layout = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(SKELETON), F.lit(0))))
+    known = rows.where("host IS NOT NULL AND html <> ''").withColumn("layout", F.pmod(F.xxhash64(layout), F.lit(LAYOUTS)))
+    of_layout = known.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min_by("html", F.xxhash64("page_id", "html")).alias("html"))
+    references = of_layout.groupBy("host").agg(F.max_by("html", F.struct("n", "layout")).alias("reference"))
     references = work_table(references, "reference-pages")
     met = rows.where("html <> ''").join(references, "host").select("host", "html", "reference")
-    counts = met.mapInArrow(_evidence, "host string, node int, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))
-    pages_of = counts.where("node = -1").select("host", F.col("n").alias("pages"))
-    often = counts.where("node >= 0").join(pages_of, "host")
+    found = met.mapInArrow(_evidence, "host string, article long, nodes array<int>")
+    articles = work_table(found.groupBy("host", "article").agg(F.max("nodes").alias("nodes")), "article-evidence")
+    counts = articles.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(articles.groupBy("host").agg(F.count(F.lit(1)).alias("articles")), "host")
     constant = often.groupBy("host").agg(
-        F.collect_list(F.when((F.col("pages") >= PAGES) & (F.col("n") >= SHARE * F.col("pages")), F.col("node"))).alias("outer"),
-        F.collect_list(F.when((F.col("pages") >= PAGES_INSIDE) & (F.col("n") >= SHARE_INSIDE * F.col("pages")), F.col("node"))).alias("inner"),
+        F.collect_list(F.when((F.col("articles") >= PAGES) & (F.col("n") >= SHARE * F.col("articles")), F.col("node"))).alias("outer"),
+        F.collect_list(F.when((F.col("articles") >= PAGES_INSIDE) & (F.col("n") >= SHARE_INSIDE * F.col("articles")), F.col("node"))).alias("inner"),
     )
     templates = work_table(references.join(constant, "host", "left"), "templates")
     drop_work_table(references)
+    drop_work_table(articles)
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = rows.join(templates, "host", "left").select("page_id", "url", "html", "reference", "outer", "inner").mapInArrow(_extract, f"page_id {kind}, url string, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    out = rows.join(templates, "host", "left").select("page_id", "url", "html", "reference", "outer", "inner").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_template long")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
