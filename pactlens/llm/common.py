@@ -19,11 +19,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a temporary one is made.
+    Where the session does not name one, local mode gets a temporary folder; on a
+    cluster that would be each machine's own, so it is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="pactlens-")
@@ -65,6 +68,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(name, str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def drop_work_table(df: DataFrame) -> None:
     """Delete the files of a work table that nothing will read any more."""
     spark = df.sparkSession

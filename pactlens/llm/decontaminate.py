@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, small_batches
+from .common import fresh, mix, rolling, small_batches
 
 WINDOW, LITERAL, SHORTEST, COVERAGE = 8, 5, 5, 0.5
 BITS = 24
@@ -217,6 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("k").alias("__k")).distinct()
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)))
-    return keyed.join(bad, "__k", "left_anti").drop("__k")
+    key = fresh(docs, "k")
+    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("k").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)))
+    return keyed.join(bad, key, "left_anti").drop(key)

@@ -1,4 +1,4 @@
-"""Substring deduplication by counting blocks and windows against an index of all blocks.
+"""Substring deduplication: documents factored against an index of all blocks.
 
 Words are runs of anything but ASCII white space. A window of ``window`` words that
 starts at two places or more, in one document or several, is a duplicate; every word
@@ -10,10 +10,14 @@ window's start to the last one's end. Equal windows have equal anchors at equal
 so a window can only recur in blocks with the same anchor. The blocks of all documents
 are the reference, indexed by (anchor, block) hash.
 
-Counting. No relative Lempel-Ziv factors are built. A block that occurs elsewhere as a
-whole is duplicate from its first window to its last. Where only its anchor occurs
-elsewhere, its windows are counted one by one with those of all other blocks of the
-same anchor, one of each kind of whole copies included.
+Factors. What a document has in common with the reference is found by hash, not by
+extending a text comparison word by word: a block that occurs elsewhere as a whole
+matches from its first window to its last. At the border, where only its anchor occurs
+elsewhere, its windows are looked up one by one among those of all other blocks of the
+same anchor, one of each kind of whole copies included, so a hot anchor costs a row a
+window and no pairs. The parse (``factor``) walks a document from left to right and
+takes the longest match that begins at or before each place; what matches nothing stays
+literal. Each factor has ``window`` words or more, and all its words go.
 
 Scale. About one row for 14 words is shuffled, pre-aggregated by hash; the counts are
 joined back, and Spark splits frequent keys there (AQE skew join). Windows are only
@@ -151,13 +155,32 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     return spans
 
 
-def covered(n_words: int, spans: np.ndarray, window: int) -> np.ndarray:
-    """Whether any span's windows cover each word."""
-    lo, hi = spans >> 31, spans & 0x7FFFFFFF
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, lo, 1)
-    np.add.at(step, hi + window, -1)
-    return np.cumsum(step[:-1]) > 0
+def factor(spans: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Greedy parse of a document into (first word, words) of its factors, in order;
+    ``spans`` are the matched ranges of window starts, packed. The windows that two
+    neighbouring factors share words with belong to one of them, so none is lost at
+    a boundary."""
+    spans = np.sort(spans)
+    los, his = (spans >> 31).tolist(), (spans & 0x7FFFFFFF).tolist()
+    out, at, reach, i = [], 0, -1, 0
+    while i < len(los) or reach >= at:
+        while i < len(los) and los[i] <= at:
+            reach = max(reach, his[i])
+            i += 1
+        if reach >= at:
+            out.append((at, reach - at + window))
+            at = reach + 1
+        elif i < len(los):
+            at = los[i]
+    return out
+
+
+def covered(n_words: int, factors: list[tuple[int, int]]) -> np.ndarray:
+    """Whether any factor covers each word."""
+    out = np.zeros(n_words, bool)
+    for first, words in factors:
+        out[first : first + words] = True
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,8 +189,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, rest): ``kept`` holds the words that stay, as
-    bytes of UTF-8, joined by one blank; ``rest`` the columns named in ``carry``."""
+    """(doc_id, n_words, n_removed, n_factors, kept, rest): ``kept`` holds the words that
+    stay, as bytes of UTF-8, joined by one blank; ``rest`` the columns named in ``carry``."""
     small_batches(docs.sparkSession)
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")), "doc_id", "text").drop("text")
@@ -175,19 +198,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, kept = [], [], []
+            n, gone, parts, kept = [], [], [], []
             for text, spans in zip(b.column(1), b.column(2)):
                 words = _words(text.as_py())
                 n.append(len(words))
-                if spans.is_valid:
-                    cut = covered(len(words), np.array(spans.as_py(), np.int64), window)
-                    gone.append(int(cut.sum()))
+                found = factor(np.array(spans.as_py(), np.int64), window) if spans.is_valid else []
+                cut = covered(len(words), found)
+                parts.append(len(found))
+                gone.append(int(cut.sum()))
+                if found:
                     words = compress(words, (~cut).tolist())
-                else:
-                    gone.append(0)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), b.column(3)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(kept, pa.binary()), b.column(3)], names=["doc_id", "n_words", "n_removed", "n_factors", "kept", "rest"])
 
     kind, rest_kind = (src.schema[c].dataType.simpleString() for c in ("doc_id", "rest"))
     joined = src.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "spans", "rest")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, rest {rest_kind}")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, n_factors long, kept binary, rest {rest_kind}")

@@ -8,8 +8,10 @@ the next, smaller array, and the rank of a key's bit is its slot. A slot stores
 fingerprint of the key and the place of its ids, so any document is found with a few
 reads, and a key that was never stored is known by its fingerprint.
 
-Documents are range-partitioned by key, so shards ascend. A task writes files under
-fresh names and reports them in a manifest; only files in the manifest count, so a
+Documents are range-partitioned by key, so shards ascend, and the manifest holds each
+one's least and largest key: a key leads to its shard (or shards, where equal keys go
+over a border) by binary search, and there to its ids. A task writes files under fresh
+names and reports them in the manifest; only files in the manifest count, so a
 lost or repeated task leaves no trace. Memory: one batch of texts and the index of one
 shard, which ``max_docs`` and ``max_ids`` bound.
 
@@ -31,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, mix, new_dir, work_table
@@ -39,7 +41,11 @@ from .common import filesystem, mix, new_dir, work_table
 MAGIC = b"PLTOKS01"
 FOOTER = struct.Struct("<QQQQB7x8s")  # documents, ids, place of keys, place of index, bytes of an id, magic
 GAMMA, LEVELS = 2.0, 48
-MANIFEST = "partition int, seq int, file string, n_docs bigint, n_ids bigint"
+MANIFEST = "partition int, seq int, file string, n_docs bigint, n_ids bigint, nulls boolean, least bigint, most bigint"
+#: Documents that one task reads back of a shard at once.
+PIECE = 1 << 16
+#: Shards whose key ranges the driver holds at most: 24 MB.
+MOST_SHARDS = 1_000_000
 
 
 # --- the tokenizer -------------------------------------------------------------------
@@ -49,9 +55,13 @@ class WordIds(dict):
     """word between blanks -> packed ids; a bounded memo over the tokenizers library.
 
     Blanks separate the pieces of this tokenizer and have no ids of their own, so a
-    text's ids are those of its words, one after another.
+    text's ids are those of its words, one after another. New words are encoded some
+    thousands at a time as one text with a separator between them: a call for each word
+    takes twice the time. Words that hold the separator are encoded one by one.
     """
 
+    SEPARATOR, TOGETHER = "|", 4096
+
     def __init__(self, path: str, kind: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
@@ -59,20 +69,41 @@ class WordIds(dict):
         super().__init__()
         self.kind, self.limit = kind, limit
         self.library = Tokenizer.from_file(path)
+        self.between = self._ids([self.SEPARATOR])[0]
         self[""] = b""
 
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if self.SEPARATOR in w] if len(self.between) == 1 else words
+        self.update(zip(alone, (x.tobytes() for x in self._ids(alone))))
+        if alone is words:
+            return
+        words = [w for w in words if self.SEPARATOR not in w]
+        for k in range(0, len(words), self.TOGETHER):
+            part = words[k : k + self.TOGETHER]
+            ids = self._ids([f" {self.SEPARATOR} ".join(part)])[0]
+            ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not keep the separator apart")
+            raw, width, start = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(part, ends):
+                self[w] = raw[start * width : end * width]
+                start = end + 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self})
+        met: set[str] = set()
+        for ws in words:
+            met.update(ws)
+        new = [w for w in met if w not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
             self[""] = b""
-            new = list({w for ws in words for w in ws if w})
-        for k in range(0, len(new), 1 << 15):
-            part = new[k : k + (1 << 15)]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+            new = [w for w in met if w]
+        self._learn(new)
+        return [b"".join([self[w] for w in ws]) for ws in words]
 
 
 @lru_cache(2)
@@ -232,6 +263,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("nulls", pa.bool_()), ("least", pa.int64()), ("most", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(path, kind), np.array([end_id], kind).tobytes()
@@ -253,7 +285,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
             writer.close()
             done.append(writer)
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"partition": np.full(len(done), part, np.int32), "seq": np.arange(len(done), dtype=np.int32), "file": pd.Series([w.name for w in done], dtype=str), "n_docs": [len(w.keys) for w in done], "n_ids": [w.n_ids for w in done]}), pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]), preserve_index=False)
+        rows = []
+        for seq, w in enumerate(done):
+            known = [key for key, null, _ in w.keys if not null]
+            rows.append({"partition": part, "seq": seq, "file": w.name, "n_docs": len(w.keys), "n_ids": w.n_ids, "nulls": len(known) < len(w.keys), "least": known[0] if known else None, "most": known[-1] if known else None})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
     manifest = work_table(dealt.mapInArrow(run, MANIFEST), "token-ids-manifest")
     return manifest, folder
@@ -263,30 +299,75 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every stored document, by its key.
 
     ``start`` counts the ids of all shards and documents before it. The manifest has
-    one row a shard, so its running sum is the only step in one task.
+    one row a shard, so its running sum is the only step in one task. Shards are read
+    in pieces of PIECE documents, dealt to as many tasks as the session shuffles to; the
+    number is given, lest small rows that stand for much reading are merged into one task.
     """
     before = Window.orderBy("partition", "seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, base in zip(frame["file"], frame["base"]):
+            for name, base, first in zip(frame["file"], frame["base"], frame["first"]):
                 shard = ShardReader(folder, name)
-                for k in range(0, shard.n, 1 << 14):
-                    keys = shard.keys[k : k + (1 << 14)]
+                for k in range(first, min(first + PIECE, shard.n), 1 << 14):
+                    keys = shard.keys[k : min(k + (1 << 14), first + PIECE)]
                     found, start, length = shard.find(keys["key"], keys["null"], keys["nth"])
                     if not found.all():
                         raise ValueError(f"{name}: a stored key was not found")
                     crc = [zlib.crc32(shard.ids(s, n).tobytes()) for s, n in zip(start.tolist(), length.tolist())]
                     yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(keys["key"].astype(np.int64), keys["null"].astype(bool)), "start": start + base, "n_tokens": length, "ids_crc32": crc})
 
-    dealt = shards.select("file", "base").repartition(F.col("file"))
-    return dealt.mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    pieces = shards.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(PIECE).cast("long"))).alias("first"))
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(tasks, "file", "first").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
 
+def lookup(manifest: DataFrame, folder: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """(key, nth, ids) of the stored documents with the keys in ``keys``, ``nth`` counting
+    equal keys within a shard: keys never
+    stored give no row, a key stored k times gives k, and repeated keys count once; a
+    null key finds the documents without one.
 
-def lookup(spark: SparkSession, folder: str, file: str, keys: list[int]) -> dict[int, list[int]]:
-    """The ids of some keys of one shard; keys that it does not hold are left out."""
-    shard = ShardReader(folder, file)
-    a = np.array(keys, np.int64)
-    found, start, length = shard.find(a, np.zeros(len(a), bool), np.zeros(len(a), np.int64))
-    return {k: shard.ids(s, n).tolist() for k, f, s, n in zip(keys, found, start.tolist(), length.tolist()) if f}
+    The directory, one range a shard, is a bounded array in every task: more than
+    MOST_SHARDS shards stop the job (then write larger ones). It deals keys to shards;
+    a task opens each of its shards once and takes a few reads a key.
+    """
+    rows = manifest.select("file", "nulls", "least", "most", "partition", "seq").orderBy("partition", "seq").limit(MOST_SHARDS + 1).collect()
+    if len(rows) > MOST_SHARDS:
+        raise ValueError("too many shards for the directory: write larger ones")
+    files = [r.file for r in rows]
+    full = [k for k, r in enumerate(rows) if r.least is not None]
+    least, most = (np.array([rows[k][c] for k in full], np.int64) for c in ("least", "most"))
+    without = [k for k, r in enumerate(rows) if r.nulls]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_pylist()
+            known = np.array([k or 0 for k in key], np.int64)
+            lo, hi = np.searchsorted(most, known, "left").tolist(), np.searchsorted(least, known, "right").tolist()
+            met = [(k, f) for k, a, z in zip(key, lo, hi) for f in (without if k is None else full[a:z])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in met], pa.int64()), pa.array([files[f] for _, f in met], pa.string())], names=["key", "file"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard = None, None
+        for b in batches:
+            out, size = [], 0
+            for key, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file != name:
+                    name, shard = file, ShardReader(folder, file)
+                nth = 0
+                while True:
+                    found, start, length = shard.find(np.array([key or 0], np.int64), np.array([key is None]), np.array([nth], np.int64))
+                    if not found[0]:
+                        break
+                    out.append({"key": key, "nth": nth, "ids": shard.ids(int(start[0]), int(length[0])).tolist()})
+                    nth, size = nth + 1, size + int(length[0])
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_pylist(out, found_schema)
+                        out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, found_schema)
+
+    found_schema = pa.schema([("key", pa.int64()), ("nth", pa.int32()), ("ids", pa.list_(pa.int64()))])
+    asked = keys.select(F.col(key_col).cast("long").alias("key")).distinct().mapInArrow(route, "key long, file string")
+    return asked.repartition("file").sortWithinPartitions("file", "key").mapInArrow(read, "key long, nth int, ids array<bigint>")

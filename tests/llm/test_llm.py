@@ -56,10 +56,20 @@ def test_token_store(spark):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
-    first = manifest.orderBy("partition", "seq").first().file
-    assert token_store.lookup(spark, folder, first, [10**9]) == {}
+    asked = spark.createDataFrame([(0,), (6,), (6,), (7,), (None,), (10**9,), (-5,)], "doc_id long")
+    found = token_store.lookup(manifest, folder, asked).collect()
+    want = collections.Counter((r.doc_id, tuple(ids[r.text])) for r in docs.collect() if r.doc_id in (0, 6, 7, None))
+    assert collections.Counter((r.key, tuple(r.ids)) for r in found) == want
     m, f = token_store.write_shards(odd_docs(spark, []), path, 1)
-    assert token_store.read_shards(m, f).count() == 0
+    assert token_store.read_shards(m, f).count() == token_store.lookup(m, f, asked).count() == 0
+
+
+def test_token_store_finds_keys_in_their_shards(spark):
+    docs = spark.createDataFrame([(i // 2 * 3, f"w{i} x") for i in range(400)], "doc_id long, text string")
+    manifest, folder = token_store.write_shards(docs, P.path("word_bpe_49k.json"), 1, max_docs=7)
+    assert manifest.count() > 50
+    found = token_store.lookup(manifest, folder, spark.range(-10, 700).toDF("doc_id"))
+    assert collections.Counter(r.key for r in found.collect()) == {k: 2 for k in range(0, 600, 3)}
 
 
 def test_perfect_hash_is_minimal():
@@ -94,6 +104,19 @@ def test_substrings(spark, window):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got.collect()) == cut_words(rows, window)
 
 
+def test_factors_are_the_longest_from_the_left():
+    packed = lambda *spans: np.array([lo << 31 | hi for lo, hi in spans], np.int64)
+    assert substring_dedup.factor(packed(), 5) == []
+    assert substring_dedup.factor(packed((3, 3), (0, 2), (0, 4), (9, 9)), 5) == [(0, 9), (9, 5)]
+    rng = random.Random(5)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(0, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        found = substring_dedup.factor(packed(*spans), 4)
+        want = {w for lo, hi in spans for w in range(lo, hi + 4)}
+        assert set(np.flatnonzero(substring_dedup.covered(80, found))) == want
+        assert all(n >= 4 for _, n in found) and found == sorted(found)
+
+
 def test_substrings_empty_and_carry(spark):
     assert substring_dedup.dedup_substrings(odd_docs(spark, [])).count() == 0
     assert substring_dedup.dedup_substrings(odd_docs(spark), carry=("rest", "h", "k")).select("rest.h").distinct().count() == 1
@@ -276,6 +299,44 @@ def test_html(spark):
     assert got[20].text == got[22].text == "" and got[21].text == "alone"
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_keeps_the_whole_main_text():
+    text = lambda page: html_extract.text_of(html_extract.parse(page))
+    assert text("<nav>n</nav><main><h1>T</h1><p>intro</p><article>short</article><p>long tail</p></main><footer>f</footer>") == "T\n\nintro\n\nshort\n\nlong tail"
+    assert text("<p>top</p><article><p>one</p></article><div>between</div><article><p>two</p></article>") == "one\n\ntwo"
+    assert text("<article><p>a</p><div class='related-work'>b</div><div class='related-posts'>c</div><ul class=related>d</ul></article>") == "a\n\nb"
+    assert text("<article class=comment-free>yes<article class=comment>no</article></article>") == "yes"
+    assert text("<article><article class=comment>no</article></article><p>body</p>") == "body"
+
+
+def test_html_template_of_neutral_names(spark):
+    """No article and no telling names: the template is what recurs, whatever it is called;
+    an odd page does not become the reference."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    page = lambda i: f"<body><div class=a1><span>Our shop</span><b>Call us</b></div><div class=a2><p>{words(i, 9)}</p>{'<p>' + words(i + 100, 5) + '</p>' if i % 3 else ''}<p>Read more of us</p></div><div class=a3>All rights with us</div></body>"
+    got = extracted(spark, [page(i) for i in range(14)] + ["<body><table><tr><td>odd</table></body>"])
+    for i in range(14):
+        assert got[i] == words(i, 9) + ("\n\n" + words(i + 100, 5) if i % 3 else "")
+    assert got[14] == "odd"
+
+
+def test_html_one_article_printed_again_is_no_template(spark):
+    page = lambda i: f"<body><i>ad {i}</i><article><p>The long story that this host prints again</p><p>second part of it</p></article></body>"
+    got = extracted(spark, [page(i) for i in range(12)])
+    assert set(got.values()) == {"The long story that this host prints again\n\nsecond part of it"}
+
+
+def test_html_deep_pages(spark):
+    deep = lambda own: "<div>" * 3000 + own + "</div>" * 3000
+    n, pairs = html_extract.match(html_extract.parse(deep("<p>a</p>b")), html_extract.parse(deep("c")))
+    assert n == 3002 and len(pairs) == 1
+    assert extracted(spark, [deep(f"<p>own {i}</p><b>same</b>" * (1 + i % 2)) for i in range(5)])[2] == "own 2"
+
+
 def test_html_long_lists():
     page = lambda n, own: html_extract.parse("<body><p>Top</p>" + "".join(f"<p>{own} {i}</p>" for i in range(n)) + "<p>Bottom</p></body>")
     n, pairs = html_extract.match(page(160, "one"), page(260, "two"))
