@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm import byte_bpe, decontaminate, jaccard_join, langid, substring_dedup
-from pactlens.llm.common import work_table
+from pactlens.llm.common import drop_work_table, fresh, work_table
 
 #: Less than this is no better than guessing among a few languages.
 LEAST_SCORE = 0.3
@@ -25,8 +25,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known; nulls and texts without letters go."""
     model = langid.fit(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True))))
-    found = langid.identify(docs, model, lang_as="__lang", score_as="__score")
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = langid.identify(docs, model, lang_as=lang, score_as=score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, in order, over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         docs = work_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            drop_work_table(last)
+        last = docs
     return docs
