@@ -84,10 +84,16 @@ def party_sets(system: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def metadata_accuracy(system: DataFrame, truth: DataFrame, fields: tuple[str, ...] = ("effective_date", "term", "termination_notice_period")) -> DataFrame:
-    """(doc_id, field, match): both missing, or both there and similar."""
-    long = lambda df, v: df.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(f, F.lit("")).alias(v)) for f in fields])).alias("x")).select("doc_id", "x.*")
+    """(doc_id, field, match): both null, or neither null nor empty and similar. Where
+    both sides have ``auto_renewal``, auto_renewal_exists matches if it is equal."""
+    long = lambda df, v: df.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias(v)) for f in fields])).alias("x")).select("doc_id", "x.*")
     rows = long(system, "a").join(long(truth, "b"), ["doc_id", "field"])
-    return rows.select("doc_id", "field", F.when(F.col("a").isNull() & F.col("b").isNull(), True).when(F.col("a").isNotNull() & F.col("b").isNotNull(), similarity_udf("a", "b") > 0.8).otherwise(False).alias("match"))
+    there = (F.col("a") != "") & (F.col("b") != "")
+    out = rows.select("doc_id", "field", F.when(F.col("a").isNull() & F.col("b").isNull(), True).when(there, similarity_udf("a", "b") > 0.8).otherwise(False).alias("match"))
+    if "auto_renewal" in system.columns and "auto_renewal" in truth.columns:
+        exists = system.select("doc_id", F.col("auto_renewal.exists").alias("a")).join(truth.select("doc_id", F.col("auto_renewal.exists").alias("b")), "doc_id")
+        out = out.unionByName(exists.select("doc_id", F.lit("auto_renewal_exists").alias("field"), F.col("a").eqNullSafe(F.col("b")).alias("match")))
+    return out
 
 
 def macro(obligations: DataFrame, risks: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def merge_parties(parsed: DataFrame) -> DataFrame:
 
 def merge_definitions(parsed: DataFrame) -> DataFrame:
     """(doc_id, ord, term, definition, source_location): the first of each term, if not empty."""
-    rows = parsed.select("doc_id", "chunk_index", F.posexplode("key_definitions").alias("pos", "d")).select("doc_id", "chunk_index", "pos", F.coalesce("d.term", F.lit("")).alias("term"), F.coalesce("d.definition", F.lit("")).alias("definition"), F.coalesce("d.source_location", F.lit("")).alias("source_location"))
+    rows = parsed.select("doc_id", "chunk_index", F.posexplode("key_definitions").alias("pos", "d")).select("doc_id", "chunk_index", "pos", F.coalesce("d.term", F.lit("")).alias("term"), F.coalesce("d.definition", F.lit("")).alias("definition"), F.coalesce("d.source_location", F.lit("Unknown")).alias("source_location"))
     return _numbered(_first_of_each(rows.where("term <> ''"), "term")).drop("chunk_index", "pos")
 
 
@@ -105,7 +105,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def merge_obligations(parsed: DataFrame) -> DataFrame:
     """Obligations numbered anew over all chunks; none is dropped."""
     rows = _numbered(parsed.select("doc_id", "chunk_index", F.posexplode("obligations").alias("pos", "o")))
-    default = {"party": "Unknown", "type": "requirement", "description": "", "source_text": "", "source_location": ""}
+    default = {"party": "Unknown", "type": "requirement", "description": "", "source_text": "", "source_location": "Unknown"}
     cols = [F.coalesce(f"o.{c}", F.lit(v)).alias(c) for c, v in default.items()]
     return rows.select("doc_id", "ord", F.format_string("OBL-%03d", "ord").alias("id"), *cols, "o.deadline", "o.conditions")
 

@@ -13,10 +13,23 @@ from ..session import session
 from ..sources.readers import read_documents
 
 
-def analyse(docs: DataFrame, extractor=None) -> dict[str, DataFrame]:
-    """All stages over ``docs`` (doc_id, raw_text); each document is read once."""
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """``df`` written once and read back; as it is where no path is given."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def analyse(docs: DataFrame, extractor=None, store: str | None = None) -> dict[str, DataFrame]:
+    """All stages over ``docs`` (doc_id, raw_text).
+
+    What the extractor says is used by several stages, and it may be slow, paid for and
+    say something else the next time: give the folder ``store``, and its parsed answers
+    are written there once and read back.
+    """
     chunks = structure.chunk_documents(docs)
-    parsed = extract.parse(extract.extract(chunks, extractor))
+    parsed = stored(extract.parse(extract.extract(chunks, extractor)), store and f"{store}/parsed")
     parties, obligations = extract.merge_parties(parsed), extract.merge_obligations(parsed)
     header, definitions = extract.merge_header(parsed), extract.merge_definitions(parsed)
     quotes = obligations.select("doc_id", "ord", F.col("id").alias("obligation_id"), "source_text", "source_location")
@@ -29,10 +42,16 @@ def analyse(docs: DataFrame, extractor=None) -> dict[str, DataFrame]:
 
 
 def analyse_folder(spark: SparkSession, folder: str, out: str, extractor=None) -> tuple[int, int]:
-    """Write reports; (documents read, files with an error)."""
+    """Write reports; (documents read, files with an error).
+
+    A document's id is its path, so files of one name in two folders or with two endings
+    stay apart. Parsed answers and the report are stored below ``out`` and read back, so
+    that all sinks agree.
+    """
     files = read_documents(spark, folder)
-    docs = files.where("error IS NULL").select(F.col("stem").alias("doc_id"), "raw_text")
-    report.write_reports(analyse(docs, extractor)["report"], out, save_markdown=True)
+    docs = files.where("error IS NULL").select(F.col("path").alias("doc_id"), "raw_text")
+    full = stored(analyse(docs, extractor, f"{out}/_store")["report"], f"{out}/_store/report")
+    report.write_reports(full, out, save_markdown=True)
     counts = files.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
     return counts[0], counts[1]
 

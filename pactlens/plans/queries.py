@@ -124,11 +124,11 @@ def merge_metadata(v):
 
 
 def renumber_obligations(v):
-    return extract.merge_obligations(extract.parse(v["responses"])).select("doc_id", "id", "party", "type", "description")
+    return extract.merge_obligations(extract.parse(v["responses"])).select("doc_id", "id", "party", "type", "description", "source_location")
 
 
 def merge_definitions(v):
-    return extract.merge_definitions(extract.parse(v["responses"])).select("doc_id", "ord", "term", "definition")
+    return extract.merge_definitions(extract.parse(v["responses"])).select("doc_id", "ord", "term", "definition", "source_location")
 
 
 def report_join(v):
@@ -312,8 +312,8 @@ def oracle_sql() -> dict[str, str]:
         "json_extract_tolerant": f"WITH {PARSED} SELECT doc_id, chunk_index, error, body->>'$.term' AS term, CASE WHEN error THEN 'JSON parsing error' ELSE body->>'$.extraction_notes' END AS notes FROM parsed",
         "merge_parties": f"WITH {PARSED}, x AS ({ITEMS.format('parties')}), f AS (SELECT *, x->>'$.name' AS name, x->>'$.role' AS role, row_number() OVER (PARTITION BY doc_id, x->>'$.name' ORDER BY chunk_index, pos) AS k FROM x) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::INT AS ord, name, role FROM f WHERE k = 1",
         "merge_metadata": f"WITH {PARSED}, x AS (SELECT doc_id, chunk_index, body->>'$.term' AS term, CASE WHEN error THEN 'JSON parsing error' ELSE body->>'$.extraction_notes' END AS notes FROM parsed) SELECT doc_id, first(term ORDER BY chunk_index) FILTER (term <> '') AS term, coalesce(string_agg(notes, chr(10) ORDER BY chunk_index) FILTER (notes <> ''), '') AS notes, count(*) AS chunks_processed FROM x GROUP BY doc_id",
-        "renumber_obligations": f"WITH {PARSED}, x AS ({ITEMS.format('obligations')}) SELECT doc_id, concat('OBL-', lpad((row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::VARCHAR, 3, '0')) AS id, coalesce(x->>'$.party', 'Unknown') AS party, 'requirement' AS type, x->>'$.description' AS description FROM x",
-        "merge_definitions": f"WITH {PARSED}, x AS ({ITEMS.format('key_definitions')}), f AS (SELECT *, x->>'$.term' AS term, row_number() OVER (PARTITION BY doc_id, x->>'$.term' ORDER BY chunk_index, pos) AS k FROM x) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::INT AS ord, term, x->>'$.definition' AS definition FROM f WHERE k = 1 AND term <> ''",
+        "renumber_obligations": f"WITH {PARSED}, x AS ({ITEMS.format('obligations')}) SELECT doc_id, concat('OBL-', lpad((row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::VARCHAR, 3, '0')) AS id, coalesce(x->>'$.party', 'Unknown') AS party, 'requirement' AS type, x->>'$.description' AS description, coalesce(x->>'$.source_location', 'Unknown') AS source_location FROM x",
+        "merge_definitions": f"WITH {PARSED}, x AS ({ITEMS.format('key_definitions')}), f AS (SELECT *, x->>'$.term' AS term, row_number() OVER (PARTITION BY doc_id, x->>'$.term' ORDER BY chunk_index, pos) AS k FROM x) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::INT AS ord, term, x->>'$.definition' AS definition, coalesce(x->>'$.source_location', 'Unknown') AS source_location FROM f WHERE k = 1 AND term <> ''",
         "report_join": f"WITH {FLAGS}, {RESULTS}, r AS (SELECT doc_id, obligation_id, first(severity ORDER BY {RANK} DESC) AS level, count(*) AS n FROM flags GROUP BY ALL) SELECT c.doc_id, c.ord, c.id, coalesce(level, 'low') AS risk_level, coalesce(n, 0) AS n_flags, status = 'verified' AS verified FROM clauses AS c LEFT JOIN r ON r.doc_id = c.doc_id AND r.obligation_id = c.id JOIN results AS v ON v.doc_id = c.doc_id AND v.ord = c.ord",
         "review_queue": f"WITH {FLAGS}, {RESULTS} SELECT doc_id, 0 AS branch, ord, 0 AS set_ord, obligation_id, 'possible_hallucination' AS type, 'Source text could not be verified' AS reason FROM results WHERE status = 'unverified' UNION ALL SELECT doc_id, 2, ord, set_ord, obligation_id, 'high_risk', concat('High-risk clause: ', title) FROM flags WHERE severity = 'high'",
         "report_summary_text": f"""WITH {FLAGS}, {SUMMARY}, {RESULTS}, {REPORT}, who AS (SELECT doc_id, string_agg(concat(party, ' (party)', CASE WHEN party = 'Tenant' THEN ' (You)' ELSE '' END), ', ' ORDER BY ord) AS who FROM (SELECT doc_id, party, min(ord) AS ord FROM clauses GROUP BY ALL) GROUP BY doc_id)
