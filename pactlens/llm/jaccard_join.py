@@ -32,9 +32,8 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHashes, drop_work_table, fresh, mix, rolling, small_batches, work_table
 from .components import components
@@ -46,8 +45,6 @@ LEAST_SEGMENT = 3
 #: Passes over the signatures, a power of two, and the columns that hold them.
 PASSES = 4
 SIGNATURES = [f"sigs_{p}" for p in range(PASSES)]
-#: Buckets of the histogram of all elements, by which rare ones are told from frequent ones.
-BUCKETS = 1 << 16
 #: Elements and heads that a row carries, so that pairs which share several are told apart.
 FIRSTS = 16
 
@@ -130,27 +127,21 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
 def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
 
 
 def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
     """Size, hashes and signatures of each set; the signatures lie in PASSES columns, by
-    their highest bits, so that each pass reads its own alone. Each task adds a row of
-    size -1 whose first list counts the elements it saw, in BUCKETS by their hashes."""
+    their highest bits, so that each pass reads its own alone."""
     bits = PASSES.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                size, h1, h2, sigs, ends, met = [], [], [], [], [0], []
+                size, h1, h2, sigs, ends = [], [], [], [], [0]
                 for text in part.column(2):
                     s = shingles(text.as_py(), n)
                     size.append(len(s))
@@ -162,12 +153,9 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
                             seen.clear()
                         seen.add(a)
                         sigs.append(signatures(s, num, den))
-                        met.append(_bucket(s))
                         ends.append(ends[-1] + len(sigs[-1]))
                     else:
                         ends.append(ends[-1])
-                if met:
-                    counts += np.bincount(np.concatenate(met), minlength=BUCKETS)
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
                 of_pass = flat >> np.uint64(64 - bits)
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -177,10 +165,8 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
                     until = np.concatenate(([0], np.cumsum(mine)))[ends]
                     dealt.append(pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), pa.array(flat[mine].view(np.int64))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), signed(h1), signed(h2), *dealt], names=["doc_id", "k", "n_shingles", "h", "h2", *SIGNATURES])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), *[pa.nulls(1, pa.int64())] * 2, pa.array([counts], pa.list_(pa.int64())), *[pa.nulls(1, pa.list_(pa.int64()))] * (PASSES - 1)], names=["doc_id", "k", "n_shingles", "h", "h2", *SIGNATURES])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    id_type = to_arrow_type(src.schema["doc_id"].dataType)
     return src.mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, h long, h2 long, {', '.join(f'{c} array<long>' for c in SIGNATURES)}")
 
 
@@ -193,7 +179,7 @@ def _candidates(sketches: DataFrame) -> DataFrame:
     """
     found = []
     for column in SIGNATURES:
-        rows = sketches.where("n_shingles > 0").select("h", F.explode(column).alias("sig"))
+        rows = sketches.select("h", F.explode(column).alias("sig"))
         heads = rows.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("sig", "a", "m")
         heads = work_table(heads, "heads")
         found.append(work_table(rows.join(heads, "sig").where("a <> h").groupBy("a", F.col("h").alias("b")).agg((F.max("m") > 2).alias("among_more")), "pairs-of-pass"))
@@ -204,15 +190,15 @@ def _candidates(sketches: DataFrame) -> DataFrame:
     return pairs
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Whole sets of each pair (a, b) of classes compared: (a, b, linked, size of b's
-    set, apart: how many elements just one of the two sets has, firsts: the first of
-    those elements, where b meets others beside a; see _open_pairs)."""
+    set, apart: how many elements just one of the two sets has, differ: those elements,
+    where b meets others beside a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for b in batches:
-            linked, size, far, firsts = [], [], [], []
+            linked, size, far, differ = [], [], [], []
             for x, y, more in zip(b.column(2), b.column(3), b.column(4)):
                 raw = x.as_py()
                 if raw != last:
@@ -223,19 +209,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, co
                 linked.append(den * both >= num * (both + len(apart)))
                 size.append(len(right))
                 far.append(len(apart))
-                if more.as_py():
-                    total = len(right) + len(right) * den // num
-                    most = total - 2 * -(-num * total // (num + den))
-                    of_head = left[np.minimum(np.searchsorted(left, apart), len(left) - 1)] == apart
-                    order = np.lexsort((apart, counts[_bucket(apart)], of_head))
-                    firsts.append(apart[order[: most + 1]].view(np.int64))
-                else:
-                    firsts.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(far, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["a", "b", "linked", "size", "apart", "firsts"])
+                differ.append(apart.view(np.int64) if more.as_py() else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(far, pa.int32()), pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "linked", "size", "apart", "differ"])
 
     half = pairs.join(texts.select(F.col("h").alias("b"), F.col("raw").alias("raw_b")), "b")
     whole = half.join(texts.select(F.col("h").alias("a"), F.col("raw").alias("raw_a")), "a")
-    return whole.select("a", "b", "raw_a", "raw_b", "among_more").mapInArrow(run, "a long, b long, linked boolean, size int, apart int, firsts array<long>")
+    return whole.select("a", "b", "raw_a", "raw_b", "among_more").mapInArrow(run, "a long, b long, linked boolean, size int, apart int, differ array<long>")
 
 
 def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
@@ -245,19 +224,18 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
 
     With D_b = b xor head, |D_b xor D_c| = |b xor c|, so a similar pair has
     |D_b ^ D_c| >= need = (|D_b| + |D_c| - most) / 2. In one order of all elements they
-    share one of the first |D| - need + 1 of both, and need is so large that the first
-    most + 1 will do: ``firsts``. Where the first shared stands bounds how many can
-    follow. Any order gives the same result; this one puts rare elements first, by the
-    histogram of all documents, and last what the head has of its own, which stands in
-    most D. An element that no other member has among its firsts meets none. Pairs with
-    need < 1 are both similar to the head.
+    share one of the first |D| - need + 1 of both; where the first shared stands bounds
+    how many can follow. The order is by how many members have the element, rarest
+    first: what the head alone has of its own stands in every D and so comes last. No
+    more than the first most + 1 can be needed, and one that no other member has meets
+    none. Pairs with need < 1 are both similar to the head.
 
     A similar pair is found by each head of both and by the element shared first, if by
     any; so it comes from the least such head and that element alone, as far as they are
     among the FIRSTS that a row carries. Beyond those it comes more than once, hence the
     distinct.
     """
-    crowd = compared.where("firsts IS NOT NULL").select("a", "b", "size", "apart")
+    crowd = compared.where("differ IS NOT NULL").select("a", "b", "size", "apart")
     known = crowd.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     heads = known.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a")
     known = work_table(known.join(heads, "a", "left_semi"), "family-known")
@@ -265,17 +243,26 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
     lesser = F.filter("heads", lambda h: h < F.col("a")).alias("lesser")
     members = work_table(known.join(heads_of, "b").select("a", "b", "label", "size", "apart", lesser), "family-members")
     drop_work_table(known)
-    # dealt by both ids, so that a head with many members is spread
-    elements = compared.select("a", "b", "firsts").join(members.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.posexplode("firsts").alias("pos", "x"))
-    shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("a", "x"), "family-shared")
-    met = elements.join(shared, ["a", "x"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("met"))
-    met = work_table(met, "family-met")
-    carried = F.transform(F.slice("met", 1, FIRSTS), lambda e: e["x"]).alias("carried")
-    earlier = F.slice("carried", F.lit(1), F.least("nth", F.lit(FIRSTS))).alias("earlier")
-    ranked = met.join(members, ["a", "b"]).select("*", carried).select("*", F.posexplode("met").alias("nth", "one"))
-    ranked = ranked.select("a", "b", "label", "size", "apart", "lesser", F.col("one.x").alias("x"), F.col("one.pos").alias("pos"), earlier)
-    ranked = work_table(ranked, "family-firsts")
-    for table in (members, shared, met):
+    # in passes over ranges of the elements; dealt by both ids, so that a head with many members is spread
+    parts = []
+    for p in range(PASSES):
+        mine = compared.select("a", "b", F.filter("differ", lambda x: F.pmod(x, F.lit(PASSES)) == p).alias("differ"))  # noqa: B023
+        elements = mine.where(F.size("differ") > 0).join(members.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("differ").alias("x"))
+        shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "family-shared")
+        parts.append(work_table(elements.join(shared, ["a", "x"]), "family-met"))
+        drop_work_table(shared)
+    met = reduce(DataFrame.unionByName, parts)
+    rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("x"))
+    reach = f"size + cast(floor(size * {den} / {num}) as int)"
+    whole = Window.partitionBy("a", "b")
+    ranked = met.withColumn("back", F.row_number().over(rarest)).withColumn("have", F.count(F.lit(1)).over(whole))
+    firsts = F.collect_list(F.when(F.col("have") - F.col("back") < FIRSTS, F.struct("often", "x"))).over(whole)
+    earlier = F.filter(F.col("firsts"), lambda e: e < F.struct("often", "x"))
+    ranked = ranked.withColumn("firsts", firsts).withColumn("earlier", F.transform(earlier, lambda e: e["x"]))
+    ranked = ranked.join(members, ["a", "b"]).withColumn("pos", F.expr("apart - back"))
+    ranked = ranked.where(f"pos <= {reach} - 2 * cast(ceil({num} * ({reach}) / {num + den}) as int)")
+    ranked = work_table(ranked.drop("often", "back", "have", "firsts"), "family-prefixes")
+    for table in (members, *parts):
         drop_work_table(table)
     members = ranked
     side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos", "earlier", "lesser")])
@@ -322,19 +309,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
     pairs = _candidates(sketches)
-    rows_of = work_table(sketches.where("n_shingles >= 0").drop(*SIGNATURES), "documents")
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in sketches.where("n_shingles < 0").select(F.posexplode(SIGNATURES[0])).groupBy("pos").agg(F.sum("col").alias("n")).where("n > 0").collect():
-        counts[r.pos] = r.n
+    rows_of = work_table(sketches.drop(*SIGNATURES), "documents")
     drop_work_table(sketches)
     involved = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(classes, "h").select("h", "k")
     texts = work_table(src.join(involved, "k").select("h", "raw"), "texts")
-    compared = work_table(_compared(pairs, texts, n, num, den, counts), "compared")
+    compared = work_table(_compared(pairs, texts, n, num, den), "compared")
     drop_work_table(pairs)
     labels = components(compared.where("linked").select("a", "b"))
     open_pairs = _open_pairs(compared, labels, num, den)
     drop_work_table(compared)
-    more = work_table(_compared(open_pairs, texts, n, num, den, counts).where("linked").select("a", "b"), "more-links")
+    more = work_table(_compared(open_pairs, texts, n, num, den).where("linked").select("a", "b"), "more-links")
     if more.limit(1).count():
         joined = components(_between(more, labels)).select(F.col("node").alias("label"), F.col("label").alias("further"))
         ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
