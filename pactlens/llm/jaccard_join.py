@@ -220,7 +220,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that may be similar among the classes compared with the same head, where
     their components differ. Who meets nobody but the head by any signature stays out:
-    all of its pairs are compared.
+    all of its pairs are compared. ``compared`` is dropped as soon as it has been read.
 
     With D_b = b xor head, |D_b xor D_c| = |b xor c|, so a similar pair has
     |D_b ^ D_c| >= need = (|D_b| + |D_c| - most) / 2. In one order of all elements they
@@ -251,6 +251,7 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
         shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "family-shared")
         parts.append(work_table(elements.join(shared, ["a", "x"]), "family-met"))
         drop_work_table(shared)
+    drop_work_table(compared)
     met = reduce(DataFrame.unionByName, parts)
     rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("x"))
     reach = f"size + cast(floor(size * {den} / {num}) as int)"
@@ -317,7 +318,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     drop_work_table(pairs)
     labels = components(compared.where("linked").select("a", "b"))
     open_pairs = _open_pairs(compared, labels, num, den)
-    drop_work_table(compared)
     more = work_table(_compared(open_pairs, texts, n, num, den).where("linked").select("a", "b"), "more-links")
     if more.limit(1).count():
         joined = components(_between(more, labels)).select(F.col("node").alias("label"), F.col("label").alias("further"))
