@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,23 +59,57 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _most_common(needle: str, text: str, widths: list[int], starts: list[np.ndarray]) -> list[np.ndarray]:
+    """How many characters each window can share with the needle at most, order left out."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = [np.zeros(len(s), np.int64) for s in starts]
+    for c, n in Counter(needle).items():
+        until = np.concatenate(([0], np.cumsum(codes == ord(c))))
+        for k, (w, s) in enumerate(zip(widths, starts)):
+            out[k] += np.minimum(until[s + w] - until[s], n)
+    return out
+
+
+def common_subsequence(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence, a word of ``n`` bits a character;
+    ``masks`` has the needle's places of each character. No ratio matches more."""
+    full = (1 << n) - 1
+    open_ = full
+    for c in text:
+        hit = open_ & masks.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return n - open_.bit_count()
+
+
 def best_window(needle: str, text: str, sizes: tuple[float, ...], clamp: bool) -> tuple[float, int, int]:
     """(score, start, length) of the window of ``text`` most like ``needle``.
 
-    Windows of each relative size step by a quarter; the first best stays. Windows whose
-    length or characters already bound their ratio below the best are not compared.
+    Windows of each relative size step by a quarter; the first best stays. They are
+    compared from the highest bound down, and the ratio is taken only where neither the
+    characters in common nor their longest common subsequence rule the window out.
     """
-    best, where, size = 0.0, -1, 0
+    n = len(needle)
+    widths = [w for w in (min(int(n * r), len(text)) if clamp else int(n * r) for r in sizes) if 1 <= w <= len(text)]
+    if not widths:
+        return 0.0, -1, 0
+    starts = [np.arange(0, len(text) - w + 1, max(1, w // 4)) for w in widths]
+    bounds = np.concatenate([2.0 * c / (n + w) for c, w in zip(_most_common(needle, text, widths, starts), widths)])
+    at, width = np.concatenate(starts).tolist(), np.repeat(widths, [len(s) for s in starts]).tolist()
+    masks: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        masks[c] = masks.get(c, 0) | 1 << i
+    best, where = 0.0, -1
     matcher = SequenceMatcher(None, "", "")
     matcher.set_seq1(needle)
-    for relative in sizes:
-        w = int(len(needle) * relative)
-        if clamp:
-            w = min(w, len(text))
-        if w < 1:
+    for k in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[k] < best or bounds[k] == 0:
+            break
+        window = text[at[k] : at[k] + width[k]]
+        bound = 2.0 * common_subsequence(masks, n, window) / (n + width[k])
+        if bound < best or bound == best and k > where:
             continue
-        for i in range(0, len(text) - w + 1, max(1, w // 4)):
-            matcher.set_seq2(text[i : i + w])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (score := matcher.ratio()) > best:
-                best, where, size = score, i, w
-    return best, where, size
+        matcher.set_seq2(window)
+        score = matcher.ratio()
+        if score > best or score == best > 0 and k < where:
+            best, where = score, k
+    return (best, at[where], width[where]) if where >= 0 else (0.0, -1, 0)

@@ -133,3 +133,25 @@ def render_checklist(results: DataFrame, misses: DataFrame) -> DataFrame:
     b = misses.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "ord", F.concat(F.lit("- [ ] line "), "line_number", F.lit(" ("), "keyword", F.lit("): "), truncate(F.col("sentence"))).alias("line")))).alias("missed"))
     lines = F.concat(F.array(F.lit("# Audit checklist"), F.lit("## Items")), F.transform("items", lambda x: x["line"]), F.when(F.col("missed").isNotNull(), F.concat(F.array(F.lit("## Potential misses")), F.transform("missed", lambda x: x["line"]))).otherwise(F.array().cast("array<string>")))
     return a.join(b, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("markdown"))
+
+
+def console_lines(results: DataFrame, misses: DataFrame) -> DataFrame:
+    """(doc_id, text): each item with a mark and its match, counts for each kind of item,
+    then three potential misses of each keyword."""
+    label = F.when(F.col("status") == "VERIFIED", "  OK {}: VERIFIED").when(F.col("status") == "LIKELY_OK", "  ~ {}: LIKELY OK").otherwise("  X {}: FLAGGED")
+    line = F.concat(F.replace(label, F.lit("{}"), F.col("item_id")), F.format_string(" (%.1f%% match)", F.col("match_ratio") * 100), F.when(F.col("status") == "FLAGGED", " <- NEEDS REVIEW").otherwise(""))
+    quoted = F.concat(line, F.lit('\n     "'), truncate(F.coalesce("source_text", F.lit("")), 60), F.lit('"'))
+    count = lambda status: F.count_if(F.col("status") == status)
+    kinds = results.groupBy("doc_id", "item_type").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", quoted.alias("line")))), lambda x: x["line"]).alias("lines"),
+        F.format_string("  Summary: %d verified, %d likely ok, %d flagged", count("VERIFIED"), count("LIKELY_OK"), count("FLAGGED")).alias("counts"),
+    )
+    head = F.when(F.col("item_type") == "obligation", F.format_string("SOURCE TEXT VERIFICATION (%d obligations)", F.size("lines"))).otherwise(F.format_string("RISK FLAG VERIFICATION (%d flags)", F.size("lines")))
+    blocks = kinds.select("doc_id", F.lit(0).alias("part"), F.col("item_type").alias("name"), F.concat_ws("\n", head, "lines", "counts").alias("block"))
+    top = keyword_top(misses)
+    shown = F.concat(F.format_string("    Line %d: \"", "line_number"), truncate(F.col("sentence"), 70), F.lit('"'))
+    by_word = top.groupBy("doc_id", "keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", shown.alias("line")))), lambda x: x["line"]).alias("lines"), F.max("of").alias("of"))
+    more = F.when(F.col("of") > 3, F.format_string("    ... and %d more", F.col("of") - 3))
+    missed = by_word.select("doc_id", F.lit(1).alias("part"), F.col("keyword").alias("name"), F.concat_ws("\n", F.concat(F.lit("  ["), "keyword", F.lit("]")), "lines", more).alias("block"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "name", "block"))), lambda x: x["block"])
+    return blocks.unionByName(missed).groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("text"))

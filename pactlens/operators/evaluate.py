@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, similarity_udf
@@ -20,7 +20,8 @@ def obligation_score(s, t) -> float:
 
 
 def risk_score(s, t) -> float:
-    return 0.3 * _same(s["category"], t["category"], 0.0) + 0.3 * similarity(s["source_text"], t["source_text"]) + 0.25 * similarity(s["title"], t["title"]) + 0.15 * _same(s["severity"], t["severity"], 0.5)
+    same = 0.3 * (s["category"] == t["category"]) + 0.15 * (1.0 if s["severity"] == t["severity"] else 0.5)
+    return same + 0.3 * similarity(s["source_text"], t["source_text"]) + 0.25 * similarity(s["title"], t["title"])
 
 
 def match_greedy(system: DataFrame, truth: DataFrame, score=obligation_score, threshold: float = 0.6, exact: float = 0.85) -> DataFrame:
@@ -102,5 +103,63 @@ def macro(obligations: DataFrame, risks: DataFrame) -> DataFrame:
     return rows.agg(F.avg("o").alias("obligation_f1"), F.avg("r").alias("risk_f1"), F.avg((F.col("o") + F.col("r")) / 2).alias("overall_f1"))
 
 
+def match_obligations(system: DataFrame, truth: DataFrame) -> DataFrame:
+    """match_greedy() of obligations with the ids of both and a line of details."""
+    found = match_greedy(system, truth, obligation_score, *OBLIGATION)
+    ids = lambda df, place, name: df.select("doc_id", F.col("ord").alias(place), F.col("id").alias(name))
+    rows = found.join(ids(system, "ord", "system_id"), ["doc_id", "ord"]).join(ids(truth, "truth_ord", "truth_id"), ["doc_id", "truth_ord"], "left")
+    text = F.when(F.col("truth_ord").isNull(), F.format_string("No match found (best score: %.2f)", "score")).otherwise(F.format_string("Matched to %s (score: %.2f)", "truth_id", "score"))
+    return rows.withColumn("details", text).select("doc_id", "ord", "truth_ord", "score", "match_type", "system_id", "truth_id", "details")
+
+
+def match_risks(system: DataFrame, truth: DataFrame) -> DataFrame:
+    """The same for risk flags (doc_id, ord, category, severity, title, source_text),
+    numbered from 1 in each document; flags of one obligation go by ``set_ord``."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        order = [c for c in ("ord", "set_ord") if c in df.columns]
+        return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("ord"), "category", "severity", "title", "source_text")
+
+    system, truth = placed(system), placed(truth)
+    found = match_greedy(system, truth, risk_score, *RISK)
+    of = lambda df, place, name: df.select("doc_id", F.col("ord").alias(place), F.coalesce("category", F.lit("None")).alias(name))
+    rows = found.join(of(system, "ord", "mine"), ["doc_id", "ord"]).join(of(truth, "truth_ord", "other"), ["doc_id", "truth_ord"], "left")
+    text = F.when(F.col("truth_ord").isNull(), F.format_string("No match (category: %s)", "mine")).otherwise(F.format_string("Category: %s -> %s", "mine", "other"))
+    truth_id = F.when(F.col("truth_ord").isNotNull(), F.format_string("GT-RISK-%d", "truth_ord"))
+    return rows.select("doc_id", "ord", "truth_ord", "score", "match_type", F.format_string("RISK-%d", "ord").alias("system_id"), truth_id.alias("truth_id"), text.alias("details"))
+
+
+def unmatched_lines(matches: DataFrame, first: int = 5) -> DataFrame:
+    """(doc_id, n, line): the first unmatched rows of each document, then how many more."""
+    w = Window.partitionBy("doc_id")
+    rows = matches.where("match_type = 'none'").withColumns({"n": F.row_number().over(w.orderBy("ord")), "of": F.count(F.lit(1)).over(w)}).where(F.col("n") <= first + 1)
+    line = F.when(F.col("n") <= first, F.concat("system_id", F.lit(": "), "details")).otherwise(F.format_string("... and %d more", F.col("of") - first))
+    return rows.select("doc_id", "n", line.alias("line"))
+
+
+def evaluation_report(obligations: tuple[DataFrame, DataFrame], risks: tuple[DataFrame, DataFrame], parties: tuple[DataFrame, DataFrame], headers: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One row a document that has annotations, each argument (found, annotated): metrics
+    and matches of obligations and risk flags, metrics of parties, accuracy of metadata,
+    the unmatched obligations, and the mean of both F1."""
+    names = ("precision", "recall", "f1")
+    counted = lambda m, name: m.select("doc_id", F.struct(*names, F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives")).alias(name))
+    listed = lambda m, name: m.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("system_id", "truth_id", "match_type", F.col("score").alias("similarity")).alias("m")))), lambda x: x["m"]).alias(name))
+    o, r = match_obligations(*obligations), match_risks(*risks)
+    sets = party_sets(*parties).select("doc_id", *[F.size(c).alias(c) for c in ("matched", "extra", "missing")])
+    of_sets = sets.withColumns(prf(F.col("matched"), F.col("matched") + F.col("extra"), F.col("matched") + F.col("missing")))
+    fields = metadata_accuracy(*headers).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "match")))).alias("metadata_accuracy"))
+    lines = unmatched_lines(o).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("unmatched"))
+    out = headers[1].select("doc_id")
+    for part in (counted(metrics(o, obligations[1]), "obligations"), counted(metrics(r, risks[1]), "risk_flags"), of_sets.select("doc_id", F.struct(*names).alias("parties")), fields, listed(o, "obligation_matches"), listed(r, "risk_matches"), lines):
+        out = out.join(part, "doc_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return out.withColumn("overall_f1", (zero("obligations.f1") + zero("risk_flags.f1")) / 2)
+
+
+def write_evaluation(reports: DataFrame, path: str) -> None:
+    """A JSON line for each document; absent values are written as null."""
+    reports.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def evaluate(system: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics(match_greedy(system, truth), truth)

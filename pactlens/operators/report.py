@@ -9,22 +9,24 @@ from .risk import severity_rank
 
 
 def join_obligations(obligations: DataFrame, flags: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, ord, id, risk_level, n_flags, verified): obligations, left-joined to their
-    highest risk and to the last verification result of their id; verified if none."""
-    risks = flags.groupBy("doc_id", F.col("obligation_id").alias("id")).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("level"), F.count(F.lit(1)).alias("n_flags"))
+    """(doc_id, ord, id, risk_level, n_flags, risk_flags, verified): obligations, left-joined
+    to their highest risk and the titles of all, and to the last verification result of
+    their id; verified if none."""
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("ord", "set_ord", "title"))), lambda x: x["title"])
+    risks = flags.groupBy("doc_id", F.col("obligation_id").alias("id")).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("level"), titles.alias("titles"))
     last = results.groupBy("doc_id", F.col("obligation_id").alias("id")).agg(F.max_by(F.col("status").isin("verified", "partial"), "ord").alias("ok"))
-    rows = obligations.join(risks, ["doc_id", "id"], "left").join(last, ["doc_id", "id"], "left")
-    return rows.select("doc_id", "ord", "id", F.coalesce("level", F.lit("low")).alias("risk_level"), F.coalesce("n_flags", F.lit(0)).alias("n_flags"), F.coalesce("ok", F.lit(True)).alias("verified"))
+    rows = obligations.join(risks, ["doc_id", "id"], "left").join(last, ["doc_id", "id"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    return rows.select("doc_id", "ord", "id", F.coalesce("level", F.lit("low")).alias("risk_level"), F.size("titles").alias("n_flags"), F.col("titles").alias("risk_flags"), F.coalesce("ok", F.lit(True)).alias("verified"))
 
 
 def review_queue(results: DataFrame, flags: DataFrame) -> DataFrame:
-    """(doc_id, branch, ord, set_ord, obligation_id, type, reason): unverified quotes, then
-    partial ones, then high risks."""
+    """(doc_id, branch, ord, set_ord, obligation_id, type, reason, confidence, details,
+    category, action_required): unverified quotes, then partial ones, then high risks."""
     out = None
     for branch, (status, kind, reason) in enumerate((("unverified", "possible_hallucination", "Source text could not be verified"), ("partial", "partial_match", "Partial match - verify source text"))):
-        part = results.where(F.col("status") == status).select("doc_id", F.lit(branch).alias("branch"), F.col("ord").cast("int").alias("ord"), F.lit(0).alias("set_ord"), "obligation_id", F.lit(kind).alias("type"), F.lit(reason).alias("reason"))
+        part = results.where(F.col("status") == status).select("doc_id", F.lit(branch).alias("branch"), F.col("ord").cast("int").alias("ord"), F.lit(0).alias("set_ord"), "obligation_id", F.lit(kind).alias("type"), F.lit(reason).alias("reason"), "confidence", F.col("issues").alias("details"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("action_required"))
         out = part if out is None else out.unionByName(part)
-    high = flags.where(F.col("severity") == "high").select("doc_id", F.lit(2).alias("branch"), "ord", "set_ord", "obligation_id", F.lit("high_risk").alias("type"), F.concat(F.lit("High-risk clause: "), "title").alias("reason"))
+    high = flags.where(F.col("severity") == "high").select("doc_id", F.lit(2).alias("branch"), "ord", "set_ord", "obligation_id", F.lit("high_risk").alias("type"), F.concat(F.lit("High-risk clause: "), "title").alias("reason"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<string>").alias("details"), "category", "action_required")
     return out.unionByName(high)
 
 
@@ -59,13 +61,42 @@ def summary_text(header: DataFrame, parties: DataFrame, obligations: DataFrame,
 def build_report(header: DataFrame, obligations: DataFrame, flags: DataFrame, results: DataFrame, report: DataFrame, summary: DataFrame, summaries: DataFrame) -> DataFrame:
     """One row a document: lists in their order, counts, summary; written as JSON lines."""
     listed = lambda df, order, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c != "doc_id" and c not in order]))).alias(name))
-    full = obligations.join(join_obligations(obligations, flags, results).select("doc_id", "id", "risk_level", "verified"), ["doc_id", "id"])
+    full = obligations.join(join_obligations(obligations, flags, results).select("doc_id", "ord", "risk_level", "risk_flags", "verified"), ["doc_id", "ord"])
     rows = header.join(summaries, "doc_id", "left").join(report, "doc_id", "left").join(summary, "doc_id", "left")
     for df, order, name in ((full, ["ord"], "obligations"), (flags, ["ord", "set_ord"], "risk_flags"), (review_queue(results, flags), ["branch", "ord", "set_ord"], "items_needing_review")):
         rows = rows.join(listed(df, order, name), "doc_id", "left")
     return rows
 
 
+def console_summary(reports: DataFrame, parties: DataFrame) -> DataFrame:
+    """(doc_id, text): the few lines that a command line shows of each report: two
+    parties, the term, five flags of each upper severity, three quotes to look at."""
+    empty = F.array().cast("array<string>")
+    who = F.concat("name", F.when(F.col("is_reader"), " (You)").otherwise(F.concat(F.lit(" ("), "role", F.lit(")"))))
+    p = parties.groupBy("doc_id").agg(F.array_join(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", who.alias("who")))), lambda x: x["who"])), 1, 2), ", ").alias("who"))
+
+    def some(rows: Column, n: int, head: str, line) -> Column:
+        size = F.size(rows)
+        shown = F.transform(F.slice(rows, 1, n), line)
+        more = F.when(size > n, F.array(F.format_string("  ... and %d more", size - n))).otherwise(empty)
+        return F.when(size > 0, F.concat(F.array(F.format_string(head, size)), shown, more, F.array(F.lit("")))).otherwise(empty)
+
+    flag = lambda r, i: F.concat(F.format_string("  %d. ", i + 1), r["title"], F.lit(" "), F.when(F.coalesce(r["source_location"], F.lit("")) != "", F.concat(F.lit("("), r["source_location"], F.lit(")"))).otherwise(""))
+    of = lambda severity: F.filter("risk_flags", lambda r: r["severity"] == severity)
+    review = F.filter("items_needing_review", lambda i: i["type"] != "high_risk")
+    term, date = F.nullif("term", F.lit("")), F.nullif("effective_date", F.lit(""))
+    when = F.array_join(F.array_compact(F.array(term, F.concat(F.lit("starting "), date))), " ")
+    warning = F.when(F.col("has_hallucinations"), "[WARNING] Possible hallucinations detected - review flagged items").when(F.col("rate") < 1, F.concat(F.lit("[NOTE] Verification rate: "), percent(F.col("rate"))))
+    lines = F.concat(
+        F.array_compact(F.array(F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.concat(F.lit("Parties: "), "who"), F.when(when != "", F.concat(F.lit("Term: "), when)), F.lit(""))),
+        some(of("high"), 5, "[HIGH RISK FLAGS] (%d):", flag),
+        some(of("medium"), 5, "[MEDIUM RISK FLAGS] (%d):", flag),
+        some(review, 3, "[!] ITEMS NEEDING HUMAN REVIEW (%d):", lambda i: F.concat(F.lit("  - "), i["obligation_id"], F.lit(": "), i["reason"])),
+        F.array_compact(F.array(warning)),
+    )
+    return reports.join(p, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 RULE = "=" * 60
 
 
@@ -106,11 +137,19 @@ def render_markdown(reports: DataFrame) -> DataFrame:
     return reports.select("doc_id", F.array_join(rows, "\n").alias("markdown"))
 
 
-def write_reports(reports: DataFrame, folder: str, save_json: bool = True, save_text: bool = True, save_markdown: bool = False) -> None:
-    """Each kind of report below ``folder``, one line or file part for each document."""
+def write_reports(reports: DataFrame, folder: str, save_json: bool = True, save_text: bool = True, save_markdown: bool = False, by_document: bool = False) -> None:
+    """Each kind of report below ``folder``, a line or a part of a file for each document;
+    with ``by_document`` in a folder stem=... for each name of a document instead, which
+    suits few documents."""
+    stem = F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")
+
+    def writer(df: DataFrame, *cols: str):
+        w = df.select(*cols, *([stem] if by_document else [])).write.mode("overwrite")
+        return w.partitionBy("stem") if by_document else w
+
     if save_json:
-        reports.write.mode("overwrite").json(f"{folder}/analysis")
+        writer(reports.withColumn("generated_at", F.current_timestamp()), "*").json(f"{folder}/analysis")
     if save_text:
-        render_text(reports).select("text").write.mode("overwrite").option("lineSep", "\n\n").text(f"{folder}/summary")
+        writer(render_text(reports), "text").option("lineSep", "\n\n").text(f"{folder}/summary")
     if save_markdown:
-        render_markdown(reports).select("markdown").write.mode("overwrite").option("lineSep", "\n\n").text(f"{folder}/report")
+        writer(render_markdown(reports), "markdown").option("lineSep", "\n\n").text(f"{folder}/report")

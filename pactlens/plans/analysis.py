@@ -41,7 +41,7 @@ def analyse(docs: DataFrame, extractor=None, store: str | None = None) -> dict[s
     return {"chunks": chunks, "parties": parties, "obligations": obligations, "definitions": definitions, "header": header, "results": results, "flags": flags, "report": full}
 
 
-def analyse_folder(spark: SparkSession, folder: str, out: str, extractor=None) -> tuple[int, int]:
+def analyse_folder(spark: SparkSession, folder: str, out: str, extractor=None, by_document: bool = False) -> tuple[int, int]:
     """Write reports; (documents read, files with an error).
 
     A document's id is its path, so files of one name in two folders or with two endings
@@ -51,7 +51,7 @@ def analyse_folder(spark: SparkSession, folder: str, out: str, extractor=None) -
     files = read_documents(spark, folder)
     docs = files.where("error IS NULL").select(F.col("path").alias("doc_id"), "raw_text")
     full = stored(analyse(docs, extractor, f"{out}/_store")["report"], f"{out}/_store/report")
-    report.write_reports(full, out, save_markdown=True)
+    report.write_reports(full, out, save_markdown=True, by_document=by_document)
     counts = files.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
     return counts[0], counts[1]
 
@@ -60,8 +60,9 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
+    p.add_argument("--by-document", action="store_true")
     args = p.parse_args(argv)
-    good, bad = analyse_folder(session(), args.input, args.output)
+    good, bad = analyse_folder(session(), args.input, args.output, by_document=args.by_document)
     print(f"{good} documents, {bad} files with errors")
     return int(bad > 0 or not good)
 

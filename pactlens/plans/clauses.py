@@ -27,6 +27,15 @@ TEXTS = [
     "'Claims are brought within one year; exclusive jurisdiction lies with the court named.'",
     "'Supplier will not reuse the data, and is required to delete material copies as needed.'",
     "'On breach the party has to cure within {d} days, to the satisfaction of the other.'",
+    "'Guarantor personally guarantees all sums without any limit; partners are jointly and severally bound and owe liquidated damages.'",
+    "'Supplier shall indemnify the customer against any and all losses; retroactive charges and an evergreen term apply.'",
+    "'Customer shall give notice at least 20 days before expiry; supplier may in its discretion terminate the order.'",
+    "'Supplier may increase the price of goods at any time; fees are non-refundable and the stock must be adequate.'",
+    "'Employee signs a non-compete and a non-solicit clause, shall not solicit staff and grants exclusive rights for 18 months.'",
+    "'Contractor shall assign to the customer all inventions made as work for hire and use best efforts.'",
+    "'Landlord may withhold consent in its sole and absolute discretion and may enter without approval.'",
+    "'Customer accepts a class action waiver; the prevailing party recovers legal fees if it moves within 6 months to file.'",
+    "'Tenant may remedy a lapse at its own cost, forfeits no payment and reserves the right to amend the plan without notice.'",
 ]
 HEADINGS = ["'PAYMENT TERMS'", "'TERM AND NOTICE'", "'GENERAL'", "'RESTRICTIONS ON USE'"]
 

@@ -54,10 +54,6 @@ def page_location(v):
     return rows.select("doc_id", "ord", verify.page_location(F.col("raw_text"), F.col("source_text"), F.col("source_location")).alias("location"))
 
 
-def _pages(v):
-    return structure.paginate(v["docs"])
-
-
 def section_headers(v):
     return structure.sections(v["docs"].withColumn("page", F.lit(1)).withColumnRenamed("raw_text", "text"))
 
@@ -72,7 +68,7 @@ def paragraph_sections(v):
 
 
 def paginate(v):
-    return _pages(v)
+    return structure.paginate(v["docs"], 200)
 
 
 def chunk_fold(v):
@@ -132,11 +128,12 @@ def merge_definitions(v):
 
 
 def report_join(v):
-    return report.join_obligations(v["clauses"], risk.score_risks(v["clauses"]), _results(v))
+    rows = report.join_obligations(v["clauses"], risk.score_risks(v["clauses"]), _results(v))
+    return rows.withColumn("risk_flags", F.array_join("risk_flags", "|"))
 
 
 def review_queue(v):
-    return report.review_queue(_results(v), risk.score_risks(v["clauses"]))
+    return report.review_queue(_results(v), risk.score_risks(v["clauses"])).drop("details")
 
 
 def report_summary_text(v):
@@ -170,42 +167,39 @@ def eval_prf1(v):
     return out.select("doc_id", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An agreement for each customer, for operators that compare texts in Python."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    text = F.concat(F.lit("The client "), "c_name", F.lit(" of segment "), "c_mktsegment", F.lit(" shall pay within "), F.col("c_nationkey") + 10, F.lit(" days. The supplier must deliver the goods ordered; delay is excused in cases named below.\nThe client may not assign its rights."))
-    docs = c.select(F.col("c_custkey").alias("doc_id"), text.alias("raw_text"))
-    exact = F.substring("raw_text", 5, 60)
-    quote = F.when(F.col("doc_id") % 4 == 0, exact).when(F.col("doc_id") % 4 == 1, F.replace(exact, F.lit("segment"), F.lit("sector"))).when(F.col("doc_id") % 4 == 2, F.lit("The supplier has to deliver ordered goods without delay")).otherwise(F.lit("Unrelated words 12 $40 stand here instead"))
-    quotes = docs.select("doc_id", F.lit(1).alias("ord"), F.lit("OBL-001").alias("obligation_id"), quote.alias("source_text"), F.lit(None).cast("string").alias("source_location"))
-    return docs, quotes
+def fuzzy_verify(v):
+    return verify.verify(v["quotes"], v["docs"]).withColumn("issues", F.array_join("issues", "|"))
+
+
+def audit_statuses(v):
+    items = v["quotes"].select("doc_id", "ord", F.col("obligation_id").alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
+    return audit.verify_quotes(items, v["docs"])
 
 
-def fuzzy_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, quotes = _small(spark, sf_dir)
-    return verify.verify(quotes, docs).withColumn("issues", F.array_join("issues", "|"))
+def audit_tallies(v):
+    return audit.status_tallies(audit_statuses(v))
 
 
-def audit_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, quotes = _small(spark, sf_dir)
-    items = quotes.select("doc_id", "ord", F.col("obligation_id").alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
-    return audit.verify_quotes(items, docs)
+def potential_misses(v):
+    return audit.potential_misses(keyword_sentences(v), v["quotes"])
 
 
-def audit_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.status_tallies(audit_statuses(spark, sf_dir))
+def eval_greedy_similarity(v):
+    return evaluate.match_obligations(v["clauses"], _truth(v))
 
 
-def potential_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, quotes = _small(spark, sf_dir)
-    return audit.potential_misses(audit.keyword_sentences(docs), quotes)
+def unmatched_obligations(v):
+    """The unmatched of matches by ready scores, for which there is SQL."""
+    m = evaluate.match_by_score(_scores(v), 0.95).withColumns({"match_type": F.when(F.col("truth_ord").isNull(), "none").otherwise("exact"), "system_id": F.format_string("OBL-%03d", "ord"), "details": F.lit("no match")})
+    return evaluate.unmatched_lines(m, 2)
 
 
-def eval_greedy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, quotes = _small(spark, sf_dir)
-    row = [F.lit("Client").alias("party"), F.lit("payment").alias("type"), F.lit("pays").alias("description")]
-    truth = docs.select("doc_id", F.lit(1).alias("ord"), F.substring("raw_text", 5, 60).alias("source_text"), *row)
-    return evaluate.match_greedy(quotes.select("doc_id", "ord", "source_text", *row), truth)
+def console_summary(v):
+    parties = v["clauses"].select("doc_id", "ord", F.col("party").alias("name"), F.lit("party").alias("role"), (F.col("party") == "Tenant").alias("is_reader"))
+    flags, results = risk.score_risks(v["clauses"]), _results(v)
+    listed = lambda df, order, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in ("doc_id", *order)]))).alias(name))
+    rows = _header(v).join(listed(flags, ("ord", "set_ord"), "risk_flags"), "doc_id", "left").join(listed(report.review_queue(results, flags), ("branch", "ord", "set_ord"), "items_needing_review"), "doc_id", "left")
+    return report.console_summary(rows.join(verify.verification_report(results), "doc_id", "left"), parties)
 
 
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +210,8 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumns({k: F.round(c, 6) for k, c in evaluate.prf(F.col("tp"), F.col("predicted"), F.col("positive")).items()})
 
 
-VIEWED = [quote_exact, quote_verify_rollup, quote_key_phrases, quote_original_sentence, page_location, section_headers, paragraphs, paragraph_sections, paginate, chunk_fold, keyword_sentences, keyword_top3, keyword_priority_top10, rule_match, rule_first_per_category, obligation_risk_rollup, auto_renewal_flag, risk_summary, json_extract_tolerant, merge_parties, merge_metadata, renumber_obligations, merge_definitions, report_join, review_queue, report_summary_text, eval_party_sets, eval_greedy_match, eval_prf1]
-DIRECT = [fuzzy_verify, audit_statuses, audit_tallies, potential_misses, eval_greedy_similarity, label_metrics]
+VIEWED = [quote_exact, quote_verify_rollup, quote_key_phrases, quote_original_sentence, page_location, section_headers, paragraphs, paragraph_sections, paginate, chunk_fold, keyword_sentences, keyword_top3, keyword_priority_top10, rule_match, rule_first_per_category, obligation_risk_rollup, auto_renewal_flag, risk_summary, json_extract_tolerant, merge_parties, merge_metadata, renumber_obligations, merge_definitions, report_join, review_queue, report_summary_text, eval_party_sets, eval_greedy_match, eval_prf1, fuzzy_verify, audit_statuses, audit_tallies, potential_misses, eval_greedy_similarity, unmatched_obligations, console_summary]
+DIRECT = [label_metrics]
 
 
 def queries() -> dict[str, Query]:
@@ -261,6 +255,7 @@ FLAGS = "flags AS (" + " UNION ALL ".join(
     f"SELECT doc_id, ord, {k} AS set_ord, id AS obligation_id, {_q(c)} AS category, {_q(risk.RULES[c][0])} AS severity, title, concat(title, {_q(' detected. ' + risk.RULES[c][3])}, description) AS description FROM (SELECT *, {_first(c)} AS title FROM (SELECT *, {T} AS t FROM clauses)) WHERE title IS NOT NULL"
     for k, c in enumerate(risk.CATEGORIES)
 ) + ")"
+ACTION = "CASE category " + " ".join(f"WHEN {_q(c)} THEN {_q(risk.RULES[c][1])}" for c in risk.CATEGORIES) + " END"
 RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 SUMMARY = f"""summary AS (SELECT *, CASE WHEN high >= 2 THEN 'high' WHEN high >= 1 OR medium >= 3 THEN 'medium' ELSE 'low' END AS overall FROM (
   SELECT doc_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
@@ -291,6 +286,29 @@ PHRASES = r"""p AS (SELECT doc_id, ord, lower(raw_text) AS d, list_slice(list_co
   FROM (SELECT q.doc_id, q.ord, q.source_text, raw_text, list_filter(regexp_split_to_array(q.source_text, '\s+'), lambda y: y <> '') AS w, %s AS common FROM quotes AS q JOIN docs USING (doc_id)))""" % ("[" + ", ".join(_q(w) for w in verify.COMMON) + "]")
 
 
+#: An obligation's options in their order, and the fold that takes the first one left.
+GREEDY = f"""{TRUTH}, scores AS (SELECT c.doc_id, c.ord, t.ord AS truth_ord, CASE WHEN c.party = t.party THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN c.type = t.type THEN 0.375::DOUBLE ELSE 0.125 END AS score FROM clauses AS c JOIN truth AS t USING (doc_id)),
+options AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, l FROM (SELECT doc_id, ord, list(struct_pack(t := truth_ord, s := score) ORDER BY score DESC, truth_ord) FILTER (score >= LEAST) AS l FROM scores GROUP BY doc_id, ord)),
+fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::INT[] AS used, NULL::INT AS ord, NULL::STRUCT(t INT, s DOUBLE) AS b FROM options
+  UNION ALL SELECT doc_id, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.t) END, ord, b FROM (
+    SELECT o.doc_id, o.k, f.used, o.ord, list_filter(o.l, lambda x: NOT list_contains(f.used, x.t))[1] AS b FROM fold AS f JOIN options AS o ON o.doc_id = f.doc_id AND o.k = f.k + 1)),
+matched AS (SELECT doc_id, ord, b.t AS truth_ord, b.s AS score FROM fold WHERE k > 0)"""
+
+
+def _folds() -> dict[str, str]:
+    """SQL of what depends on the rows before."""
+    parts = "parts AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) + 1 AS k, len(l) AS n FROM (SELECT doc_id, string_split(raw_text, concat(chr(10), chr(10))) AS l FROM docs))"
+    step = "length(cur) + length(p) > 200 AND cur <> ''"
+    pages = f"""{parts}, fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, ''::VARCHAR AS cur, []::VARCHAR[] AS done, n FROM parts
+  UNION ALL SELECT f.doc_id, p.k, CASE WHEN {step} THEN '' ELSE cur END || p || chr(10) || chr(10), CASE WHEN {step} THEN list_append(done, {_strip("cur")}) ELSE done END, f.n FROM fold AS f JOIN parts AS p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+whole AS (SELECT doc_id, CASE WHEN {_strip("cur")} <> '' THEN list_append(done, {_strip("cur")}) ELSE done END AS l FROM fold WHERE k = n)"""
+    return {
+        "paginate": f"WITH {pages} SELECT doc_id, (unnest(range(len(l))) + 1)::INT AS page, unnest(l) AS text FROM whole",
+        "eval_greedy_match": f"WITH {GREEDY.replace('LEAST', '0.6')} SELECT * FROM matched",
+        "unmatched_obligations": f"WITH {GREEDY.replace('LEAST', '0.95')} SELECT doc_id, n, CASE WHEN n <= 2 THEN concat('OBL-', lpad(ord::VARCHAR, 3, '0'), ': no match') ELSE concat('... and ', m - 2, ' more') END AS line FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ord))::INT AS n, count(*) OVER (PARTITION BY doc_id) AS m FROM matched WHERE truth_ord IS NULL) WHERE n <= 3",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     body = {
         "quote_exact": f"WITH {RESULTS} SELECT doc_id, ord, status, confidence FROM results",
@@ -314,8 +332,8 @@ def oracle_sql() -> dict[str, str]:
         "merge_metadata": f"WITH {PARSED}, x AS (SELECT doc_id, chunk_index, body->>'$.term' AS term, CASE WHEN error THEN 'JSON parsing error' ELSE body->>'$.extraction_notes' END AS notes FROM parsed) SELECT doc_id, first(term ORDER BY chunk_index) FILTER (term <> '') AS term, coalesce(string_agg(notes, chr(10) ORDER BY chunk_index) FILTER (notes <> ''), '') AS notes, count(*) AS chunks_processed FROM x GROUP BY doc_id",
         "renumber_obligations": f"WITH {PARSED}, x AS ({ITEMS.format('obligations')}) SELECT doc_id, concat('OBL-', lpad((row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::VARCHAR, 3, '0')) AS id, coalesce(x->>'$.party', 'Unknown') AS party, 'requirement' AS type, x->>'$.description' AS description, coalesce(x->>'$.source_location', 'Unknown') AS source_location FROM x",
         "merge_definitions": f"WITH {PARSED}, x AS ({ITEMS.format('key_definitions')}), f AS (SELECT *, x->>'$.term' AS term, row_number() OVER (PARTITION BY doc_id, x->>'$.term' ORDER BY chunk_index, pos) AS k FROM x) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos))::INT AS ord, term, x->>'$.definition' AS definition, coalesce(x->>'$.source_location', 'Unknown') AS source_location FROM f WHERE k = 1 AND term <> ''",
-        "report_join": f"WITH {FLAGS}, {RESULTS}, r AS (SELECT doc_id, obligation_id, first(severity ORDER BY {RANK} DESC) AS level, count(*) AS n FROM flags GROUP BY ALL) SELECT c.doc_id, c.ord, c.id, coalesce(level, 'low') AS risk_level, coalesce(n, 0) AS n_flags, status = 'verified' AS verified FROM clauses AS c LEFT JOIN r ON r.doc_id = c.doc_id AND r.obligation_id = c.id JOIN results AS v ON v.doc_id = c.doc_id AND v.ord = c.ord",
-        "review_queue": f"WITH {FLAGS}, {RESULTS} SELECT doc_id, 0 AS branch, ord, 0 AS set_ord, obligation_id, 'possible_hallucination' AS type, 'Source text could not be verified' AS reason FROM results WHERE status = 'unverified' UNION ALL SELECT doc_id, 2, ord, set_ord, obligation_id, 'high_risk', concat('High-risk clause: ', title) FROM flags WHERE severity = 'high'",
+        "report_join": f"WITH {FLAGS}, {RESULTS}, r AS (SELECT doc_id, obligation_id, first(severity ORDER BY {RANK} DESC) AS level, count(*)::INT AS n, string_agg(title, '|' ORDER BY set_ord) AS titles FROM flags GROUP BY ALL) SELECT c.doc_id, c.ord, c.id, coalesce(level, 'low') AS risk_level, coalesce(n, 0) AS n_flags, coalesce(titles, '') AS risk_flags, status = 'verified' AS verified FROM clauses AS c LEFT JOIN r ON r.doc_id = c.doc_id AND r.obligation_id = c.id JOIN results AS v ON v.doc_id = c.doc_id AND v.ord = c.ord",
+        "review_queue": f"WITH {FLAGS}, {RESULTS} SELECT doc_id, 0 AS branch, ord, 0 AS set_ord, obligation_id, 'possible_hallucination' AS type, 'Source text could not be verified' AS reason, confidence, NULL::VARCHAR AS category, NULL::VARCHAR AS action_required FROM results WHERE status = 'unverified' UNION ALL SELECT doc_id, 2, ord, set_ord, obligation_id, 'high_risk', concat('High-risk clause: ', title), NULL, category, {ACTION} FROM flags WHERE severity = 'high'",
         "report_summary_text": f"""WITH {FLAGS}, {SUMMARY}, {RESULTS}, {REPORT}, who AS (SELECT doc_id, string_agg(concat(party, ' (party)', CASE WHEN party = 'Tenant' THEN ' (You)' ELSE '' END), ', ' ORDER BY ord) AS who FROM (SELECT doc_id, party, min(ord) AS ord FROM clauses GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, concat_ws(chr(10), 'Parties: ' || who, CASE WHEN doc_id % 2 = 0 THEN 'Term: 2 years' END, CASE WHEN renews THEN concat('Auto-Renewal: ', coalesce(period, 'Yes'), ', notice required: ', coalesce(notice, 'unspecified')) END,
   concat('Total Obligations: ', coalesce(total, 0)), concat('Verification: ', coalesce(verified, 0), '/', coalesce(total, 0), ' verified (', round_even(coalesce(rate, 1.0) * 100, 0)::INT, '%)'), 'Overall Risk: ' || upper(coalesce(overall, 'low')),
@@ -324,6 +342,6 @@ FROM renewals LEFT JOIN who USING (doc_id) LEFT JOIN report USING (doc_id) LEFT
         "eval_party_sets": f"WITH {TRUTH}, s AS (SELECT DISTINCT doc_id, lower(party) AS n FROM clauses), t AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN lower(party) || ' ltd' ELSE lower(party) END AS n FROM truth), b AS (SELECT doc_id, n, max(a) AS a, max(b) AS b FROM (SELECT doc_id, n, 1 AS a, 0 AS b FROM s UNION ALL SELECT doc_id, n, 0, 1 FROM t) GROUP BY doc_id, n) SELECT doc_id, coalesce(string_agg(n, '|' ORDER BY n) FILTER (a = 1 AND b = 1), '') AS matched, coalesce(string_agg(n, '|' ORDER BY n) FILTER (b = 0), '') AS extra, coalesce(string_agg(n, '|' ORDER BY n) FILTER (a = 0), '') AS missing FROM b GROUP BY doc_id",
         "eval_prf1": f"WITH {TRUTH}, m AS (SELECT doc_id, count(*) FILTER ((doc_id + ord) % 4 <> 0) AS tp, count(*) FILTER ((doc_id + ord) % 4 = 0) AS fp FROM clauses WHERE ord % 5 <> 0 GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n FROM truth GROUP BY doc_id), x AS (SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(n, 0) AS n FROM m FULL JOIN t USING (doc_id)), y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS r FROM x) SELECT doc_id, tp, fp, n - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM y",
     }
-    out = {k: duck(v) for k, v in body.items()}
+    out = {k: duck(v) for k, v in body.items()} | {k: duck(v).replace("WITH ", "WITH RECURSIVE ", 1) for k, v in _folds().items()}
     out["label_metrics"] = "WITH x AS (SELECT lang, count(*) FILTER (n_chars > 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars > 1000) AS predicted, sum(quality)::BIGINT AS positive FROM labels JOIN documents USING (doc_id) GROUP BY lang), y AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS p, coalesce(tp / nullif(positive, 0), 0) AS r FROM x) SELECT lang, tp, predicted, positive, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM y"
     return out
