@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,12 @@ def location_label(start: Column, end: Column) -> Column:
     return F.when(start == end, F.format_string("Page %d", start)).otherwise(F.format_string("Pages %d-%d", start, end))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that cost milliseconds each, dealt over all shuffle partitions: by their bytes
+    alone they would be merged into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ratio(a: str, b: str, autojunk: bool = True) -> float:
     """Share of matching characters; not symmetric, and lower for long ``b`` with autojunk."""
     return SequenceMatcher(None, a, b, autojunk).ratio()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import best_window, ratio, strip, truncate
+from ..functions.text import audit_norm, best_window, is_blank, ratio, spread, strip, truncate
 
 #: Keywords of obligations, first match wins; fixed values.
 KEYWORDS = {
@@ -72,8 +72,15 @@ def fuzzy_match(source: str | None, text: str) -> tuple[float, str | None]:
 
 def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``items`` (doc_id, ord, item_id, item_type, source_text) with match_ratio, status
-    and best_match_text."""
-    rows = items.join(docs.select("doc_id", "raw_text"), "doc_id", "left")
+    and best_match_text.
+
+    What the text holds, and what is blank, is decided by Spark's own functions; only the
+    others pass through the search in Python.
+    """
+    d = docs.select("doc_id", "raw_text", audit_norm(F.col("raw_text")).alias("doc_norm"))
+    columns = ["doc_id", F.col("ord").cast("int").alias("ord"), "item_id", "item_type", "source_text"]
+    rows = items.join(d, "doc_id", "left").withColumns({"blank": is_blank(F.col("source_text")), "held": F.coalesce(F.contains("doc_norm", audit_norm(F.col("source_text"))), F.lit(False))})
+    easy = rows.where("blank OR held").select(*columns, F.when(F.col("blank"), 0.0).otherwise(1.0).alias("match_ratio"), F.when(~F.col("blank"), F.col("source_text")).alias("best_match_text"))
     schema = f"doc_id {items.schema['doc_id'].dataType.simpleString()}, ord int, item_id string, item_type string, source_text string, match_ratio double, best_match_text string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,8 +88,8 @@ def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85) ->
             found = [fuzzy_match(s, t or "") for s, t in zip(f["source_text"], f["raw_text"])]
             yield f.drop(columns="raw_text").assign(match_ratio=[x[0] for x in found], best_match_text=[x[1] for x in found])
 
-    out = rows.select("doc_id", F.col("ord").cast("int").alias("ord"), "item_id", "item_type", "source_text", "raw_text").mapInPandas(run, schema)
-    return out.withColumn("status", audit_status(F.col("match_ratio"), threshold))
+    hard = spread(rows.where("NOT blank AND NOT held").select(*columns, "raw_text"), "doc_id", "ord")
+    return easy.unionByName(hard.mapInPandas(run, schema)).withColumn("status", audit_status(F.col("match_ratio"), threshold))
 
 
 def audit_status(score: Column, threshold: float = 0.85) -> Column:
@@ -102,7 +109,8 @@ def _best_ratio(sentences: pd.Series, quotes: pd.Series) -> pd.Series:
     out = []
     for s, qs in zip(sentences, quotes):
         a = " ".join(s.split()).lower()
-        out.append(max((ratio(a, " ".join(q.split()).lower()) for q in qs if q), default=0.0))
+        others = [" ".join(q.split()).lower() for q in qs if q]
+        out.append(1.0 if a and a in others else max((ratio(a, q) for q in others), default=0.0))
     return pd.Series(out)
 
 
