@@ -1,6 +1,8 @@
 """Operators on small hand-made inputs, and all queries against their SQL."""
 
+import json
 import os
+import random
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pactlens.functions.text import best_window, similarity
 from pactlens.operators import audit, evaluate, extract, report, risk, structure, verify
 from pactlens.plans import analysis, queries
+from pactlens.plans import audit as audit_plan
 from pactlens.sources import readers
 from pactlens.streaming import intake
 
@@ -43,6 +46,26 @@ def test_best_window_equals_full_search():
     assert best_window(needle, text, (1.0, 1.2, 1.5, 0.8), True) == best
 
 
+def _every_window(needle, text, sizes, clamp):
+    best = (0.0, -1, 0)
+    for m in sizes:
+        w = min(int(len(needle) * m), len(text)) if clamp else int(len(needle) * m)
+        for i in range(0, len(text) - w + 1, max(1, w // 4)) if w else ():
+            r = SequenceMatcher(None, needle, text[i : i + w]).ratio()
+            if r > best[0]:
+                best = (r, i, w)
+    return best
+
+
+def test_best_window_on_random_texts():
+    rng = random.Random(5)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abc d", "abcdefgh ij"])
+        needle, text = ("".join(rng.choice(letters) for _ in range(rng.randint(1, n))) for n in (25, 90))
+        for sizes, clamp in (((1.0, 1.2, 1.5, 0.8), True), ((1.0, 1.2, 0.8), False)):
+            assert best_window(needle, text, sizes, clamp) == _every_window(needle, text, sizes, clamp)
+
+
 def test_pagination_and_chunks(spark):
     paras = [f"Paragraph {i}. " + "word " * (20 + i * 7 % 50) for i in range(40)]
     docs = spark.createDataFrame([(1, "\n\n".join(paras)), (2, ""), (3, None)], "doc_id int, raw_text string")
@@ -132,6 +155,47 @@ def test_greedy_is_in_order_not_optimal(spark):
     assert {r.ord: r.truth_ord for r in out.collect()} == {1: 2, 2: None, 3: 1}
 
 
+def test_evaluation_report(spark, tmp_path):
+    kind = "doc_id int, ord int, id string, source_text string, description string, party string, type string"
+    mine = spark.createDataFrame([(1, i, f"OBL-00{i}", t, "d", "A", "payment") for i, t in enumerate(["pay the rent", *["#" * 5 + str(i) for i in range(6)]], 1)], kind)
+    truth = spark.createDataFrame([(1, 1, "GT-1", "pay the rent", "d", "a", "payment"), (2, 1, "GT-1", "x", "d", "a", "payment")], kind)
+    flags = "doc_id int, ord int, category string, severity string, title string, source_text string"
+    risks = spark.createDataFrame([(1, 4, "time_bomb", "high", "T", "s"), (1, 9, "other", "low", "Q", None)], flags)
+    true_risks = spark.createDataFrame([(1, 2, "time_bomb", "high", "T", "s")], flags)
+    parties = spark.createDataFrame([(1, "A"), (1, "B")], "doc_id int, name string")
+    header = spark.createDataFrame([(1, None, "2 years", ""), (2, None, None, None)], "doc_id int, effective_date string, term string, termination_notice_period string")
+    report_rows = evaluate.evaluation_report((mine, truth), (risks, true_risks), (parties, parties.limit(1)), (header, header))
+    evaluate.write_evaluation(report_rows, str(tmp_path / "out"))
+    got = {r["doc_id"]: r for p in (tmp_path / "out").glob("part-*") for r in map(json.loads, p.read_text().splitlines())}
+    assert got[1]["obligations"]["true_positives"] == 1 and got[1]["obligations"]["false_positives"] == 6
+    assert [m["truth_id"] for m in got[1]["risk_matches"]] == ["GT-RISK-1", None] and got[1]["risk_matches"][1]["system_id"] == "RISK-2"
+    assert got[1]["metadata_accuracy"] == {"effective_date": True, "term": True, "termination_notice_period": False}
+    assert len(got[1]["unmatched"]) == 6 and got[1]["unmatched"][-1] == "... and 1 more" and got[1]["unmatched"][0].startswith("OBL-002: No match found (best score: 0.")
+    assert got[1]["overall_f1"] == pytest.approx((0.25 + 2 / 3) / 2) and got[2]["overall_f1"] == 0
+
+
+def test_audit_folder(spark, tmp_path):
+    for name in ("in", "notes"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "in/a.txt").write_text("The seller shall deliver goods. The buyer must pay within ten days; nothing else.")
+    items = [{"id": "OBL-001", "source_text": "the seller SHALL deliver goods."}, {"id": "OBL-002", "source_text": "Zebra farms are quite unlike this"}]
+    (tmp_path / "notes/a_ground_truth.json").write_text(json.dumps({"obligations": items, "risk_flags": [{"title": "T", "source_text": "nothing else", "_audit_status": "done"}]}))
+    found = audit_plan.audit_folder(spark, str(tmp_path / "in"), str(tmp_path / "notes"), str(tmp_path / "out"), prepare=True)
+    assert found == {"VERIFIED": 2, "FLAGGED": 1}
+    text = "".join(p.read_text() for p in (tmp_path / "out/console/stem=a").glob("part-*"))
+    assert "OK OBL-001: VERIFIED (100.0% match)" in text and "X OBL-002: FLAGGED" in text and "Summary: 1 verified, 0 likely ok, 1 flagged" in text and "[MUST]" in text
+    ready = json.loads("".join(p.read_text() for p in (tmp_path / "out/prepared/stem=a").glob("part-*")))
+    assert [o["_audit_status"] for o in ready["obligations"]] == ["pending"] * 2 and ready["risk_flags"][0]["_audit_status"] == "done"
+
+
+def test_reports_by_document(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("The client shall pay within ten days.")
+    assert analysis.analyse_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), by_document=True) == (1, 0)
+    for kind in ("analysis", "summary", "report"):
+        assert list((tmp_path / "out" / kind / "stem=a").glob("part-*"))
+
+
 def test_audit(spark):
     docs = spark.createDataFrame([(1, "The seller shall deliver. The buyer must pay; nothing else.\nshort\nHe agrees to all of it.")], "doc_id int, raw_text string")
     found = audit.keyword_sentences(docs)
