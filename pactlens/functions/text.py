@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -57,7 +58,16 @@ def similarity(a: str | None, b: str | None) -> float:
     """Ratio of the stripped lower-case texts; 0 if one is missing."""
     if not a or not b:
         return 0.0
-    return ratio(a.lower().strip(), b.lower().strip())
+    a, b = a.lower().strip(), b.lower().strip()
+    return 1.0 if a == b else ratio(a, b)
+
+
+def similarity_bound(a: str | None, b: str | None) -> float:
+    """At least their similarity: by the characters in common, order left out."""
+    if not a or not b:
+        return 0.0
+    a, b = a.lower().strip(), b.lower().strip()
+    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 1.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -76,17 +86,68 @@ def _most_common(needle: str, text: str, widths: list[int], starts: list[np.ndar
     return out
 
 
-def common_subsequence(masks: dict[str, int], n: int, text: str) -> int:
+def common_subsequence(places: list[int], n: int) -> int:
     """Length of the longest common subsequence, a word of ``n`` bits a character;
-    ``masks`` has the needle's places of each character. No ratio matches more."""
+    ``places`` has the needle's places of each character. No ratio matches more."""
     full = (1 << n) - 1
     open_ = full
-    for c in text:
-        hit = open_ & masks.get(c, 0)
-        open_ = ((open_ + hit) | (open_ - hit)) & full
+    for p in places:
+        hit = open_ & p
+        if hit:
+            open_ = ((open_ + hit) | (open_ - hit)) & full
     return n - open_.bit_count()
 
 
+def _runs(needle: str, text: str) -> np.ndarray:
+    """Length of the run of equal characters that ends at each (needle, text) place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros((len(needle) + 1, len(codes) + 1), np.int32)
+    for i, c in enumerate(needle):
+        np.multiply(out[i, :-1] + 1, codes == ord(c), out=out[i + 1, 1:])
+    return out[1:, 1:]
+
+
+def _edges(rows: int, columns: int) -> np.ndarray:
+    """Longest run that fits between the upper left corner and each place."""
+    return np.minimum.outer(np.arange(1, rows + 1, dtype=np.int32), np.arange(1, columns + 1, dtype=np.int32))
+
+
+def matched(runs: np.ndarray, edges: np.ndarray, least: int) -> int:
+    """Characters in matching blocks: the longest block first, the earliest of equals,
+    then what lies before and after it; -1 as soon as fewer than ``least`` can match."""
+    got, todo = 0, [(0, runs.shape[0], 0, runs.shape[1])]
+    hope = min(runs.shape)
+    while todo and got + hope >= least:
+        top, bottom, left, right = todo.pop()
+        hope -= min(bottom - top, right - left)
+        block = np.minimum(runs[top:bottom, left:right], edges[: bottom - top, : right - left])
+        i, j = divmod(int(block.argmax()), right - left)
+        size = int(block[i, j])
+        if size:
+            got += size
+            i, j = i + top + 1, j + left + 1
+            for part in ((top, i - size, left, j - size), (i, bottom, j, right)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    todo.append(part)
+                    hope += min(part[1] - part[0], part[3] - part[2])
+    return got if got >= least and not todo else -1
+
+
+#: Texts of so many characters and more have their frequent characters left out when
+#: blocks are sought, as the ratio is defined; a fixed value.
+JUNK_FROM = 200
+#: Cells of a run table that is kept for a whole text; above, each window has its own.
+TABLE = 4_000_000
+
+
+def ratio_from(a: str, b: str, least: float) -> float:
+    """The ratio; a negative number where it is below ``least``, seen as soon as it can be."""
+    if not a or not b or len(b) >= JUNK_FROM or len(a) * len(b) > TABLE:
+        return ratio(a, b)
+    n = len(a) + len(b)
+    return 2.0 * matched(_runs(a, b), _edges(len(a), len(b)), math.ceil(least * n / 2 - 1e-6)) / n
+
+
 def best_window(needle: str, text: str, sizes: tuple[float, ...], clamp: bool) -> tuple[float, int, int]:
     """(score, start, length) of the window of ``text`` most like ``needle``.
 
@@ -104,18 +165,26 @@ def best_window(needle: str, text: str, sizes: tuple[float, ...], clamp: bool) -
     masks: dict[str, int] = {}
     for i, c in enumerate(needle):
         masks[c] = masks.get(c, 0) | 1 << i
+    places = [masks.get(c, 0) for c in text]
     best, where = 0.0, -1
+    whole = _runs(needle, text) if n * len(text) <= TABLE and min(widths) < JUNK_FROM else None
+    edges = _edges(n, max((w for w in widths if w < JUNK_FROM), default=0))
     matcher = SequenceMatcher(None, "", "")
     matcher.set_seq1(needle)
     for k in np.argsort(-bounds, kind="stable").tolist():
         if bounds[k] < best or bounds[k] == 0:
             break
-        window = text[at[k] : at[k] + width[k]]
-        bound = 2.0 * common_subsequence(masks, n, window) / (n + width[k])
+        bound = 2.0 * common_subsequence(places[at[k] : at[k] + width[k]], n) / (n + width[k])
         if bound < best or bound == best and k > where:
             continue
-        matcher.set_seq2(window)
-        score = matcher.ratio()
+        window = text[at[k] : at[k] + width[k]]
+        if width[k] < JUNK_FROM:
+            runs = _runs(needle, window) if whole is None else whole[:, at[k] : at[k] + width[k]]
+            least = math.ceil(best * (n + width[k]) / 2 - 1e-6)
+            score = 2.0 * matched(runs, edges, least) / (n + width[k])
+        else:
+            matcher.set_seq2(window)
+            score = matcher.ratio()
         if score > best or score == best > 0 and k < where:
             best, where = score, k
     return (best, at[where], width[where]) if where >= 0 else (0.0, -1, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import audit_norm, best_window, is_blank, ratio, spread, strip, truncate
+from ..functions.text import audit_norm, best_window, is_blank, ratio_from, spread, strip, truncate
 
 #: Keywords of obligations, first match wins; fixed values.
 KEYWORDS = {
@@ -110,7 +110,11 @@ def _best_ratio(sentences: pd.Series, quotes: pd.Series) -> pd.Series:
     for s, qs in zip(sentences, quotes):
         a = " ".join(s.split()).lower()
         others = [" ".join(q.split()).lower() for q in qs if q]
-        out.append(1.0 if a and a in others else max((ratio(a, q) for q in others), default=0.0))
+        best = 1.0 if a and a in others else 0.0
+        for q in others:
+            if best < 1.0:
+                best = max(best, ratio_from(a, q, best))
+        out.append(best)
     return pd.Series(out)
 
 

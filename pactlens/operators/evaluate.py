@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, similarity_udf
+from ..functions.text import similarity, similarity_bound, similarity_udf
 
 OBLIGATION, RISK = (0.6, 0.85), (0.5, 0.8)
 
@@ -15,18 +15,31 @@ def _same(a, b, other: float) -> float:
     return 1.0 if (a or "").lower() == (b or "").lower() else other
 
 
-def obligation_score(s, t) -> float:
-    return 0.5 * similarity(s["source_text"], t["source_text"]) + 0.25 * similarity(s["description"], t["description"]) + 0.15 * _same(s["party"], t["party"], 0.0) + 0.1 * _same(s["type"], t["type"], 0.5)
+def obligation_score(s, t, above: float = -1.0) -> float:
+    same = 0.15 * _same(s["party"], t["party"], 0.0), 0.1 * _same(s["type"], t["type"], 0.5)
+    return _weighed(s, t, [(0.5, "source_text"), (0.25, "description")], lambda text, other: text + other + same[0] + same[1], above)
 
 
-def risk_score(s, t) -> float:
+def risk_score(s, t, above: float = -1.0) -> float:
     same = 0.3 * (s["category"] == t["category"]) + 0.15 * (1.0 if s["severity"] == t["severity"] else 0.5)
-    return same + 0.3 * similarity(s["source_text"], t["source_text"]) + 0.25 * similarity(s["title"], t["title"])
+    return _weighed(s, t, [(0.3, "source_text"), (0.25, "title")], lambda text, title: same + text + title, above)
+
+
+def _weighed(s, t, texts: list[tuple[float, str]], total, above: float) -> float:
+    """The total of weighed similarities; -1 where it cannot exceed ``above``, which
+    bounds of the similarities may show before these are taken."""
+    parts = [w * similarity_bound(s[c], t[c]) for w, c in texts]
+    for k, (w, c) in enumerate(texts):
+        if total(*parts) <= above:
+            return -1.0
+        parts[k] = w * similarity(s[c], t[c])
+    return total(*parts)
 
 
 def match_greedy(system: DataFrame, truth: DataFrame, score=obligation_score, threshold: float = 0.6, exact: float = 0.85) -> DataFrame:
     """(doc_id, ord, truth_ord, score, match_type), for each system row in order the best
-    annotation not yet taken. Later rows depend on earlier ones, so a document's rows are
+    annotation not yet taken; ``score`` may return -1 for a pair that cannot exceed its
+    third argument, the best so far. Later rows depend on earlier ones, so a document's rows are
     matched in one group; documents are independent."""
     kind = system.schema["doc_id"].dataType.simpleString()
 
@@ -36,7 +49,7 @@ def match_greedy(system: DataFrame, truth: DataFrame, score=obligation_score, th
         for mine in s.sort_values("ord").to_dict("records"):
             best, at = 0.0, None
             for k, other in enumerate(annotations):
-                if k not in used and (x := score(mine, other)) > best:
+                if k not in used and (x := score(mine, other, best)) > best:
                     best, at = x, k
             good = at is not None and best >= threshold
             if good:

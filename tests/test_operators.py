@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import best_window, similarity
+from pactlens.functions.text import best_window, ratio, ratio_from, similarity, similarity_bound
 from pactlens.operators import audit, evaluate, extract, report, risk, structure, verify
 from pactlens.plans import analysis, queries
 from pactlens.plans import audit as audit_plan
@@ -66,6 +66,30 @@ def test_best_window_on_random_texts():
             assert best_window(needle, text, sizes, clamp) == _every_window(needle, text, sizes, clamp)
 
 
+def test_ratio_and_bounds_on_random_texts():
+    rng = random.Random(6)
+    for _ in range(600):
+        letters = rng.choice(["ab", "abc d", "abcdefgh ij"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 7, 40, 210]))) for _ in range(2))
+        true = ratio(a, b)
+        assert ratio_from(a, b, 0.0) == true and ratio_from(a, b, true) == true
+        assert (x := ratio_from(a, b, rng.random())) == true or x < 0
+        assert similarity_bound(a, b) >= similarity(a, b) and similarity(a, a) == (ratio(a.strip(), a.strip()) if a else 0.0)
+
+
+def test_greedy_scores_pass_over_no_better_pair():
+    rng = random.Random(7)
+    text = lambda: rng.choice([None, "", " ", "pays rent", "pays the rent", "gives notice of rent", "Notice"])
+    for _ in range(400):
+        s, t = ({c: text() for c in ("source_text", "description", "title", "party", "type", "category", "severity")} for _ in range(2))
+        for score in (evaluate.obligation_score, evaluate.risk_score):
+            true, floor = score(s, t), rng.random()
+            assert score(s, t, floor) == true if true > floor else score(s, t, floor) <= floor
+        plain = 0.5 * similarity(s["source_text"], t["source_text"]) + 0.25 * similarity(s["description"], t["description"])
+        plain += 0.15 * ((s["party"] or "").lower() == (t["party"] or "").lower())
+        assert abs(evaluate.obligation_score(s, t) - plain - 0.1 * (1.0 if (s["type"] or "").lower() == (t["type"] or "").lower() else 0.5)) < 1e-12
+
+
 def test_pagination_and_chunks(spark):
     paras = [f"Paragraph {i}. " + "word " * (20 + i * 7 % 50) for i in range(40)]
     docs = spark.createDataFrame([(1, "\n\n".join(paras)), (2, ""), (3, None)], "doc_id int, raw_text string")
