@@ -188,7 +188,9 @@ def _known(a: Node, b: Node, scores: dict) -> int:
     """Nodes of the largest match of two trees, if ``scores`` has what it needs."""
     if a.label != b.label:
         return 0
-    return a.size if a.shape == b.shape else scores[a.shape, b.shape]
+    if a.shape == b.shape:
+        return a.size
+    return scores[a.shape, b.shape] if a.kids and b.kids else 1  # the two alone
 
 
 def _score(a: Node, b: Node, scores: dict) -> int:

@@ -396,3 +396,18 @@ def test_components(spark, shape):
                 group[a] = group[b] = min(group[a], group[b])
     got = components(spark.createDataFrame(links + links[:3], "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted(group.items())
+
+
+def test_html_empty_elements(spark):
+    """Elements that are empty on one page of a host and filled on another."""
+    forms = ["<td></td>", "<td>1</td>"], ["<div></div>", "<div>x</div>"], ["<li></li>", "<li><b>y</b></li>"]
+    for empty, full in forms:
+        for a, b in ((empty, full), (full, empty), (f"<table><tr>{empty}</tr></table>", f"<table><tr>{full}{empty}</tr></table>")):
+            n, pairs = html_extract.match(html_extract.parse(a), html_extract.parse(b))
+            assert n == len(pairs) >= 2
+    rows = []
+    for k in range(24):
+        cells = "".join(forms[j % 3][(k + j) % 2] for j in range(4))
+        rows.append((k, f"http://h{k % 2}.example/{k}", f"<html><body><nav>menu</nav><article><p>Story {k} is told here.</p><table><tr>{cells}</tr></table></article><footer></footer></body></html>"))
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 24 and all(f"Story {r.page_id} is told here." in r.text for r in out)
