@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +43,6 @@ def location_label(start: Column, end: Column) -> Column:
     return F.when(start == end, F.format_string("Page %d", start)).otherwise(F.format_string("Pages %d-%d", start, end))
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows that cost milliseconds each, dealt over all shuffle partitions: by their bytes
-    alone they would be merged into few tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def ratio(a: str, b: str, autojunk: bool = True) -> float:
     """Share of matching characters; not symmetric, and lower for long ``b`` with autojunk."""
     return SequenceMatcher(None, a, b, autojunk).ratio()
@@ -75,32 +69,61 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _most_common(needle: str, text: str, widths: list[int], starts: list[np.ndarray]) -> list[np.ndarray]:
-    """How many characters each window can share with the needle at most, order left out."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = [np.zeros(len(s), np.int64) for s in starts]
-    for c, n in Counter(needle).items():
-        until = np.concatenate(([0], np.cumsum(codes == ord(c))))
-        for k, (w, s) in enumerate(zip(widths, starts)):
-            out[k] += np.minimum(until[s + w] - until[s], n)
-    return out
-
-
-def common_subsequence(places: list[int], n: int) -> int:
-    """Length of the longest common subsequence, a word of ``n`` bits a character;
-    ``places`` has the needle's places of each character. No ratio matches more."""
-    full = (1 << n) - 1
-    open_ = full
-    for p in places:
-        hit = open_ & p
-        if hit:
-            open_ = ((open_ + hit) | (open_ - hit)) & full
-    return n - open_.bit_count()
-
-
-def _runs(needle: str, text: str) -> np.ndarray:
-    """Length of the run of equal characters that ends at each (needle, text) place."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+class Haystack:
+    """A text in which several needles are sought; what they share is made once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.symbols, self.of = np.unique(self.codes, return_inverse=True)
+        self.found: dict[tuple, tuple[float, int, int]] = {}
+
+    def masks(self, needle: str) -> np.ndarray:
+        """(words, characters): the needle's places of each character, 64 to a word."""
+        words = -(-len(needle) // 64)
+        known = {c: k for k, c in enumerate(self.symbols.tolist())}
+        rows = [[0] * len(known) for _ in range(words)]
+        for i, c in enumerate(needle):
+            k = known.get(ord(c))
+            if k is not None:
+                rows[i // 64][k] |= 1 << i % 64
+        return np.array(rows, np.uint64)[:, self.of]
+
+
+def common_subsequences(masks: np.ndarray, n: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a needle of ``n`` characters and each
+    window; no ratio matches more. ``masks`` has the needle's places of each character,
+    ``widths`` must not ascend. All windows advance together, a character at a time, each
+    with one bit for each place of the needle."""
+    words = len(masks)
+    open_ = np.full((words, len(starts)), ~np.uint64(0))
+    if n % 64:
+        open_[-1] = np.uint64((1 << n % 64) - 1)
+    full = open_[:, :1].copy()
+    active = len(starts)
+    ends = np.searchsorted(-widths, -np.arange(int(widths[0])), "left")  # windows wider than each place
+    for j in range(int(widths[0])):
+        active = int(ends[j])
+        p = masks[:, starts[:active] + j]
+        carry = None
+        for k in range(words):
+            o = open_[k, :active]
+            hit = o & p[k]
+            total = o + hit
+            over = total < o
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            open_[k, :active] = (total | (o ^ hit)) & full[k]
+            if words > 1:
+                carry = over.astype(np.uint64)
+    return n - np.bitwise_count(open_).sum(axis=0, dtype=np.int64)
+
+
+def _runs(needle: str, text: str | np.ndarray) -> np.ndarray:
+    """Length of the run of equal characters that ends at each (needle, text) place;
+    ``text`` may be its code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(text, str) else text
     out = np.zeros((len(needle) + 1, len(codes) + 1), np.int32)
     for i, c in enumerate(needle):
         np.multiply(out[i, :-1] + 1, codes == ord(c), out=out[i + 1, 1:])
@@ -136,8 +159,11 @@ def matched(runs: np.ndarray, edges: np.ndarray, least: int) -> int:
 #: Texts of so many characters and more have their frequent characters left out when
 #: blocks are sought, as the ratio is defined; a fixed value.
 JUNK_FROM = 200
-#: Cells of a run table that is kept for a whole text; above, each window has its own.
+#: Cells of a run table at most; longer texts are left to the library.
 TABLE = 4_000_000
+#: Cells of a run table of a whole text, of which each window takes a part; above, each
+#: window that is compared has its own.
+SHARED_TABLE = 250_000
 
 
 def ratio_from(a: str, b: str, least: float) -> float:
@@ -148,43 +174,51 @@ def ratio_from(a: str, b: str, least: float) -> float:
     return 2.0 * matched(_runs(a, b), _edges(len(a), len(b)), math.ceil(least * n / 2 - 1e-6)) / n
 
 
-def best_window(needle: str, text: str, sizes: tuple[float, ...], clamp: bool) -> tuple[float, int, int]:
+def best_window(needle: str, text: str | Haystack, sizes: tuple[float, ...], clamp: bool) -> tuple[float, int, int]:
     """(score, start, length) of the window of ``text`` most like ``needle``.
 
-    Windows of each relative size step by a quarter; the first best stays. They are
-    compared from the highest bound down, and the ratio is taken only where neither the
-    characters in common nor their longest common subsequence rule the window out.
+    Windows of each relative size step by a quarter; the first best stays. The ratio is
+    taken of the windows by their longest common subsequence, the longest first, until
+    none that is left could exceed the best.
     """
-    n = len(needle)
+    hay = text if isinstance(text, Haystack) else Haystack(text)
+    key = needle, sizes, clamp
+    if key not in hay.found:
+        hay.found[key] = _search(needle, hay, sizes, clamp)[:3]
+    return hay.found[key]
+
+
+def _search(needle: str, hay: Haystack, sizes: tuple[float, ...], clamp: bool) -> tuple[float, int, int, int, int]:
+    """The best window, how many windows there are, and of how many the ratio was taken."""
+    n, text = len(needle), hay.text
     widths = [w for w in (min(int(n * r), len(text)) if clamp else int(n * r) for r in sizes) if 1 <= w <= len(text)]
     if not widths:
-        return 0.0, -1, 0
+        return 0.0, -1, 0, 0, 0
     starts = [np.arange(0, len(text) - w + 1, max(1, w // 4)) for w in widths]
-    bounds = np.concatenate([2.0 * c / (n + w) for c, w in zip(_most_common(needle, text, widths, starts), widths)])
-    at, width = np.concatenate(starts).tolist(), np.repeat(widths, [len(s) for s in starts]).tolist()
-    masks: dict[str, int] = {}
-    for i, c in enumerate(needle):
-        masks[c] = masks.get(c, 0) | 1 << i
-    places = [masks.get(c, 0) for c in text]
-    best, where = 0.0, -1
-    whole = _runs(needle, text) if n * len(text) <= TABLE and min(widths) < JUNK_FROM else None
+    at, width = np.concatenate(starts), np.repeat(widths, [len(s) for s in starts])
+    wide = np.argsort(-width, kind="stable")
+    most = np.empty(len(at), np.int64)
+    most[wide] = common_subsequences(hay.masks(needle), n, at[wide], width[wide])
+    bounds = 2.0 * most / (n + width)
+    best, where, taken = 0.0, -1, 0
     edges = _edges(n, max((w for w in widths if w < JUNK_FROM), default=0))
+    whole = _runs(needle, hay.codes) if n * len(text) <= SHARED_TABLE and min(widths) < JUNK_FROM else None
     matcher = SequenceMatcher(None, "", "")
     matcher.set_seq1(needle)
     for k in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[k] < best or bounds[k] == 0:
+        bound, low, w = bounds[k], int(at[k]), int(width[k])
+        if bound < best or bound == 0:
             break
-        bound = 2.0 * common_subsequence(places[at[k] : at[k] + width[k]], n) / (n + width[k])
-        if bound < best or bound == best and k > where:
+        if bound == best and k > where:
             continue
-        window = text[at[k] : at[k] + width[k]]
-        if width[k] < JUNK_FROM:
-            runs = _runs(needle, window) if whole is None else whole[:, at[k] : at[k] + width[k]]
-            least = math.ceil(best * (n + width[k]) / 2 - 1e-6)
-            score = 2.0 * matched(runs, edges, least) / (n + width[k])
+        taken += 1
+        if w < JUNK_FROM:
+            least = math.ceil(best * (n + w) / 2 - 1e-6)
+            runs = _runs(needle, hay.codes[low : low + w]) if whole is None else whole[:, low : low + w]
+            score = 2.0 * matched(runs, edges, least) / (n + w)
         else:
-            matcher.set_seq2(window)
+            matcher.set_seq2(text[low : low + w])
             score = matcher.ratio()
         if score > best or score == best > 0 and k < where:
             best, where = score, k
-    return (best, at[where], width[where]) if where >= 0 else (0.0, -1, 0)
+    return (best, int(at[where]), int(width[where]), len(at), taken) if where >= 0 else (0.0, -1, 0, len(at), taken)

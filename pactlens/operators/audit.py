@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import audit_norm, best_window, is_blank, ratio_from, spread, strip, truncate
+from ..functions.text import Haystack, audit_norm, best_window, ratio_from, strip, truncate
+from .search import beside_documents
 
 #: Keywords of obligations, first match wins; fixed values.
 KEYWORDS = {
@@ -59,37 +58,51 @@ def keyword_top(found: DataFrame, n: int = 3) -> DataFrame:
     return found.withColumns({"n": F.row_number().over(w), "of": F.count(F.lit(1)).over(of)}).where(F.col("n") <= n)
 
 
-def fuzzy_match(source: str | None, text: str) -> tuple[float, str | None]:
-    """(ratio, the text's best window): 1 if the normalised text holds the source."""
-    a, b = (" ".join((x or "").split()).lower() for x in (source, text))
-    if not a:
+def _squeezed(text: str) -> str:
+    return " ".join(text.split()).lower()
+
+
+def fuzzy_match(source: str | None, text: str, hay: Haystack | None = None) -> tuple[float, str | None]:
+    """(ratio, the text's best window): 1 if the normalised text holds the source, which
+    one of white space alone always is; an empty one is not looked for. ``hay`` may give
+    the text in its normal form."""
+    if not source:
         return 0.0, None
-    if a in b:
+    hay = hay or Haystack(_squeezed(text))
+    needle = _squeezed(source)
+    if needle in hay.text:
         return 1.0, source
-    score, at, size = best_window(a, b, (1.0, 1.2, 0.8), clamp=False)
+    score, at, size = best_window(needle, hay, (1.0, 1.2, 0.8), clamp=False)
     return (score, text[at : at + size]) if at >= 0 else (0.0, None)
 
 
-def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``items`` (doc_id, ord, item_id, item_type, source_text) with match_ratio, status
-    and best_match_text.
+def exact_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """``items`` (doc_id, ord, item_id, item_type, source_text) with match_ratio and
+    best_match_text where no search is needed: an empty quote has 0, one that the
+    normalised text holds 1; null elsewhere."""
+    d = docs.select("doc_id", audit_norm(F.col("raw_text")).alias("doc_norm"))
+    rows = items.join(d, "doc_id", "left")
+    empty = F.coalesce("source_text", F.lit("")) == ""
+    held = F.contains(F.coalesce("doc_norm", F.lit("")), audit_norm(F.col("source_text")))
+    ratio = F.when(empty, 0.0).when(held, 1.0)
+    return rows.select("doc_id", F.col("ord").cast("int").alias("ord"), "item_id", "item_type", "source_text", ratio.alias("match_ratio"), F.when(~empty & held, F.col("source_text")).alias("best_match_text"))
 
-    What the text holds, and what is blank, is decided by Spark's own functions; only the
-    others pass through the search in Python.
-    """
-    d = docs.select("doc_id", "raw_text", audit_norm(F.col("raw_text")).alias("doc_norm"))
-    columns = ["doc_id", F.col("ord").cast("int").alias("ord"), "item_id", "item_type", "source_text"]
-    rows = items.join(d, "doc_id", "left").withColumns({"blank": is_blank(F.col("source_text")), "held": F.coalesce(F.contains("doc_norm", audit_norm(F.col("source_text"))), F.lit(False))})
-    easy = rows.where("blank OR held").select(*columns, F.when(F.col("blank"), 0.0).otherwise(1.0).alias("match_ratio"), F.when(~F.col("blank"), F.col("source_text")).alias("best_match_text"))
-    schema = f"doc_id {items.schema['doc_id'].dataType.simpleString()}, ord int, item_id string, item_type string, source_text string, match_ratio double, best_match_text string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [fuzzy_match(s, t or "") for s, t in zip(f["source_text"], f["raw_text"])]
-            yield f.drop(columns="raw_text").assign(match_ratio=[x[0] for x in found], best_match_text=[x[1] for x in found])
+def _look_up(text: str | None):
+    text = text or ""
+    hay = Haystack(_squeezed(text))
+    return lambda item: fuzzy_match(item["source_text"], text, hay)
 
-    hard = spread(rows.where("NOT blank AND NOT held").select(*columns, "raw_text"), "doc_id", "ord")
-    return easy.unionByName(hard.mapInPandas(run, schema)).withColumn("status", audit_status(F.col("match_ratio"), threshold))
+
+def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """exact_quotes() with the search done where it is needed, and a status.
+
+    Quotes that need it go beside their document, which is sent once for all of them.
+    """
+    rows = exact_quotes(items, docs)
+    hard = rows.where("match_ratio IS NULL").drop("match_ratio", "best_match_text")
+    found = beside_documents(hard, docs, _look_up, "match_ratio double, best_match_text string")
+    return rows.where("match_ratio IS NOT NULL").unionByName(found).withColumn("status", audit_status(F.col("match_ratio"), threshold))
 
 
 def audit_status(score: Column, threshold: float = 0.85) -> Column:
@@ -98,7 +111,7 @@ def audit_status(score: Column, threshold: float = 0.85) -> Column:
 
 def audit_items(obligations: DataFrame, flags: DataFrame) -> DataFrame:
     """Obligations, then risk flags, as items with their ids."""
-    a = obligations.select("doc_id", F.col("ord").cast("int").alias("ord"), F.coalesce("id", F.lit("unknown")).alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
+    a = obligations.select("doc_id", F.col("ord").cast("int").alias("ord"), F.coalesce("id", F.lit("UNKNOWN")).alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "set_ord"))
     b = flags.select("doc_id", n.cast("int").alias("ord"), F.format_string("FLAG-%03d", n).alias("item_id"), F.lit("risk_flag").alias("item_type"), "source_text")
     return a.unionByName(b)

@@ -295,15 +295,48 @@ fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::INT[] AS used, NULL::INT AS
 matched AS (SELECT doc_id, ord, b.t AS truth_ord, b.s AS score FROM fold WHERE k > 0)"""
 
 
+def _pages(size: int) -> str:
+    """Pages as a fold over the parts of a document; ``whole`` lists them."""
+    step = f"length(cur) + length(p) > {size} AND cur <> ''"
+    ended = f"CASE WHEN {_strip('cur')} <> '' THEN list_append(done, {_strip('cur')}) ELSE done END"
+    return f"""parts AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) + 1 AS k, len(l) AS n FROM (SELECT doc_id, string_split(raw_text, concat(chr(10), chr(10))) AS l FROM docs)),
+fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, ''::VARCHAR AS cur, []::VARCHAR[] AS done, n FROM parts
+  UNION ALL SELECT f.doc_id, p.k, CASE WHEN cur = '' OR {step} THEN p ELSE concat(cur, chr(10), chr(10), p) END, CASE WHEN {step} THEN list_append(done, {_strip("cur")}) ELSE done END, f.n FROM fold AS f JOIN parts AS p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+whole AS (SELECT doc_id, {ended} AS l FROM fold WHERE k = n)"""
+
+
+def _last(text: str, mark: str) -> str:
+    """Where ``mark``, two characters, last starts in ``text``, from 0; -1 if it is not there."""
+    return f"CASE WHEN contains({text}, {mark}) THEN length({text}) - 1 - position(reverse({mark}) IN reverse({text})) ELSE -1 END"
+
+
+def _chunks(size: int, overlap: int) -> str:
+    """Chunks as a fold over the paragraphs of a document."""
+    tail = f"right(cur, {overlap})"
+    cut = "greatest(" + ", ".join(_last(tail, f"concat('.', {c})") for c in ("' '", "chr(10)", "chr(9)")) + ")"
+    gap = f"position(concat(chr(10), chr(10)) IN {tail})"
+    kept = f"CASE WHEN length(cur) <= {overlap} THEN cur WHEN {cut} > 0 THEN substr({tail}, {cut} + 3) WHEN {gap} > 1 THEN substr({tail}, {gap} + 2) ELSE {tail} END"
+    longer = "CASE WHEN cur = '' THEN p ELSE concat(cur, chr(10), chr(10), p) END"
+    full = f"cur <> '' AND length({longer}) > {size}"
+    made = f"struct_pack(text := {_strip('cur')}, start_page := first, end_page := page, sections := array_to_string(names, '|'))"
+    return f"""{_pages(structure.CHARS_PER_PAGE)}, page_rows AS (SELECT doc_id, (unnest(range(len(l))) + 1)::INT AS page, unnest(l) AS text, len(l)::INT AS pages FROM whole),
+page_parts AS (SELECT doc_id, page, pages, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: {SECTION_TEST.replace("name", "x")}) AS heads,
+  unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {_strip('x')}), lambda x: x <> '')) AS p, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {_strip('x')}), lambda x: x <> ''), 1) AS ord FROM page_rows),
+paras AS (SELECT doc_id, page, pages, p, list_filter(heads, lambda h: contains(p, h) OR contains(h, p)) AS heads, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM page_parts),
+chunking AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, ''::VARCHAR AS cur, 1 AS first, []::VARCHAR[] AS names, []::STRUCT(text VARCHAR, start_page INT, end_page INT, sections VARCHAR)[] AS made, n, pages FROM paras
+  UNION ALL SELECT doc_id, k, CASE WHEN is_full THEN CASE WHEN tail = '' THEN p ELSE concat(tail, chr(10), chr(10), p) END ELSE longer END, CASE WHEN is_full THEN page ELSE first END, CASE WHEN is_full THEN heads ELSE list_concat(names, heads) END, CASE WHEN is_full THEN list_append(made, made_now) ELSE made END, n, pages FROM (
+    SELECT c.doc_id, p.k, first, names, made, c.n, c.pages, p.page, p, heads, {full} AS is_full, {longer} AS longer, {kept} AS tail, {made} AS made_now FROM chunking AS c JOIN paras AS p ON p.doc_id = c.doc_id AND p.k = c.k + 1)),
+ended AS (SELECT doc_id, list_append(made, {made.replace(":= page", ":= pages")}) AS l FROM chunking WHERE k = n)
+SELECT doc_id, chunk_index, total_chunks, c.text AS text, c.start_page AS start_page, c.end_page AS end_page, c.sections AS sections, length(c.text)::INT AS char_count,
+  CASE WHEN c.start_page = c.end_page THEN concat('Page ', c.start_page) ELSE concat('Pages ', c.start_page, '-', c.end_page) END AS source_location
+FROM (SELECT doc_id, unnest(l) AS c, unnest(range(len(l)))::INT AS chunk_index, len(l)::INT AS total_chunks FROM ended)"""
+
+
 def _folds() -> dict[str, str]:
     """SQL of what depends on the rows before."""
-    parts = "parts AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) + 1 AS k, len(l) AS n FROM (SELECT doc_id, string_split(raw_text, concat(chr(10), chr(10))) AS l FROM docs))"
-    step = "length(cur) + length(p) > 200 AND cur <> ''"
-    pages = f"""{parts}, fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, ''::VARCHAR AS cur, []::VARCHAR[] AS done, n FROM parts
-  UNION ALL SELECT f.doc_id, p.k, CASE WHEN {step} THEN '' ELSE cur END || p || chr(10) || chr(10), CASE WHEN {step} THEN list_append(done, {_strip("cur")}) ELSE done END, f.n FROM fold AS f JOIN parts AS p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
-whole AS (SELECT doc_id, CASE WHEN {_strip("cur")} <> '' THEN list_append(done, {_strip("cur")}) ELSE done END AS l FROM fold WHERE k = n)"""
     return {
-        "paginate": f"WITH {pages} SELECT doc_id, (unnest(range(len(l))) + 1)::INT AS page, unnest(l) AS text FROM whole",
+        "paginate": f"WITH {_pages(200)} SELECT doc_id, (unnest(range(len(l))) + 1)::INT AS page, unnest(l) AS text FROM whole",
+        "chunk_fold": f"WITH {_chunks(400, 80)}",
         "eval_greedy_match": f"WITH {GREEDY.replace('LEAST', '0.6')} SELECT * FROM matched",
         "unmatched_obligations": f"WITH {GREEDY.replace('LEAST', '0.95')} SELECT doc_id, n, CASE WHEN n <= 2 THEN concat('OBL-', lpad(ord::VARCHAR, 3, '0'), ': no match') ELSE concat('... and ', m - 2, ' more') END AS line FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ord))::INT AS n, count(*) OVER (PARTITION BY doc_id) AS m FROM matched WHERE truth_ord IS NULL) WHERE n <= 3",
     }
