@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import Haystack, audit_norm, best_window, ratio_from, strip, truncate
 from .search import beside_documents
@@ -117,66 +115,107 @@ def audit_items(obligations: DataFrame, flags: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-@F.pandas_udf(T.DoubleType())
-def _best_ratio(sentences: pd.Series, quotes: pd.Series) -> pd.Series:
-    out = []
-    for s, qs in zip(sentences, quotes):
-        a = " ".join(s.split()).lower()
-        others = [" ".join(q.split()).lower() for q in qs if q]
-        best = 1.0 if a and a in others else 0.0
-        for q in others:
-            if best < 1.0:
-                best = max(best, ratio_from(a, q, best))
-        out.append(best)
-    return pd.Series(out)
+def _open_quotes(quotes: list[str] | None):
+    others = list(dict.fromkeys(_squeezed(q) for q in quotes or []))
+    known: dict[str, float] = {}
+
+    def answer(item: dict) -> tuple:
+        a = _squeezed(item["sentence"])
+        if a not in known:
+            best = 1.0 if a and a in others else 0.0
+            for q in others:
+                if best < 1.0 and 2.0 * min(len(a), len(q)) > best * (len(a) + len(q)):
+                    best = max(best, ratio_from(a, q, best))
+            known[a] = best
+        return (known[a],)
+
+    return answer
 
 
 def potential_misses(found: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Keyword sentences unlike every quote of their document: an anti-join by similarity."""
+    """Keyword sentences unlike every quote of their document: an anti-join by similarity.
+
+    A document's quotes are sent once for all of its sentences; of a pair whose lengths
+    alone rule out more than the best so far, nothing else is looked at."""
     quotes = items.where(F.coalesce("source_text", F.lit("")) != "").groupBy("doc_id").agg(F.collect_set("source_text").alias("quotes"))
-    rows = found.join(quotes, "doc_id", "left").withColumn("similarity_to_existing", _best_ratio("sentence", F.coalesce("quotes", F.array().cast("array<string>"))))
-    return rows.where(F.col("similarity_to_existing") < threshold).drop("quotes")
+    rows = beside_documents(found, quotes, _open_quotes, "similarity_to_existing double", text="quotes", order="line_number")
+    return rows.where(F.col("similarity_to_existing") < threshold)
 
 
 def status_tallies(results: DataFrame) -> DataFrame:
     return results.groupBy("item_type").pivot("status", ["VERIFIED", "LIKELY_OK", "FLAGGED"]).count().na.fill(0)
 
 
-def prepare_annotations(obligations: DataFrame) -> DataFrame:
-    """Audit fields added where they are absent; those present stay."""
-    out = obligations
-    for name, value in (("_audit_status", "pending"), ("_audit_notes", "")):
-        out = out.withColumn(name, F.coalesce(name, F.lit(value)) if name in obligations.columns else F.lit(value))
-    return out
+#: Lines of the checklist that hold no result, part by part; fixed values.
+CHECKLIST = {
+    "head": ["**Audited:** Not yet", "**Audit Date:** -", "**Time Spent:** -", "**Auditor:** -", "", "---", "", "## Verified", "", "_Mark each obligation/risk as you verify it against the source contract_", "", "### Obligations"],
+    "flags": ["", "### Risk Flags"],
+    "issues": ["", "---", "", "## Issues Found", "", "_Document any problems with the ground truth annotations_", "", "| ID | Issue | Resolution |", "|----|-------|------------|", "| - | - | - |", "", "---", "", "## Missed by AI", "", "_Obligations or risks present in contract but not captured by system_", "", "| Section | Description | Suggested Obligation/Risk |", "|---------|-------------|---------------------------|"],
+    "wrong": ["", "---", "", "## Hallucinated (Remove)", "", "_Items AI extracted that don't exist or are incorrect_", "", "| System ID | Issue | Action |", "|-----------|-------|--------|"],
+    "notes": ["", "---", "", "## Risk Flag Adjustments", "", "_Changes to severity or category_", "", "| Risk ID | Current | Recommended | Reason |", "|---------|---------|-------------|--------|", "| - | - | - | - |", "", "---", "", "## Notes", "", "_Additional observations for lessons learned_", ""],
+}
 
 
-def render_checklist(results: DataFrame, misses: DataFrame) -> DataFrame:
-    """(doc_id, markdown): a checklist of all items, then of what may be missing."""
-    mark = F.when(F.col("status") == "VERIFIED", "x").otherwise(" ")
-    line = F.concat(F.lit("- ["), mark, F.lit("] "), "item_id", F.lit(" ("), "status", F.lit("): "), truncate(F.coalesce("source_text", F.lit(""))))
-    a = results.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_type", "ord", line.alias("line")))).alias("items"))
-    b = misses.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "ord", F.concat(F.lit("- [ ] line "), "line_number", F.lit(" ("), "keyword", F.lit("): "), truncate(F.col("sentence"))).alias("line")))).alias("missed"))
-    lines = F.concat(F.array(F.lit("# Audit checklist"), F.lit("## Items")), F.transform("items", lambda x: x["line"]), F.when(F.col("missed").isNotNull(), F.concat(F.array(F.lit("## Potential misses")), F.transform("missed", lambda x: x["line"]))).otherwise(F.array().cast("array<string>")))
-    return a.join(b, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("markdown"))
+def render_checklist(results: DataFrame, misses: DataFrame, names: DataFrame, shown: int = 10, today: Column | None = None) -> DataFrame:
+    """(doc_id, markdown) for each document of ``names`` (doc_id, name): every item with a
+    box, the first ``shown`` potential misses by keyword priority, the flagged items, and
+    the counts. ``results`` may have description, and severity for risk flags."""
+    for c in ("description", "severity"):
+        results = results if c in results.columns else results.withColumn(c, F.lit(""))
+    fixed = lambda part: F.array(*[F.lit(x) for x in CHECKLIST[part]])
+    empty, dash = F.array().cast("array<string>"), F.array(F.lit("| - | - | - |"))
+    box = F.when(F.col("status") == "VERIFIED", "[X]").when(F.col("status") == "LIKELY_OK", "[LIKELY]").otherwise("[FLAG]")
+    own = F.when(F.col("item_type") == "obligation", F.col("item_id")).otherwise(F.format_string("RISK-%03d", "ord"))
+    line = F.concat(F.lit("- "), box, F.lit(" "), own, F.lit(": "), F.coalesce("description", F.lit("")), F.when((F.col("item_type") == "risk_flag") & (F.upper(F.coalesce("severity", F.lit(""))) == "HIGH"), " (HIGH)").otherwise(""))
+    wrong = F.when(F.col("status") == "FLAGGED", F.concat(F.lit("| "), "item_id", F.format_string(" | Only %.0f%% match - verify source text | Review |", F.bround(F.col("match_ratio") * 100))))
+    row = F.struct("item_type", "ord", "status", line.alias("line"), wrong.alias("wrong"))
+    items = results.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("items"))
+    cell = F.concat(F.lit("| Line "), "line_number", F.lit(" | "), truncate(F.col("sentence"), 60), F.lit(" | Review: contains '"), F.lower("keyword"), F.lit("' |"))
+    top = priority_top(misses, shown).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", cell.alias("line")))).alias("top"))
+    n = misses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_missed"))
+    rows = names.join(items, "doc_id", "left").join(top, "doc_id", "left").join(n, "doc_id", "left")
+    of = lambda kind: F.coalesce(F.filter("items", lambda x: x["item_type"] == kind), F.filter(F.from_json(F.lit("[]"), items.schema["items"].dataType), lambda x: F.lit(True)))
+    lines = lambda xs: F.transform(xs, lambda x: x["line"])
+    flagged = F.array_compact(F.concat(F.transform(of("obligation"), lambda x: x["wrong"]), F.transform(of("risk_flag"), lambda x: x["wrong"])))
+    count = lambda xs, status: F.size(F.filter(xs, lambda x: x["status"] == status))
+    tally = lambda kind, word: F.format_string(f"- %d {word} verified: %d exact, %d likely, %d flagged", F.size(of(kind)), *[count(of(kind), s) for s in ("VERIFIED", "LIKELY_OK", "FLAGGED")])
+    day = F.date_format(F.current_date() if today is None else today, "yyyy-MM-dd")
+    whole = F.concat(
+        F.array(F.concat(F.lit("# Audit: "), "name"), F.lit("")), fixed("head"), lines(of("obligation")), fixed("flags"), lines(of("risk_flag")), fixed("issues"), F.coalesce(lines(F.col("top")), dash),
+        fixed("wrong"), F.when(F.size(flagged) > 0, flagged).otherwise(dash), fixed("notes"),
+        F.array(F.concat(F.lit("- Auto-generated on "), day), tally("obligation", "obligations"), tally("risk_flag", "risk flags"), F.format_string("- %d potential missed clauses found for review", F.coalesce("n_missed", F.lit(0))), F.lit("")),
+        empty,
+    )
+    return rows.select("doc_id", F.array_join(whole, "\n").alias("markdown"))
+
+
+#: Labels of the console's lines; fixed values.
+STATUS_LABELS = {"VERIFIED": ("OK", "VERIFIED", ""), "LIKELY_OK": ("~", "LIKELY OK", ""), "FLAGGED": ("X", "FLAGGED", " <- NEEDS REVIEW")}
+ITEM_HEADS = {"obligation": "SOURCE TEXT VERIFICATION (%d obligations)", "risk_flag": "RISK FLAG VERIFICATION (%d flags)"}
+COUNTS = "  Summary: %d verified, %d likely ok, %d flagged"
+MISSED_HEAD = ["POTENTIALLY MISSED CLAUSES (%d found)", "  Review these sentences - they contain obligation keywords but aren't in ground truth:"]
+NONE_MISSED = "POTENTIALLY MISSED CLAUSES: None found"
 
 
 def console_lines(results: DataFrame, misses: DataFrame) -> DataFrame:
-    """(doc_id, text): each item with a mark and its match, counts for each kind of item,
-    then three potential misses of each keyword."""
-    label = F.when(F.col("status") == "VERIFIED", "  OK {}: VERIFIED").when(F.col("status") == "LIKELY_OK", "  ~ {}: LIKELY OK").otherwise("  X {}: FLAGGED")
-    line = F.concat(F.replace(label, F.lit("{}"), F.col("item_id")), F.format_string(" (%.1f%% match)", F.col("match_ratio") * 100), F.when(F.col("status") == "FLAGGED", " <- NEEDS REVIEW").otherwise(""))
-    quoted = F.concat(line, F.lit('\n     "'), truncate(F.coalesce("source_text", F.lit("")), 60), F.lit('"'))
+    """(doc_id, text) of each document with items: every item with a mark and its match,
+    obligations with the start of their quote, counts for each kind of item, then three
+    potential misses of each keyword."""
+    line = None
+    for status, (mark, word, more) in STATUS_LABELS.items():
+        text = F.concat(F.lit(f"  {mark} "), "item_id", F.lit(f": {word} ("), F.format_string("%.1f%% match)", F.col("match_ratio") * 100), F.lit(more))
+        line = F.when(F.col("status") == status, text) if line is None else line.when(F.col("status") == status, text)
+    quote = F.concat(F.lit('     "'), truncate(F.coalesce("source_text", F.lit("")), 60), F.lit('"'))
+    both = F.concat_ws("\n", line, F.when(F.col("item_type") == "obligation", quote))
     count = lambda status: F.count_if(F.col("status") == status)
-    kinds = results.groupBy("doc_id", "item_type").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", quoted.alias("line")))), lambda x: x["line"]).alias("lines"),
-        F.format_string("  Summary: %d verified, %d likely ok, %d flagged", count("VERIFIED"), count("LIKELY_OK"), count("FLAGGED")).alias("counts"),
-    )
-    head = F.when(F.col("item_type") == "obligation", F.format_string("SOURCE TEXT VERIFICATION (%d obligations)", F.size("lines"))).otherwise(F.format_string("RISK FLAG VERIFICATION (%d flags)", F.size("lines")))
-    blocks = kinds.select("doc_id", F.lit(0).alias("part"), F.col("item_type").alias("name"), F.concat_ws("\n", head, "lines", "counts").alias("block"))
-    top = keyword_top(misses)
+    kinds = results.groupBy("doc_id", "item_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", both.alias("line")))), lambda x: x["line"]).alias("lines"), F.format_string(COUNTS, *map(count, STATUS_LABELS)).alias("counts"))
+    head = F.when(F.col("item_type") == "obligation", F.format_string(ITEM_HEADS["obligation"], F.size("lines"))).otherwise(F.format_string(ITEM_HEADS["risk_flag"], F.size("lines")))
+    blocks = kinds.select("doc_id", F.lit(0).alias("part"), F.col("item_type").alias("name"), F.concat_ws("\n", head, "lines", "counts", F.lit("")).alias("block"))
+    n = misses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_missed"))
+    heads = results.select("doc_id").distinct().join(n, "doc_id", "left").select("doc_id", F.lit(1).alias("part"), F.lit("").alias("name"), F.when(F.col("n_missed") > 0, F.concat_ws("\n", F.format_string(MISSED_HEAD[0], "n_missed"), F.lit(MISSED_HEAD[1]))).otherwise(NONE_MISSED).alias("block"))
     shown = F.concat(F.format_string("    Line %d: \"", "line_number"), truncate(F.col("sentence"), 70), F.lit('"'))
-    by_word = top.groupBy("doc_id", "keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", shown.alias("line")))), lambda x: x["line"]).alias("lines"), F.max("of").alias("of"))
+    by_word = keyword_top(misses).groupBy("doc_id", "keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", shown.alias("line")))), lambda x: x["line"]).alias("lines"), F.max("of").alias("of"))
     more = F.when(F.col("of") > 3, F.format_string("    ... and %d more", F.col("of") - 3))
-    missed = by_word.select("doc_id", F.lit(1).alias("part"), F.col("keyword").alias("name"), F.concat_ws("\n", F.concat(F.lit("  ["), "keyword", F.lit("]")), "lines", more).alias("block"))
+    missed = by_word.select("doc_id", F.lit(2).alias("part"), F.col("keyword").alias("name"), F.concat_ws("\n", F.concat(F.lit("  ["), "keyword", F.lit("]")), "lines", more).alias("block"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "name", "block"))), lambda x: x["block"])
-    return blocks.unionByName(missed).groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("text"))
+    return blocks.unionByName(heads).unionByName(missed).groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("text"))

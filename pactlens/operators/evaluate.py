@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, similarity_bound, similarity_udf
+from ..functions.text import ratio_from, similarity_udf
+from .report import percent
 
 OBLIGATION, RISK = (0.6, 0.85), (0.5, 0.8)
 
@@ -25,39 +30,74 @@ def risk_score(s, t, above: float = -1.0) -> float:
     return _weighed(s, t, [(0.3, "source_text"), (0.25, "title")], lambda text, title: same + text + title, above)
 
 
+@lru_cache(8192)
+def _prepared(text: str) -> tuple[str, Counter]:
+    text = text.lower().strip()
+    return text, Counter(text)
+
+
+def _bound(a: str | None, b: str | None) -> float:
+    """At least their similarity: by the characters in common, order left out."""
+    if not a or not b:
+        return 0.0
+    (x, m), (y, n) = _prepared(a), _prepared(b)
+    if x == y:
+        return 1.0
+    few, many = (m, n) if len(m) < len(n) else (n, m)
+    return 2.0 * sum(min(k, many[c]) for c, k in few.items() if c in many) / (len(x) + len(y))
+
+
+def _similar(a: str | None, b: str | None, least: float) -> float:
+    """The similarity; a negative number where it is below ``least``."""
+    if not a or not b:
+        return 0.0
+    x, y = _prepared(a)[0], _prepared(b)[0]
+    return 1.0 if x == y else ratio_from(x, y, least)
+
+
 def _weighed(s, t, texts: list[tuple[float, str]], total, above: float) -> float:
     """The total of weighed similarities; -1 where it cannot exceed ``above``, which
     bounds of the similarities may show before these are taken."""
-    parts = [w * similarity_bound(s[c], t[c]) for w, c in texts]
+    parts = [w * _bound(s[c], t[c]) for w, c in texts]
     for k, (w, c) in enumerate(texts):
-        if total(*parts) <= above:
+        most = total(*parts)
+        if most <= above:
+            return -1.0
+        got = _similar(s[c], t[c], (above - most + parts[k]) / w - 1e-9)
+        if got < 0:
             return -1.0
-        parts[k] = w * similarity(s[c], t[c])
+        parts[k] = w * got
     return total(*parts)
 
 
 def match_greedy(system: DataFrame, truth: DataFrame, score=obligation_score, threshold: float = 0.6, exact: float = 0.85) -> DataFrame:
     """(doc_id, ord, truth_ord, score, match_type), for each system row in order the best
     annotation not yet taken; ``score`` may return -1 for a pair that cannot exceed its
-    third argument, the best so far. Later rows depend on earlier ones, so a document's rows are
-    matched in one group; documents are independent."""
+    third argument, the best so far. Later rows depend on earlier ones, so a document's rows
+    are matched in one place, as two lists; documents are independent, and dealt over all
+    tasks, as the work is in seconds and not in bytes."""
     kind = system.schema["doc_id"].dataType.simpleString()
-
-    def run(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows, used = [], set()
-        annotations = t.sort_values("ord").to_dict("records")
-        for mine in s.sort_values("ord").to_dict("records"):
-            best, at = 0.0, None
-            for k, other in enumerate(annotations):
-                if k not in used and (x := score(mine, other, best)) > best:
-                    best, at = x, k
-            good = at is not None and best >= threshold
-            if good:
-                used.add(at)
-            rows.append((mine["doc_id"], mine["ord"], annotations[at]["ord"] if good else None, best, ("exact" if best >= exact else "partial") if good else "none"))
-        return pd.DataFrame(rows, columns=["doc_id", "ord", "truth_ord", "score", "match_type"])
-
-    return system.groupBy("doc_id").cogroup(truth.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, ord int, truth_ord int, score double, match_type string")
+    rows = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c != "doc_id"]).alias("row")))).alias(name))
+    tasks = int(system.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows(system, "mine").join(rows(truth, "others"), "doc_id", "left").repartition(tasks, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, (mine, others) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                left = {i: x["row"] for i, x in enumerate(others or [])}
+                for one in mine:
+                    best, at = 0.0, None
+                    for i, other in left.items():
+                        x = score(one["row"], other, best)
+                        if x > best:
+                            best, at = x, i
+                    taken = left.pop(at) if at is not None and best >= threshold else None
+                    out.append((k, one["ord"], taken and taken["ord"], best, ("exact" if best >= exact else "partial") if taken else "none"))
+            k, place, other, best, how = (list(c) for c in zip(*out)) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k, pa.int64())), pa.array(place, pa.int32()), pa.array(other, pa.int32()), pa.array(best, pa.float64()), pa.array(how, pa.string())], names=["doc_id", "ord", "truth_ord", "score", "match_type"])
+
+    return both.mapInArrow(run, f"doc_id {kind}, ord int, truth_ord int, score double, match_type string")
 
 
 def match_by_score(scores: DataFrame, threshold: float) -> DataFrame:
@@ -98,15 +138,18 @@ def party_sets(system: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def metadata_accuracy(system: DataFrame, truth: DataFrame, fields: tuple[str, ...] = ("effective_date", "term", "termination_notice_period")) -> DataFrame:
-    """(doc_id, field, match): both null, or neither null nor empty and similar. Where
-    both sides have ``auto_renewal``, auto_renewal_exists matches if it is equal."""
+    """(doc_id, field, match, system, ground_truth): both null, or neither null nor empty
+    and similar. Where both sides have ``auto_renewal``, auto_renewal_exists matches if it
+    is equal."""
     long = lambda df, v: df.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias(v)) for f in fields])).alias("x")).select("doc_id", "x.*")
-    rows = long(system, "a").join(long(truth, "b"), ["doc_id", "field"])
-    there = (F.col("a") != "") & (F.col("b") != "")
-    out = rows.select("doc_id", "field", F.when(F.col("a").isNull() & F.col("b").isNull(), True).when(there, similarity_udf("a", "b") > 0.8).otherwise(False).alias("match"))
+    rows = long(system, "system").join(long(truth, "ground_truth"), ["doc_id", "field"])
+    there = (F.col("system") != "") & (F.col("ground_truth") != "")
+    match = F.when(F.col("system").isNull() & F.col("ground_truth").isNull(), True).when(there, similarity_udf("system", "ground_truth") > 0.8).otherwise(False)
+    out = rows.select("doc_id", "field", match.alias("match"), "system", "ground_truth")
     if "auto_renewal" in system.columns and "auto_renewal" in truth.columns:
-        exists = system.select("doc_id", F.col("auto_renewal.exists").alias("a")).join(truth.select("doc_id", F.col("auto_renewal.exists").alias("b")), "doc_id")
-        out = out.unionByName(exists.select("doc_id", F.lit("auto_renewal_exists").alias("field"), F.col("a").eqNullSafe(F.col("b")).alias("match")))
+        of = lambda df, v: df.select("doc_id", F.col("auto_renewal.exists").cast("string").alias(v))
+        exists = of(system, "system").join(of(truth, "ground_truth"), "doc_id")
+        out = out.unionByName(exists.select("doc_id", F.lit("auto_renewal_exists").alias("field"), F.col("system").eqNullSafe(F.col("ground_truth")).alias("match"), "system", "ground_truth"))
     return out
 
 
@@ -154,19 +197,57 @@ def evaluation_report(obligations: tuple[DataFrame, DataFrame], risks: tuple[Dat
     """One row a document that has annotations, each argument (found, annotated): metrics
     and matches of obligations and risk flags, metrics of parties, accuracy of metadata,
     the unmatched obligations, and the mean of both F1."""
-    names = ("precision", "recall", "f1")
-    counted = lambda m, name: m.select("doc_id", F.struct(*names, F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives")).alias(name))
-    listed = lambda m, name: m.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("system_id", "truth_id", "match_type", F.col("score").alias("similarity")).alias("m")))), lambda x: x["m"]).alias(name))
+    counted = lambda m, name: m.select("doc_id", F.struct("precision", "recall", F.col("f1").alias("f1_score"), F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives")).alias(name))
+    listed = lambda m, name: m.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("system_id", F.col("truth_id").alias("ground_truth_id"), "match_type", F.col("score").alias("similarity")).alias("m")))), lambda x: x["m"]).alias(name))
     o, r = match_obligations(*obligations), match_risks(*risks)
     sets = party_sets(*parties).select("doc_id", *[F.size(c).alias(c) for c in ("matched", "extra", "missing")])
     of_sets = sets.withColumns(prf(F.col("matched"), F.col("matched") + F.col("extra"), F.col("matched") + F.col("missing")))
-    fields = metadata_accuracy(*headers).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "match")))).alias("metadata_accuracy"))
+    fields = metadata_accuracy(*headers).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("match", "system", "ground_truth").alias("found"))))).alias("metadata_accuracy"))
     lines = unmatched_lines(o).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("unmatched"))
     out = headers[1].select("doc_id")
-    for part in (counted(metrics(o, obligations[1]), "obligations"), counted(metrics(r, risks[1]), "risk_flags"), of_sets.select("doc_id", F.struct(*names).alias("parties")), fields, listed(o, "obligation_matches"), listed(r, "risk_matches"), lines):
+    for part in (counted(metrics(o, obligations[1]), "obligations"), counted(metrics(r, risks[1]), "risk_flags"), of_sets.select("doc_id", F.struct("precision", "recall", F.col("f1").alias("f1_score")).alias("parties")), fields, listed(o, "obligation_matches"), listed(r, "risk_matches"), lines):
         out = out.join(part, "doc_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return out.withColumn("overall_f1", (zero("obligations.f1") + zero("risk_flags.f1")) / 2)
+    none = {c: F.coalesce(c, F.from_json(F.lit('{"precision": 0, "recall": 0, "f1_score": 0, "true_positives": 0, "false_positives": 0, "false_negatives": 0}'), out.schema[c].dataType)) for c in ("obligations", "risk_flags", "parties")}
+    lists = {c: F.coalesce(c, F.from_json(F.lit("[]"), out.schema[c].dataType)) for c in ("obligation_matches", "risk_matches", "unmatched")}
+    return out.withColumns(none | lists).withColumn("overall_f1", (F.col("obligations.f1_score") + F.col("risk_flags.f1_score")) / 2)
+
+
+def evaluation_json(reports: DataFrame) -> DataFrame:
+    """(doc_id, json): one object a document; the key names are fixed values."""
+    cols = ["obligations", "risk_flags", "parties", "metadata_accuracy", "obligation_matches", "risk_matches"]
+    return reports.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("contract_file"), *cols), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+
+
+#: Labels of the evaluation's text; fixed values.
+FULL_RULE, PART_RULE = "=" * 60, "-" * 40
+
+
+def evaluation_text(reports: DataFrame) -> DataFrame:
+    """(doc_id, text): the evaluation for reading."""
+    share = lambda c: percent(F.col(c), 1)
+    lit = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    line = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+
+    def part(name: str, title: str, counts: bool) -> Column:
+        of = lambda c: F.col(f"{name}.{c}")
+        whole = lambda c: line(" (", of("true_positives"), "/", of("true_positives") + of(c), ")") if counts else F.lit("")
+        return lit(title, PART_RULE, line("  Precision: ", share(f"{name}.precision"), whole("false_positives")), line("  Recall:    ", share(f"{name}.recall"), whole("false_negatives")))
+
+    got = F.col("obligations")
+    more = lit(line("  F1 Score:  ", share("obligations.f1_score")), line("  True Positives:  ", got["true_positives"]), line("  False Positives: ", got["false_positives"], " (system extracted, not in ground truth)"), line("  False Negatives: ", got["false_negatives"], " (missed by system)"), "")
+    said = lambda v: F.coalesce(v, F.lit("None"))
+    entry = lambda e: F.when(e["value"]["match"], lit(line("  ", e["key"], ": OK"))).otherwise(lit(line("  ", e["key"], ": MISMATCH"), line("    System: ", said(e["value"]["system"])), line("    Ground Truth: ", said(e["value"]["ground_truth"]))))
+    unmatched = F.when(F.size("unmatched") > 0, F.concat(lit("UNMATCHED SYSTEM OBLIGATIONS (possible false positives)", PART_RULE), F.transform("unmatched", lambda x: line("  ", x)), lit(""))).otherwise(F.array().cast("array<string>"))
+    name = F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*)/?$", 1)
+    lines = F.concat(
+        lit(FULL_RULE, "EVALUATION REPORT", FULL_RULE, line("Contract: ", name), ""),
+        part("obligations", "OBLIGATIONS", True), more,
+        part("risk_flags", "RISK FLAGS", True), lit(line("  F1 Score:  ", share("risk_flags.f1_score")), ""),
+        part("parties", "PARTIES", False), lit("", "METADATA ACCURACY", PART_RULE),
+        F.flatten(F.transform(F.map_entries("metadata_accuracy"), entry)), lit(""), unmatched,
+        lit(FULL_RULE, line("OVERALL F1 SCORE: ", share("overall_f1")), FULL_RULE),
+    )
+    return reports.select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 def write_evaluation(reports: DataFrame, path: str) -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ obligations ARRAY<STRUCT<id:STRING,party:STRING,type:STRING,description:STRING,d
 key_definitions ARRAY<STRUCT<term:STRING,definition:STRING,source_location:STRING>>, extraction_notes STRING, _corrupt_record STRING"""
 
 
+#: What stands between the place of a chunk and its text in a message; a fixed value.
+TEXT_MARK = "CONTRACT TEXT:\n\n"
+
+
 class RuleExtractor:
     """A deterministic extractor that needs no network: a sentence with an obligation
     keyword is an obligation. Any ``extractor(text) -> JSON`` may take its place."""
@@ -24,7 +29,7 @@ class RuleExtractor:
         from .audit import KEYWORDS
 
         found = []
-        for sentence in re.split(r"(?<=[.;])\s+", text):
+        for sentence in re.split(r"(?<=[.;])\s+", text.split(TEXT_MARK, 1)[-1]):
             if len(sentence.strip()) >= 10 and any(re.search(p, sentence, re.I) for p in KEYWORDS.values()):
                 found.append({"party": "Unknown", "type": "requirement", "description": sentence.strip(), "source_text": sentence.strip()})
         return json.dumps({"obligations": found})
@@ -51,19 +56,56 @@ def read_prompt(path: str) -> str:
 def chunk_message() -> Column:
     """What the extractor is asked: the chunk, with its place if there are several."""
     place = F.format_string("[This is chunk %d of %d from the contract. Source: %s]\n\n", F.col("chunk_index") + 1, "total_chunks", "source_location")
-    return F.concat(F.when(F.col("total_chunks") > 1, place).otherwise(F.lit("")), F.lit("CONTRACT TEXT:\n\n"), "text")
+    return F.concat(F.when(F.col("total_chunks") > 1, place).otherwise(F.lit("")), F.lit(TEXT_MARK), "text")
+
+
+#: Calls of the extractor for a chunk, before it counts as failed.
+ATTEMPTS = 3
+
 
+def _ask(call: Callable[[str], str], message: str, attempts: int, pause: float) -> tuple[str | None, int, str | None]:
+    """(answer, calls, None), or (None, calls, what was raised last)."""
+    error = None
+    for k in range(1, attempts + 1):
+        try:
+            return call(message), k, None
+        except Exception as e:  # a chunk that fails must not fail the others
+            error = f"{type(e).__name__}: {e}"
+            if k < attempts:
+                time.sleep(pause * 2 ** (k - 1))
+    return None, attempts, error
 
-def extract(chunks: DataFrame, extractor: Callable[[str], str] | None = None) -> DataFrame:
-    """(doc_id, chunk_index, response): the extractor's raw answer for each chunk."""
+
+def extract(chunks: DataFrame, extractor: Callable[[str], str] | None = None, attempts: int = ATTEMPTS, pause: float = 0.0) -> DataFrame:
+    """(doc_id, chunk_index, response, attempts, failure): the extractor's raw answer for
+    each chunk. A call that raises is repeated, after ``pause`` seconds and then twice as
+    long each time; where all ``attempts`` raise there is no answer, and ``failure`` says
+    what was raised. Its answers may differ each time: store them before using them twice."""
     call = extractor or RuleExtractor()
+    if attempts < 1:
+        raise ValueError("at least one attempt is needed")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[["doc_id", "chunk_index"]].assign(response=[call(m) for m in f["message"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_ask(call, m, attempts, pause) for m in b.column(2).to_pylist()]
+            response, calls, failure = (list(c) for c in zip(*got)) if got else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(response, pa.string()), pa.array(calls, pa.int32()), pa.array(failure, pa.string())], names=["doc_id", "chunk_index", "response", "attempts", "failure"])
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    return chunks.select("doc_id", "chunk_index", chunk_message().alias("message")).mapInPandas(run, f"doc_id {kind}, chunk_index int, response string")
+    asked = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), chunk_message().alias("message"))
+    return asked.mapInArrow(run, f"doc_id {kind}, chunk_index int, response string, attempts int, failure string")
+
+
+def failed_documents(responses: DataFrame) -> DataFrame:
+    """(doc_id, failed_chunks, error): documents of which a chunk has no answer, with what
+    the first such chunk raised. Half an analysis would pass for a whole one."""
+    bad = responses.where("failure IS NOT NULL")
+    return bad.groupBy("doc_id").agg(F.count(F.lit(1)).alias("failed_chunks"), F.min_by("failure", "chunk_index").alias("error"))
+
+
+def whole_documents(responses: DataFrame) -> DataFrame:
+    """The answers of the documents that have all of theirs."""
+    return responses.join(responses.where("failure IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def unfenced(response: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: category: (severity, action, negotiation, explanation, rules as (pattern, title)); fixed values, in order.
@@ -85,6 +85,52 @@ CATEGORIES = list(RULES)
 FLAGS = "(?Ud)"
 
 
+#: Rules of a table that one plan takes at most: each is a branch of it.
+MOST_RULES = 2000
+RULE_TABLE = "category string, category_order int, rule_order int, pattern string, title string, severity string, action string, negotiation string, explanation string"
+Rules = dict[str, tuple[str, str, str, str, list[tuple[str, str]]]]
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The built-in rules as a table, to be kept, changed and added to."""
+    rows = [(c, k, i, p, title, s, action, negotiation, explains) for k, (c, (s, action, negotiation, explains, rules)) in enumerate(RULES.items()) for i, (p, title) in enumerate(rules)]
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+def load_rules(table: DataFrame) -> Rules:
+    """A table of rules, checked, as the plan takes it: a small configuration, MOST_RULES
+    rows at most. Patterns are regular expressions over lower-case text; a category has one
+    severity and one wording."""
+    rows = table.select(*[c.split()[0] for c in RULE_TABLE.split(", ")]).orderBy("category_order", "category", "rule_order").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    rules: Rules = {}
+    for r in rows:
+        if r.severity not in ("high", "medium", "low"):
+            raise ValueError(f"{r.category}: no such severity: {r.severity}")
+        if r.pattern is None or r.title is None or r.category is None:
+            raise ValueError(f"a rule without category, pattern or title: {r}")
+        said = (r.severity, r.action, r.negotiation, r.explanation or "")
+        if rules.setdefault(r.category, (*said, []))[:4] != said:
+            raise ValueError(f"{r.category}: its rules differ in severity or wording")
+        rules[r.category][4].append((r.pattern, r.title))
+    bad = [p for *_, found in rules.values() for p, _ in found if not _compiles(table.sparkSession, p)]
+    if bad:
+        raise ValueError(f"no regular expressions: {bad}")
+    return rules
+
+
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine takes the pattern: a constant that the optimiser works out."""
+    try:
+        spark.range(1).select(F.lit("").rlike(FLAGS + pattern)).collect()
+    except Exception as e:
+        if "REGEX" not in str(e).upper() and "PATTERN" not in str(e).upper():
+            raise
+        return False
+    return True
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "high", 3).when(severity == "medium", 2).when(severity == "low", 1)
 
@@ -102,27 +148,30 @@ def first_title(text: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def rule_matches(obligations: DataFrame) -> DataFrame:
+def rule_matches(obligations: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(doc_id, ord, category, rule): every rule that matches, not the first alone."""
-    tests = [F.when(F.col("t").rlike(FLAGS + p), F.struct(F.lit(c).alias("category"), F.lit(k).alias("rule"))) for c in CATEGORIES for k, (p, _) in enumerate(RULES[c][4])]
+    table = RULES if rules is None else load_rules(rules)
+    tests = [F.when(F.col("t").rlike(FLAGS + p), F.struct(F.lit(c).alias("category"), F.lit(k).alias("rule"))) for c in table for k, (p, _) in enumerate(table[c][4])]
     found = obligations.select("doc_id", "ord", search_text().alias("t")).select("doc_id", "ord", F.explode(F.array_compact(F.array(*tests))).alias("m"))
     return found.select("doc_id", "ord", "m.category", "m.rule")
 
 
-def score_risks(obligations: DataFrame, header: DataFrame | None = None) -> DataFrame:
+def score_risks(obligations: DataFrame, header: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Flags (doc_id, ord, set_ord, obligation_id, category, severity, title, description,
     source_text, source_location, action_required, negotiation_suggestion).
 
     One pass, no shuffle: each category is one CASE over its rules. ``header`` adds the
-    flag of an automatic renewal, last in its document.
+    flag of an automatic renewal, last in its document. ``rules`` (see RULE_TABLE) takes the
+    place of the built-in ones.
     """
+    table = RULES if rules is None else load_rules(rules)
     flag = []
-    for k, c in enumerate(CATEGORIES):
-        severity, action, negotiation, explains, _ = RULES[c]
+    for k, c in enumerate(table):
+        severity, action, negotiation, explains, _ = table[c]
         title = F.col(f"title_{k}")
         text = F.concat(title, F.lit(" detected. " + explains), F.coalesce("description", F.lit("None")))
         flag.append(F.when(title.isNotNull(), F.struct(F.lit(k).alias("set_ord"), F.lit(c).alias("category"), F.lit(severity).alias("severity"), title.alias("title"), text.alias("text"), F.lit(action).alias("action_required"), F.lit(negotiation).alias("negotiation_suggestion"))))
-    titled = obligations.withColumn("t", search_text()).withColumns({f"title_{k}": first_title(F.col("t"), RULES[c][4]) for k, c in enumerate(CATEGORIES)})
+    titled = obligations.withColumn("t", search_text()).withColumns({f"title_{k}": first_title(F.col("t"), table[c][4]) for k, c in enumerate(table)})
     rows = titled.withColumn("f", F.explode(F.array_compact(F.array(*flag))))
     cols = ["f.set_ord", F.col("id").alias("obligation_id"), "f.category", "f.severity", "f.title", F.col("f.text").alias("description"), "source_text", "source_location", "f.action_required", "f.negotiation_suggestion"]
     flags = rows.select("doc_id", F.col("ord").cast("int").alias("ord"), *cols)

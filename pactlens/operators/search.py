@@ -22,11 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 A_COPY = 256
 
 
-def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[[str | None], Callable[[dict], tuple]], result: str, text: str = "raw_text", order: str = "ord") -> DataFrame:
+def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[[object], Callable[[dict], tuple]], result: str, text: str = "raw_text", order: str = "ord") -> DataFrame:
     """``items`` (doc_id, .., in any order) with the columns of ``result``, a DDL string.
 
-    ``open_document(text)`` is called once for a document (None if there is none) and gives
-    a function from an item, as a dict, to the values of ``result``.
+    ``open_document`` is called once for a document, with its column ``text`` (None if there
+    is no document), and gives a function from an item, as a dict, to the values of
+    ``result``.
     """
     cols = [c for c in items.columns if c != "doc_id"]
     added = T._parse_datatype_string(result)
@@ -34,8 +35,8 @@ def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[
     item = F.struct(*[F.col(f"`{c}`") for c in cols])
     kind = items.select(item.alias("item")).schema["item"].dataType
     none = F.lit(None).cast(kind)
-    asked = items.join(copies, "doc_id").select("doc_id", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in cols]), F.col("copies")).cast("int").alias("copy"), F.lit(None).cast("string").alias("text"), item.alias("item"))
-    told = docs.join(copies, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.coalesce(text, F.lit("")).alias("text"), none.alias("item"))
+    asked = items.join(copies, "doc_id").select("doc_id", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in cols]), F.col("copies")).cast("int").alias("copy"), F.lit(None).cast(docs.schema[text].dataType).alias("text"), item.alias("item"))
+    told = docs.join(copies, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col(text).alias("text"), none.alias("item"))
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the work is in seconds, not in bytes
     stream = told.unionByName(asked).repartition(tasks, "doc_id", "copy").sortWithinPartitions("doc_id", "copy", F.col("item").isNotNull(), F.col(f"item.{order}"))
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in added]

@@ -5,45 +5,44 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..session import session
-from ..sources.readers import read_annotations, read_documents, with_annotations
+from ..sources.named_files import write_named
+from ..sources.readers import prepared_json, read_annotations, read_documents, with_annotations
+from .analysis import stored
 
 
-def _items(rows: DataFrame, name: str) -> DataFrame:
+def items_of(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, ord, set_ord, the item's fields) of a list of annotations, in its order."""
     out = rows.select(F.col("stem").alias("doc_id"), F.posexplode(name).alias("place", "x"))
     return out.select("doc_id", (F.col("place") + 1).alias("ord"), F.lit(0).alias("set_ord"), "x.*")
 
 
-def prepared(annotations: DataFrame) -> DataFrame:
-    """Annotations whose obligations and flags have the audit fields; those present stay."""
-
-    def filled(x: Column) -> Column:
-        return x.withField("_audit_status", F.coalesce(x["_audit_status"], F.lit("pending"))).withField("_audit_notes", F.coalesce(x["_audit_notes"], F.lit("")))
-
-    return annotations.withColumns({c: F.transform(c, filled) for c in ("obligations", "risk_flags")})
-
-
 def audit_folder(spark: SparkSession, folder: str, annotations: str, out: str, threshold: float = 0.85, prepare: bool = False) -> dict[str, int]:
-    """Write checklists, console texts and, to ``prepare``, annotations with audit fields,
-    each below ``out`` in a folder stem=... for each document; counts of items by status.
+    """Audit every document of a folder (or one) that has annotations; counts of items by
+    status. Below ``out``: <name>_audit.md, <name>_console.txt and, to ``prepare``,
+    <name>_ground_truth.json, which is the annotation file with the audit fields it lacked.
 
     The searched quotes are stored and read back, as three outputs need them.
     """
     notes = read_annotations(spark, annotations)
-    rows = with_annotations(read_documents(spark, folder).where("error IS NULL"), notes)
+    rows = with_annotations(read_documents(spark, folder, unsupported=False).where("error IS NULL"), notes).where("raw IS NOT NULL")
     docs = rows.select(F.col("stem").alias("doc_id"), "raw_text")
-    items = audit.audit_items(_items(rows, "obligations"), _items(rows, "risk_flags"))
-    audit.verify_quotes(items, docs, threshold).write.mode("overwrite").parquet(f"{out}/_store/results")
-    results = spark.read.parquet(f"{out}/_store/results")
-    misses = audit.potential_misses(audit.keyword_sentences(docs), items)
-    for name, df, column in (("checklist", audit.render_checklist(results, misses), "markdown"), ("console", audit.console_lines(results, misses), "text")):
-        df.select(F.col("doc_id").alias("stem"), column).write.mode("overwrite").partitionBy("stem").text(f"{out}/{name}")
+    obligations, flags = items_of(rows, "obligations"), items_of(rows, "risk_flags")
+    items = audit.audit_items(obligations, flags)
+    said = obligations.select("doc_id", F.col("ord").cast("int").alias("ord"), F.lit("obligation").alias("item_type"), "description", F.lit("").alias("severity"))
+    said = said.unionByName(flags.select("doc_id", F.col("ord").cast("int").alias("ord"), F.lit("risk_flag").alias("item_type"), F.coalesce("title", "description").alias("description"), "severity"))
+    results = stored(audit.verify_quotes(items, docs, threshold).join(said, ["doc_id", "ord", "item_type"]), f"{out}/_store/results")
+    misses = stored(audit.potential_misses(audit.keyword_sentences(docs), items), f"{out}/_store/misses")
+    names = rows.select(F.col("stem").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    named = lambda df, column, ending: df.select(F.concat("doc_id", F.lit(ending)).alias("name"), F.col(column).alias("content"))
+    files = named(audit.render_checklist(results, misses, names), "markdown", "_audit.md").unionByName(named(audit.console_lines(results, misses), "text", "_console.txt"))
     if prepare:
-        prepared(notes).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("stem").json(f"{out}/prepared")
+        files = files.unionByName(named(notes.select(F.col("stem").alias("doc_id"), prepared_json("raw").alias("json")), "json", "_ground_truth.json"))
+    write_named(files, out)
     return {r["status"]: r["count"] for r in results.groupBy("status").count().collect()}
 
 

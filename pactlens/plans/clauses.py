@@ -6,6 +6,8 @@ no random numbers, so both engines see the same texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Clause texts; {d} and {m} are day and month counts.
@@ -108,9 +110,10 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for name, sql in (("numbered", NUMBERED), ("clauses", CLAUSES), ("renewals", RENEWALS), ("responses", RESPONSES), ("quotes", QUOTES), ("docs", DOCS_SPARK)):
         source = sql.split("FROM ")[1].split()[0]
         df = t.get(source, out.get(source))
-        name_of = f"pl_{source}"
+        name_of = f"pactlens_{source}_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(name_of)
         out[name] = spark.sql(sql.replace(f"FROM {source}", f"FROM {name_of}"))
+        spark.catalog.dropTempView(name_of)
     return out
 
 

@@ -171,9 +171,17 @@ def fuzzy_verify(v):
     return verify.verify(v["quotes"], v["docs"]).withColumn("issues", F.array_join("issues", "|"))
 
 
+def _items(v):
+    return v["quotes"].select("doc_id", "ord", F.col("obligation_id").alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
+
+
+def audit_exact(v):
+    """What an audit decides without a search; a null ratio needs one."""
+    return audit.exact_quotes(_items(v), v["docs"])
+
+
 def audit_statuses(v):
-    items = v["quotes"].select("doc_id", "ord", F.col("obligation_id").alias("item_id"), F.lit("obligation").alias("item_type"), "source_text")
-    return audit.verify_quotes(items, v["docs"])
+    return audit.verify_quotes(_items(v), v["docs"])
 
 
 def audit_tallies(v):
@@ -210,7 +218,7 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumns({k: F.round(c, 6) for k, c in evaluate.prf(F.col("tp"), F.col("predicted"), F.col("positive")).items()})
 
 
-VIEWED = [quote_exact, quote_verify_rollup, quote_key_phrases, quote_original_sentence, page_location, section_headers, paragraphs, paragraph_sections, paginate, chunk_fold, keyword_sentences, keyword_top3, keyword_priority_top10, rule_match, rule_first_per_category, obligation_risk_rollup, auto_renewal_flag, risk_summary, json_extract_tolerant, merge_parties, merge_metadata, renumber_obligations, merge_definitions, report_join, review_queue, report_summary_text, eval_party_sets, eval_greedy_match, eval_prf1, fuzzy_verify, audit_statuses, audit_tallies, potential_misses, eval_greedy_similarity, unmatched_obligations, console_summary]
+VIEWED = [quote_exact, quote_verify_rollup, quote_key_phrases, quote_original_sentence, page_location, section_headers, paragraphs, paragraph_sections, paginate, chunk_fold, keyword_sentences, keyword_top3, keyword_priority_top10, rule_match, rule_first_per_category, obligation_risk_rollup, auto_renewal_flag, risk_summary, json_extract_tolerant, merge_parties, merge_metadata, renumber_obligations, merge_definitions, report_join, review_queue, report_summary_text, eval_party_sets, eval_greedy_match, eval_prf1, fuzzy_verify, audit_exact, audit_statuses, audit_tallies, potential_misses, eval_greedy_similarity, unmatched_obligations, console_summary]
 DIRECT = [label_metrics]
 
 
@@ -332,6 +340,24 @@ SELECT doc_id, chunk_index, total_chunks, c.text AS text, c.start_page AS start_
 FROM (SELECT doc_id, unnest(l) AS c, unnest(range(len(l)))::INT AS chunk_index, len(l)::INT AS total_chunks FROM ended)"""
 
 
+def _block(rows: str, most: int, head: str, line: str) -> str:
+    """Lines of the first rows of a list, a head before them and a blank line after."""
+    shown = f"list_transform(range(1, least(len({rows}), {most}) + 1), lambda i: concat({line}, {rows}[i]))"
+    more = f"CASE WHEN len({rows}) > {most} THEN [concat('  ... and ', len({rows}) - {most}, ' more')] ELSE []::VARCHAR[] END"
+    return f"CASE WHEN {rows} IS NULL THEN []::VARCHAR[] ELSE [concat({_q(head)}, ' (', len({rows}), '):')] || {shown} || {more} || [''] END"
+
+
+CONSOLE = f"""WITH {FLAGS}, {RESULTS}, {REPORT},
+who AS (SELECT doc_id, string_agg(w, ', ' ORDER BY o) AS who FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM (SELECT doc_id, w, min(ord) AS o FROM (SELECT doc_id, ord, concat(party, CASE WHEN party = 'Tenant' THEN ' (You)' ELSE ' (party)' END) AS w FROM clauses) GROUP BY doc_id, w)) WHERE k <= 2 GROUP BY doc_id),
+flagged AS (SELECT doc_id, list(t ORDER BY ord, set_ord) FILTER (severity = 'high') AS high, list(t ORDER BY ord, set_ord) FILTER (severity = 'medium') AS medium FROM (SELECT f.doc_id, f.ord, set_ord, severity, concat(title, ' ', CASE WHEN coalesce(source_location, '') <> '' THEN concat('(', source_location, ')') ELSE '' END) AS t FROM flags AS f JOIN clauses AS c ON c.doc_id = f.doc_id AND c.ord = f.ord) GROUP BY doc_id),
+review AS (SELECT doc_id, list(concat(obligation_id, ': Source text could not be verified') ORDER BY ord) AS l FROM results WHERE status = 'unverified' GROUP BY doc_id)
+SELECT doc_id, array_to_string(
+  [concat('Document: ', doc_id)] || CASE WHEN who IS NULL THEN []::VARCHAR[] ELSE [concat('Parties: ', who)] END || CASE WHEN doc_id % 2 = 0 THEN ['Term: 2 years'] ELSE []::VARCHAR[] END || ['']
+  || {_block("high", 5, "[HIGH RISK FLAGS]", "'  ', i, '. '")} || {_block("medium", 5, "[MEDIUM RISK FLAGS]", "'  ', i, '. '")} || {_block("l", 3, "[!] ITEMS NEEDING HUMAN REVIEW", "'  - '")}
+  || CASE WHEN has_hallucinations THEN ['[WARNING] Possible hallucinations detected - review flagged items'] WHEN rate < 1 THEN [concat('[NOTE] Verification rate: ', round_even(rate * 100, 0)::INT, '%')] ELSE []::VARCHAR[] END, chr(10)) AS text
+FROM renewals LEFT JOIN who USING (doc_id) LEFT JOIN flagged USING (doc_id) LEFT JOIN review USING (doc_id) LEFT JOIN report USING (doc_id)"""
+
+
 def _folds() -> dict[str, str]:
     """SQL of what depends on the rows before."""
     return {
@@ -372,6 +398,9 @@ SELECT doc_id, concat_ws(chr(10), 'Parties: ' || who, CASE WHEN doc_id % 2 = 0 T
   concat('Total Obligations: ', coalesce(total, 0)), concat('Verification: ', coalesce(verified, 0), '/', coalesce(total, 0), ' verified (', round_even(coalesce(rate, 1.0) * 100, 0)::INT, '%)'), 'Overall Risk: ' || upper(coalesce(overall, 'low')),
   CASE WHEN high > 0 THEN concat('High-Risk Flags: ', high) END, CASE WHEN medium > 0 THEN concat('Medium-Risk Flags: ', medium) END, 'Most Concerning: ' || most_concerning) AS summary
 FROM renewals LEFT JOIN who USING (doc_id) LEFT JOIN report USING (doc_id) LEFT JOIN summary USING (doc_id)""",
+        "console_summary": CONSOLE,
+        "audit_exact": f"""WITH x AS (SELECT q.doc_id, q.ord, q.obligation_id AS item_id, 'obligation' AS item_type, q.source_text, coalesce(q.source_text, '') = '' AS none, contains(lower({_strip(r"regexp_replace(raw_text, '\s+', ' ', 'g')")}), lower({_strip(r"regexp_replace(q.source_text, '\s+', ' ', 'g')")})) AS held FROM quotes AS q JOIN docs USING (doc_id))
+SELECT doc_id, ord, item_id, item_type, source_text, CASE WHEN none THEN 0.0::DOUBLE WHEN held THEN 1.0 END AS match_ratio, CASE WHEN NOT none AND held THEN source_text END AS best_match_text FROM x""",
         "eval_party_sets": f"WITH {TRUTH}, s AS (SELECT DISTINCT doc_id, lower(party) AS n FROM clauses), t AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN lower(party) || ' ltd' ELSE lower(party) END AS n FROM truth), b AS (SELECT doc_id, n, max(a) AS a, max(b) AS b FROM (SELECT doc_id, n, 1 AS a, 0 AS b FROM s UNION ALL SELECT doc_id, n, 0, 1 FROM t) GROUP BY doc_id, n) SELECT doc_id, coalesce(string_agg(n, '|' ORDER BY n) FILTER (a = 1 AND b = 1), '') AS matched, coalesce(string_agg(n, '|' ORDER BY n) FILTER (b = 0), '') AS extra, coalesce(string_agg(n, '|' ORDER BY n) FILTER (a = 0), '') AS missing FROM b GROUP BY doc_id",
         "eval_prf1": f"WITH {TRUTH}, m AS (SELECT doc_id, count(*) FILTER ((doc_id + ord) % 4 <> 0) AS tp, count(*) FILTER ((doc_id + ord) % 4 = 0) AS fp FROM clauses WHERE ord % 5 <> 0 GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n FROM truth GROUP BY doc_id), x AS (SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(n, 0) AS n FROM m FULL JOIN t USING (doc_id)), y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS r FROM x) SELECT doc_id, tp, fp, n - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM y",
     }

@@ -192,8 +192,8 @@ def test_evaluation_report(spark, tmp_path):
     evaluate.write_evaluation(report_rows, str(tmp_path / "out"))
     got = {r["doc_id"]: r for p in (tmp_path / "out").glob("part-*") for r in map(json.loads, p.read_text().splitlines())}
     assert got[1]["obligations"]["true_positives"] == 1 and got[1]["obligations"]["false_positives"] == 6
-    assert [m["truth_id"] for m in got[1]["risk_matches"]] == ["GT-RISK-1", None] and got[1]["risk_matches"][1]["system_id"] == "RISK-2"
-    assert got[1]["metadata_accuracy"] == {"effective_date": True, "term": True, "termination_notice_period": False}
+    assert [m["ground_truth_id"] for m in got[1]["risk_matches"]] == ["GT-RISK-1", None] and got[1]["risk_matches"][1]["system_id"] == "RISK-2"
+    assert {k: v["match"] for k, v in got[1]["metadata_accuracy"].items()} == {"effective_date": True, "term": True, "termination_notice_period": False}
     assert len(got[1]["unmatched"]) == 6 and got[1]["unmatched"][-1] == "... and 1 more" and got[1]["unmatched"][0].startswith("OBL-002: No match found (best score: 0.")
     assert got[1]["overall_f1"] == pytest.approx((0.25 + 2 / 3) / 2) and got[2]["overall_f1"] == 0
 
@@ -206,20 +206,12 @@ def test_audit_folder(spark, tmp_path):
     (tmp_path / "notes/a_ground_truth.json").write_text(json.dumps({"obligations": items, "risk_flags": [{"title": "T", "source_text": "nothing else", "_audit_status": "done"}]}))
     found = audit_plan.audit_folder(spark, str(tmp_path / "in"), str(tmp_path / "notes"), str(tmp_path / "out"), prepare=True)
     assert found == {"VERIFIED": 2, "FLAGGED": 1}
-    text = "".join(p.read_text() for p in (tmp_path / "out/console/stem=a").glob("part-*"))
+    text = (tmp_path / "out/a_console.txt").read_text()
     assert "OK OBL-001: VERIFIED (100.0% match)" in text and "X OBL-002: FLAGGED" in text and "Summary: 1 verified, 0 likely ok, 1 flagged" in text and "[MUST]" in text
-    ready = json.loads("".join(p.read_text() for p in (tmp_path / "out/prepared/stem=a").glob("part-*")))
+    ready = json.loads((tmp_path / "out/a_ground_truth.json").read_text())
     assert [o["_audit_status"] for o in ready["obligations"]] == ["pending"] * 2 and ready["risk_flags"][0]["_audit_status"] == "done"
 
 
-def test_reports_by_document(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("The client shall pay within ten days.")
-    assert analysis.analyse_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), by_document=True) == (1, 0)
-    for kind in ("analysis", "summary", "report"):
-        assert list((tmp_path / "out" / kind / "stem=a").glob("part-*"))
-
-
 def test_audit(spark):
     docs = spark.createDataFrame([(1, "The seller shall deliver. The buyer must pay; nothing else.\nshort\nHe agrees to all of it.")], "doc_id int, raw_text string")
     found = audit.keyword_sentences(docs)
@@ -228,7 +220,10 @@ def test_audit(spark):
     assert {r.ord: r.status for r in audit.verify_quotes(items, docs).collect()} == {1: "VERIFIED", 2: "FLAGGED"}
     missed = audit.potential_misses(found, items)
     assert {r.keyword for r in missed.collect()} == {"MUST", "AGREES"}
-    assert "## Potential misses" in audit.render_checklist(audit.verify_quotes(items, docs), missed).first().markdown
+    names = spark.createDataFrame([(1, "a.txt")], "doc_id int, name string")
+    lines = audit.render_checklist(audit.verify_quotes(items, docs), missed, names).first().markdown.split("\n")
+    assert lines[0] == "# Audit: a.txt" and "- [X] OBL-001: " in lines and "| Line 1 | The buyer must pay; | Review: contains 'must' |" in lines
+    assert "| OBL-002 | Only 0% match - verify source text | Review |" in lines and "- 2 obligations verified: 1 exact, 0 likely, 1 flagged" in lines and "- 2 potential missed clauses found for review" in lines
 
 
 def test_sources_and_whole_plan(spark, tmp_path):
@@ -240,7 +235,7 @@ def test_sources_and_whole_plan(spark, tmp_path):
     assert docs["b"].raw_text == "café must close" and docs["c"].error and docs["a"].error is None
     good, bad = analysis.analyse_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert (good, bad) == (2, 1)
-    assert "OBLIGATIONS (" in "".join(p.read_text() for p in (tmp_path / "out/summary").glob("part-*"))
+    assert "OBLIGATIONS (" in (tmp_path / "out/a_summary.txt").read_text()
     with pytest.raises(ValueError, match="Unsupported file type"):
         readers.require_supported("x.docx")
 
