@@ -167,9 +167,11 @@ def merge_header(parsed: DataFrame) -> DataFrame:
 
 
 def to_json(header: DataFrame, parties: DataFrame, obligations: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(doc_id, json): one object for each document."""
-    listed = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in df.columns if c not in ("doc_id", "ord")]))).alias(name))
+    """(doc_id, json): one object for each document; the key names are fixed values."""
     rows = header
-    for df, name in ((parties, "parties"), (obligations, "obligations"), (definitions, "key_definitions")):
-        rows = rows.join(listed(df, name), "doc_id", "left")
-    return rows.select("doc_id", F.to_json(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("json"))
+    for df, name, cols in ((parties, "parties", ["name", "role", "is_reader"]), (obligations, "obligations", ["id", "party", "type", "description", "deadline", "conditions", "source_text", "source_location"]), (definitions, "key_definitions", ["term", "definition", "source_location"])):
+        items = F.array_sort(F.collect_list(F.struct("ord", F.struct(*cols).alias("row"))))
+        rows = rows.join(df.groupBy("doc_id").agg(F.transform(items, lambda x: x["row"]).alias(name)), "doc_id", "left")
+        rows = rows.withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), rows.schema[name].dataType)))
+    fields = F.struct(F.col("doc_id").cast("string").alias("file_path"), "parties", "effective_date", "term", "termination_notice_period", "auto_renewal", "obligations", "key_definitions", F.col("notes").alias("extraction_notes"), "chunks_processed")
+    return rows.select("doc_id", F.to_json(fields, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))

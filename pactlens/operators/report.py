@@ -237,9 +237,10 @@ def render_markdown(reports: DataFrame, footer: str | None = None) -> DataFrame:
     return reports.select("doc_id", F.array_join(F.concat(*blocks), "\n").alias("markdown"))
 
 
-def report_files(reports: DataFrame, save_json: bool = True, save_text: bool = True, save_markdown: bool = False, results: DataFrame | None = None) -> DataFrame:
+def report_files(reports: DataFrame, save_json: bool = True, save_text: bool = True, save_markdown: bool = False, results: DataFrame | None = None, extracted: DataFrame | None = None) -> DataFrame:
     """(name, content): the files of each document by its name; with ``results`` also those
-    of its risk flags and of its verification."""
+    of its risk flags and of its verification, with ``extracted`` (doc_id, json) that of
+    what was extracted."""
     kinds = []
     if save_json:
         kinds.append((report_json(reports), "json", "_analysis.json"))
@@ -249,6 +250,8 @@ def report_files(reports: DataFrame, save_json: bool = True, save_text: bool = T
         kinds.append((render_markdown(reports), "markdown", "_report.md"))
     if results is not None:
         kinds += [(risks_json(reports), "json", "_risks.json"), (verification_json(reports, results), "json", "_verification.json")]
+    if extracted is not None:
+        kinds.append((extracted, "json", "_extraction.json"))
     if not kinds:
         raise ValueError("no kind of file asked for")
     stems = with_file_stem(reports.select("doc_id"))
@@ -259,7 +262,7 @@ def report_files(reports: DataFrame, save_json: bool = True, save_text: bool = T
     return out
 
 
-def write_reports(reports: DataFrame, folder: str, save_json: bool = True, save_text: bool = True, save_markdown: bool = False, results: DataFrame | None = None) -> None:
+def write_reports(reports: DataFrame, folder: str, save_json: bool = True, save_text: bool = True, save_markdown: bool = False, results: DataFrame | None = None, extracted: DataFrame | None = None) -> None:
     """report_files() written below ``folder``; for millions of documents, tables of
     report_json() and the like are the better form."""
-    write_named(report_files(reports, save_json, save_text, save_markdown, results), folder)
+    write_named(report_files(reports, save_json, save_text, save_markdown, results, extracted), folder)

@@ -65,15 +65,16 @@ def analyse_folder(spark: SparkSession, folder: str, out: str, extractor=None, s
     counted; one such file is an error.
 
     A document's id is its path, so files of one name in two folders or with two endings
-    stay apart. Below ``out``: <name>_analysis.json, <name>_summary.txt, <name>_report.md
-    and, with ``stages``, <name>_risks.json and <name>_verification.json; ``_errors`` has a
+    stay apart. Below ``out``: <name>_analysis.json, <name>_summary.txt, <name>_report.md and,
+    with ``stages``, <name>_extraction.json, _risks.json and _verification.json; ``_errors`` has a
     line for each file or document that failed, with its stage, and ``_store`` what later
     stages read back. Exact answers stay in ``_store``, so a failed chunk can be looked up.
     """
     files = read_documents(spark, folder, pdf_pages)
     done = analyse(documents(files), extractor, f"{out}/_store", attempts)
     full = stored(done["report"], f"{out}/_store/report")
-    report.write_reports(full, out, save_markdown=True, results=done["results"] if stages else None)
+    extracted = extract.to_json(done["header"], done["parties"], done["obligations"], done["definitions"]) if stages else None
+    report.write_reports(full, out, save_markdown=True, results=done["results"] if stages else None, extracted=extracted)
     unread = files.where("error IS NOT NULL").select("path", F.when(F.col("error").startswith("Unsupported file type"), "unsupported").otherwise("read").alias("stage"), "error")
     failed = done["errors"].select(F.col("doc_id").alias("path"), F.lit("extract").alias("stage"), "error")
     errors = stored(unread.unionByName(failed), f"{out}/_store/errors")

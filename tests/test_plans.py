@@ -42,7 +42,7 @@ def test_a_document_that_fails_leaves_the_others(spark, tmp_path):
     counts = analysis.analyse_folder(spark, inside, str(tmp_path / "out"), moody(), stages=True)
     assert counts == (3, 1)
     names = {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")}
-    assert names == {f"{d}{e}" for d in ("good", "slow", "empty") for e in ("_analysis.json", "_summary.txt", "_report.md", "_risks.json", "_verification.json")}
+    assert names == {f"{d}{e}" for d in ("good", "slow", "empty") for e in ("_analysis.json", "_summary.txt", "_report.md", "_extraction.json", "_risks.json", "_verification.json")}
     lines = [json.loads(x) for p in (tmp_path / "out/_errors").glob("part-*") for x in p.read_text().splitlines()]
     assert [(x["path"].rsplit("/", 1)[1], x["stage"], x["error"]) for x in lines] == [("bad.txt", "extract", "RuntimeError: no answer to this")]
     asked = spark.read.parquet(str(tmp_path / "out/_store/responses")).select(F.regexp_extract("doc_id", "([^/]+)$", 1).alias("d"), "attempts", "failure").collect()
@@ -55,6 +55,8 @@ def test_a_document_that_fails_leaves_the_others(spark, tmp_path):
     checked = json.loads((tmp_path / "out/good_verification.json").read_text())
     assert (checked["total_obligations"], checked["verified_count"], checked["results"][0]["status"]) == (1, 1, "verified")
     assert json.loads((tmp_path / "out/good_risks.json").read_text())["obligations_analyzed"] == 1
+    kept = json.loads((tmp_path / "out/good_extraction.json").read_text())
+    assert kept["chunks_processed"] == 1 and kept["obligations"][0]["source_text"] == "The client shall pay within ten days." and kept["key_definitions"] == []
     with pytest.raises(ValueError, match="attempt"):
         extract.extract(spark.createDataFrame([], "doc_id int, chunk_index int, total_chunks int, source_location string, text string"), attempts=0)
 
@@ -217,3 +219,32 @@ def test_report_layouts(spark):
     data = json.loads(report.report_json(rows).first().json)
     assert data["key_definitions"] == [{"term": "Fee", "definition": "money", "source_location": "S2"}] and data["risk_summary"] == {"high_risk_count": 1, "medium_risk_count": 1, "low_risk_count": 1, "most_concerning": "Flag 1 (time_bomb)", "overall_risk_level": "medium"}
     assert data["verification"]["items_needing_review"][0]["details"] == ["issue"] and len(data["obligations"]) == 12 and data["obligations"][0]["risk_flags"] == ["Flag 1", "Flag 2", "Flag 3"]
+
+
+def test_entry_points(spark, tmp_path):
+    from pactlens import api
+
+    inside = folder(tmp_path / "in", a__txt="1. FEES AND TERMS\n\nThe client shall pay within ten days and accepts unlimited liability.", b__docx="x")
+    one = f"{inside}/a.txt"
+    for path in (inside, one):
+        assert [r.raw_text[:7] for r in api.read(spark, path).collect()] == ["1. FEES"]
+    assert api.chunks(spark, one).first().sections == ["1. FEES AND TERMS"]
+    results, checked = api.verification(spark, one)
+    assert (results.first().status, checked.first().rate) == ("verified", 1.0)
+    flags, summary = api.risks(spark, one)
+    assert "Unlimited liability exposure" in {r.title for r in flags.collect()} and summary.first().overall in ("medium", "high")
+    assert json.loads(api.reports(spark, one).first().json)["file_name"] == "a.txt" and json.loads(api.extraction(spark, one).first().json)["chunks_processed"] == 1
+
+
+def test_stream_of_reports(spark, tmp_path):
+    from pactlens.streaming import intake
+
+    inside = folder(tmp_path / "in", a__txt="The client shall pay within ten days.", bad__TXT="IMPOSSIBLE")
+    go = lambda: intake.stream_analysis(spark, inside, str(tmp_path / "out"), str(tmp_path / "check"), moody(), attempts=1).awaitTermination(120)
+    go()
+    assert {p.name for p in (tmp_path / "out").glob("*.json")} == {"a_analysis.json"}
+    folder(tmp_path / "in", c__txt="The firm must deliver.")
+    go()
+    assert {p.name for p in (tmp_path / "out").glob("*.json")} == {"a_analysis.json", "c_analysis.json"}
+    errors = [json.loads(x)["error"] for p in (tmp_path / "out/_errors").glob("*/part-*") for x in p.read_text().splitlines()]
+    assert errors == ["RuntimeError: no answer to this"]
