@@ -7,8 +7,9 @@ Counts over all different articles of the host tell how often a reference node's
 recurs unchanged; nodes that hardly vary are the host's template, and what aligns to
 them with the same text is dropped from a page. Varying slots are content, unless their
 element says that they are a menu, header, footer, sidebar, notice, advert, form,
-comment section or the like. The main text is what the outermost ``main`` and
-``article`` elements hold, all of them; on pages without, what is left of the page.
+comment section or the like; within an article only containers can say so. The main text
+is what the outermost ``main`` and ``article`` elements hold, all of them; where that is less
+than a quarter of the text, and on pages without, what is left of the page.
 A host that prints one article again and again counts it once, and template removal
 never takes more than half of a page's main text.
 
@@ -57,6 +58,11 @@ HEADERS = frozenset("header topbar".split())
 #: Words that mark boilerplate only as a whole class or id, or before one of the second kind.
 AROUND = frozenset("related recommended recommendations".split())
 LINKS = frozenset("posts articles stories links news content items".split())
+#: Within an article, words mark containers alone, as a whole class or id or before one of
+#: the second kind: a paragraph, a heading or a figure there is the article's own.
+DROPPED_INSIDE = DROPPED_WORDS - frozenset("notice notices banner skip respond widget widgets hidden toolbar overlay modal popup".split())
+PARTS = frozenset("area bar block box button buttons container form icons inner link links list panel section slot thread unit wrap wrapper".split())
+OWN = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th hgroup header address details summary".split()) | INLINE
 MAIN = ("article", "main")
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -82,6 +88,7 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     label = tag
     if attributes:
         words: set[str] = set()
+        marked = False
         for name, a, b, c, flag in ATTR.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if flag or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -92,12 +99,15 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
                     words.update(found)
                     if found and found[0] in AROUND and (len(found) == 1 or found[1] in LINKS):
                         drop = True
+                    marked = marked or bool(found) and found[0] in DROPPED_INSIDE and (len(found) == 1 or found[1] in PARTS)
                 if name == "class":
                     label = f"{tag}.{value}"
             elif name == "role":
                 drop = drop or value in DROPPED_ROLES
-        if tag not in ("html", "body") and (inside or tag not in MAIN):
-            drop = drop or not DROPPED_WORDS.isdisjoint(words) or not inside and not HEADERS.isdisjoint(words)
+        if inside:
+            drop = drop or marked and tag not in OWN
+        elif tag not in ("html", "body", *MAIN):
+            drop = drop or not DROPPED_WORDS.isdisjoint(words) or not HEADERS.isdisjoint(words)
     return Node(tag, label, drop=drop)
 
 
@@ -368,8 +378,8 @@ def _visible(nodes: list[Node], template: frozenset[int]) -> int:
 
 
 def _main(root: Node) -> list[Node]:
-    """The outermost ``main`` and ``article`` elements that have text, in page order; on
-    pages without, the whole page."""
+    """The outermost ``main`` and ``article`` elements that have text, in page order; where
+    they hold less than a quarter of the page's text, and on pages without, the whole page."""
     found, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -380,6 +390,8 @@ def _main(root: Node) -> list[Node]:
                 found.append(x)
         else:
             todo.extend(reversed(x.kids))
+    if found and 4 * _visible(found, frozenset()) < _visible([root], frozenset()):
+        found = []
     return found or [root]
 
 

@@ -411,3 +411,13 @@ def test_html_empty_elements(spark):
         rows.append((k, f"http://h{k % 2}.example/{k}", f"<html><body><nav>menu</nav><article><p>Story {k} is told here.</p><table><tr>{cells}</tr></table></article><footer></footer></body></html>"))
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == 24 and all(f"Story {r.page_id} is told here." in r.text for r in out)
+
+
+def test_html_names_inside_an_article():
+    page = "<nav>menu</nav><article><p>Long enough to be the article of this page.</p>{}</article>"
+    got = lambda inner: html_extract.text_of(html_extract.parse(page.format(inner))).split("\n\n")[1:]
+    kept = ["<h2 class='banner-title'>x y</h2>", "<div class='widget-review'>x y</div>", "<p class='reply'>x y</p>", "<a class='skip'>x y</a>", "<section id='notice'>x y</section>", "<div class='share-price'>x y</div>", "<figure class='ad'>x y</figure>"]
+    assert [got(x) for x in kept] == [["x y"]] * len(kept)
+    gone = ["<div class='ad'>x</div>", "<div id='comments'>x</div>", "<section class='comment-list'>x</section>", "<div class='share-buttons'>x</div>", "<aside>x</aside>", "<form>x</form>", "<div class='newsletter'>x</div>", "<div class='related-posts'>x</div>", "<p hidden>x</p>"]
+    assert [got(x) for x in gone] == [[]] * len(gone)
+    assert html_extract.text_of(html_extract.parse("<div><p>this is the main part of the whole page</p></div><article><p>tiny teaser</p></article>")) == "this is the main part of the whole page\n\ntiny teaser"
