@@ -12,11 +12,15 @@ distances only prune, with a slack for their rounding that grows with M. Neighbo
 kept by the inner product itself and, among equal ones, by the smallest id, so vectors
 of few distinct values, where hundreds tie at the border, and single huge norms are exact.
 
-Scale: rows are dealt to shards of at most ``shard_rows`` by the hash of their id, and
-queries to blocks; each (shard, block) is one task's group, of bounded size. Equal
-vectors of a shard are one point of its tree, so a vector that a third of all rows
-share adds one point; its ids beyond the first k + 1 cannot be among k neighbours.
-The best k of every shard are merged by a window that Spark limits before its shuffle.
+Scale: rows are dealt to shards of at most ``shard_rows`` by the hash of their id. Each
+shard's tree is built once and lies as a file in the shared folder; so does each block of
+queries. A task takes one block past a group of shards, one after the other, and what it
+has found so far prunes the next tree from the start. So vectors are shuffled once and
+queries twice, however many blocks there are; what else is shuffled is k rows a query and
+group. Shards are read from the shared folder once a block. A task holds one shard and one
+block. Equal vectors of a shard are one point of its tree, so a vector that a third of all
+rows share adds one point; its ids beyond the first k + 1 cannot be among k neighbours.
+The driver holds the names of shards and blocks, some 50 bytes each.
 
 Edges: null, empty or zero vectors and those with null or non-finite components take
 no part, and likewise rows without id and vectors of another length than the first by
@@ -26,12 +30,19 @@ id; with fewer candidates than k all are returned; ties go to the smaller id.
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import filesystem, new_dir, work_table
+
+#: Shards that one task takes a block of queries past, at most, and tasks wanted at least.
+SHARDS_A_TASK, TASKS = 64, 64
 LEAF = 192
 SLACK = 1e-9
 #: Inner products offered, and summed in order, at once: these bound a worker's memory.
@@ -63,8 +74,9 @@ def _best(scores: np.ndarray, firsts: np.ndarray, owner: np.ndarray, k: int) ->
     return order[np.arange(len(order)) - np.searchsorted(owner, owner) < k]
 
 
-def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(inner products, rows) of the k best of each query, unordered; row -1 pads.
+def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(inner products, rows) of the k best of each query, unordered; row -1 pads. What is
+    below a query's ``floor`` may be left out.
 
     ``points`` are ``vectors`` with one more component. Lifted distances only rule out
     subtrees; what is kept is decided by the inner product, summed in order as SQL does,
@@ -80,7 +92,13 @@ def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndar
     lifted = np.sqrt((points**2).sum(axis=1).max()) if len(points) else 0.0
     slack = SLACK + 4 * rounding * (qnorms + lifted)
     span = qnorms**2 + lifted**2 * (1 + 4 * rounding)
-    worst = np.full(nq, np.inf)
+    floor = np.full(nq, -np.inf) if floor is None else floor
+
+    def farthest(q: np.ndarray) -> np.ndarray:
+        """How far the worst neighbour is that still counts."""
+        return np.sqrt(np.maximum(span[q] - 2 * np.maximum(best[q].min(axis=1), floor[q]) + 2 * rounding * qnorms[q] * lifted, 0))
+
+    worst = farthest(np.arange(nq))
 
     def offer(q: np.ndarray, r: np.ndarray) -> None:
         step = max(OFFERED // len(r), 1)
@@ -90,7 +108,7 @@ def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndar
     def _offer(q: np.ndarray, r: np.ndarray) -> None:
         s = queries[q] @ vectors[r].T
         error = rounding * qnorms[q, None] * norms[r]
-        bar = best[q].min(axis=1)
+        bar = np.maximum(best[q].min(axis=1), floor[q])
         if len(r) > k:
             bar = np.maximum(bar, np.partition(s - error, len(r) - k, axis=1)[:, len(r) - k])
         qi, at = np.nonzero(~(s + error < bar[:, None]))
@@ -108,7 +126,7 @@ def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndar
         keep = _best(scores, np.where(found >= 0, firsts[found], np.iinfo(np.int64).max), owner, k)
         best[mine] = scores[keep].reshape(-1, k)
         rows[mine] = found[keep].reshape(-1, k)
-        worst[mine] = np.sqrt(np.maximum(span[mine] - 2 * best[mine].min(axis=1) + 2 * rounding * qnorms[mine] * lifted, 0))
+        worst[mine] = farthest(mine)
 
     def visit(node: tuple, q: np.ndarray, least: np.ndarray) -> None:
         go = ~(least * factor > worst[q] + slack[q])
@@ -134,32 +152,80 @@ def search(tree: tuple, points: np.ndarray, vectors: np.ndarray, firsts: np.ndar
     return best, rows
 
 
-def shard_neighbours(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, inner product) of each query's best k in one shard."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    unique, group = np.unique(vectors, axis=0, return_inverse=True)
-    group = group.ravel()
-    by_group = np.argsort(group, kind="stable")  # ids ascend within a group
-    starts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(unique)))))
-    more = np.sqrt(np.maximum(largest**2 - (unique**2).sum(axis=1), 0))
-    mixed = np.random.default_rng(0).permutation(len(unique))  # vantage points at random
-    points = np.hstack((unique, more[:, None]))[mixed]
-    # one more than k: the query's own vector may be among them
-    best, rows = search(build(points), points, unique[mixed], ids[by_group[starts[:-1]]][mixed], queries, min(len(points), k + 1), factor)
-    qi, at = np.nonzero(rows >= 0)
-    score = best[qi, at]
-    hit = mixed[rows[qi, at]]
-    n = np.minimum(starts[hit + 1] - starts[hit], k + 1)
-    first = np.repeat(starts[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    qi, score, found = np.repeat(qi, n), np.repeat(score, n), ids[by_group[first]]
-    other = found != query_ids[qi]
-    qi, score, found = qi[other], score[other], found[other]
+class Shard:
+    """The vectors of a shard, equal ones once, and their tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        unique, group = np.unique(vectors, axis=0, return_inverse=True)
+        group = group.ravel()
+        self.ids = ids[np.argsort(group, kind="stable")]  # ascending within a group
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(unique)))))
+        more = np.sqrt(np.maximum(largest**2 - (unique**2).sum(axis=1), 0))
+        self.mixed = np.random.default_rng(0).permutation(len(unique))  # vantage points at random
+        self.points = np.hstack((unique, more[:, None]))[self.mixed]
+        self.tree = build(self.points)
+
+    def neighbours(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, inner product) of each query's best k here, itself left out."""
+        vectors = np.ascontiguousarray(self.points[:, :-1])
+        # one more than k: the query's own vector may be among them
+        best, rows = search(self.tree, self.points, vectors, self.ids[self.starts[:-1]][self.mixed], queries, min(len(vectors), k + 1), factor, floor)
+        qi, at = np.nonzero(rows >= 0)
+        score = best[qi, at]
+        hit = self.mixed[rows[qi, at]]
+        n = np.minimum(self.starts[hit + 1] - self.starts[hit], k + 1)
+        first = np.repeat(self.starts[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        qi, score, found = np.repeat(qi, n), np.repeat(score, n), self.ids[first]
+        other = found != query_ids[qi]
+        return top(qi[other], found[other], score[other], k)
+
+
+def top(qi: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's best k, by score and then id; queries ascend."""
     order = np.lexsort((found, -score, qi))
     qi, score, found = qi[order], score[order], found[order]
-    place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    top = place < k
-    return query_ids[qi[top]], found[top], score[top]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[keep], found[keep], score[keep]
+
+
+def shard_neighbours(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, inner product) of each query's best k in one shard."""
+    qi, found, score = Shard(ids, vectors, largest).neighbours(query_ids, queries, k, factor)
+    return query_ids[qi], found, score
+
+
+def past_shards(shards: Iterator[Shard], query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, inner product) of each query's best k in all of ``shards``."""
+    qi, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for shard in shards:
+        full = np.bincount(qi, minlength=len(queries)) >= k
+        floor = np.full(len(queries), -np.inf)
+        last = np.flatnonzero(np.diff(qi, append=-1))  # a query's worst is its last
+        floor[qi[last]] = score[last]
+        floor[~full] = -np.inf
+        more = shard.neighbours(query_ids, queries, k, factor, floor)
+        qi, found, score = top(*(np.concatenate(x) for x in zip((qi, found, score), more)), k)
+    return qi, found, score
+
+
+def _files(rows: DataFrame, column: str, folder: str, make) -> list[str]:
+    """Each group of ``rows`` (id, v) as a file of what ``make`` makes of it; their names.
+    Only names that a finished task reported count."""
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        made = make(group["id"].to_numpy(), np.stack(group["v"]).astype(float))
+        store, at = filesystem(folder)
+        name = f"{column}-{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{at}/{name}") as out:
+            out.write(pickle.dumps(made, protocol=5))
+        return pd.DataFrame({"name": [name]})
+
+    written = work_table(rows.groupBy(column).applyInPandas(write, "name string"), f"ann-{column}")
+    return sorted(r["name"] for r in written.collect())
 
 
 def nearest(vectors: DataFrame, k: int = 20, queries: F.Column | None = None, factor: float = 1.0, shard_rows: int = 32768, block_rows: int = 4096, least_shards: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -177,17 +243,26 @@ def nearest(vectors: DataFrame, k: int = 20, queries: F.Column | None = None, fa
     shards = max(math.ceil(n / shard_rows), least_shards)
     blocks = max(math.ceil(n_queries / block_rows), 1)
     rows = rows.where(F.size("v") == size)
-    part = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
-    of_shard = rows.withColumn("shard", part("id", shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(is_query).withColumn("block", part("id", blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, i, s = shard_neighbours(left["id"].to_numpy(), np.stack(left["v"]).astype(float), right["id"].to_numpy(), np.stack(right["v"]).astype(float), largest * (1 + 1e-12), k, factor)
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-
-    key = ["shard", "block"]
-    found = of_shard.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
+    folder = new_dir(vectors.sparkSession, "ann")
+    part = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    top_norm = largest * (1 + 1e-12)
+    shard_names = _files(rows.withColumn("shard", part(shards, 1)), "shard", folder, lambda ids, v: Shard(ids, v, top_norm))
+    block_names = _files(rows.where(is_query).withColumn("block", part(blocks, 2)), "block", folder, lambda ids, v: (ids, v))
+    groups = min(len(shard_names), max(math.ceil(len(shard_names) / SHARDS_A_TASK), math.ceil(TASKS / max(len(block_names), 1))))
+
+    def load(name: str):
+        store, at = filesystem(folder)
+        with store.open_input_stream(f"{at}/{name}") as f:
+            return pickle.loads(f.read())  # our own files, in the shared folder
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n in frame["id"].tolist():
+                ids, queries = load(block_names[n // groups])
+                qi, found, score = past_shards(map(load, shard_names[n % groups :: groups]), ids, queries, k, factor)
+                yield pd.DataFrame({"query_id": ids[qi], "vec_id": found, "score": score})
+
+    tasks = len(block_names) * groups
+    found = vectors.sparkSession.range(0, tasks, 1, max(tasks, 1)).mapInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

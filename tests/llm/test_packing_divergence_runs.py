@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.llm import divergence, entries, packing, period_runs
+from pactlens.llm import ann, divergence, entries, packing, period_runs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank long, task long, runs string"
 ODD = [None, "", " \n\t ", "one", "Ünï çödé 漢字 🙂", "the same text again and again " * 30, "the same text again and again " * 30, "x" * 20000, "word " * 5000, "a<|endoftext|>b  <|endoftext|>", "a  b \n\n c   "]
@@ -230,3 +230,58 @@ def test_period_runs_query(spark, tmp_path):
     carried = period_runs.period_runs(docs, carry=("runs", "rank", "text"))
     assert carried.columns[:4] == ["doc_id", "runs", "rank", "text"] and carried.count() == len(want)
     assert not period_runs.period_runs(odd_docs(spark, [])).count()
+
+
+# --- neighbours past several shards --------------------------------------------------
+
+
+def nearest_by_brute_force(ids, x, asked, k):
+    out = set()
+    for q in asked:
+        s = np.cumsum(x * x[q], axis=1)[:, -1]
+        order = [r for r in np.lexsort((ids, -s)) if r != q][:k]
+        out.update((int(ids[q]), int(ids[r])) for r in order)
+    return out
+
+
+def test_neighbours_past_shards():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 12)).astype(np.float32).astype(float)
+    x[100:400] = x[7]
+    x[900:1000] = np.sign(x[900:1000])
+    ids = rng.permutation(3000) * 2
+    asked = np.arange(0, 3000, 60)
+    largest = float(np.sqrt((x**2).sum(axis=1).max())) * (1 + 1e-12)
+    shards = [ann.Shard(ids[k::5], x[k::5], largest) for k in range(5)]
+    qi, found, score = ann.past_shards(iter(shards), ids[asked], x[asked], 20, 1.0)
+    assert set(zip(ids[asked][qi].tolist(), found.tolist())) == nearest_by_brute_force(ids, x, asked, 20)
+    assert (np.bincount(qi) == 20).all()
+
+
+def test_recall_of_relaxed_factors():
+    """Exact at factor one; further factors trade recall for fewer visited leaves."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 6000)] + 0.3 * rng.normal(size=(6000, 16))
+    ids, asked = np.arange(6000), np.arange(0, 6000, 100)
+    largest = float(np.sqrt((x**2).sum(axis=1).max())) * (1 + 1e-12)
+    shards = [ann.Shard(ids[k::2], x[k::2], largest) for k in range(2)]
+    want = nearest_by_brute_force(ids, x, asked, 20)
+    recall = {}
+    for factor in (1.0, 1.1, 1.5):
+        qi, found, _ = ann.past_shards(iter(shards), ids[asked], x[asked], 20, factor)
+        recall[factor] = len(want & set(zip(ids[asked][qi].tolist(), found.tolist()))) / len(want)
+    assert recall[1.0] == 1.0 and recall[1.1] >= 0.9, recall
+    print(recall)
+
+
+def test_vectors_are_shuffled_once(spark):
+    """Ten blocks of queries: the vectors are in two exchanges (shards, blocks), not in ten."""
+    rows = [(i, [float(i % 13), float(i % 7), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, k=3, block_rows=2, shard_rows=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    x = np.array([v for _, v in rows])
+    got = {(r.query_id, r.vec_id) for r in out.collect()}
+    assert got == nearest_by_brute_force(np.arange(400), x, np.arange(0, 400, 20), 3)
