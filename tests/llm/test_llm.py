@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import zlib
 
@@ -421,3 +422,24 @@ def test_html_names_inside_an_article():
     gone = ["<div class='ad'>x</div>", "<div id='comments'>x</div>", "<section class='comment-list'>x</section>", "<div class='share-buttons'>x</div>", "<aside>x</aside>", "<form>x</form>", "<div class='newsletter'>x</div>", "<div class='related-posts'>x</div>", "<p hidden>x</p>"]
     assert [got(x) for x in gone] == [[]] * len(gone)
     assert html_extract.text_of(html_extract.parse("<div><p>this is the main part of the whole page</p></div><article><p>tiny teaser</p></article>")) == "this is the main part of the whole page\n\ntiny teaser"
+
+
+LICENSES = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(LICENSES), reason="the published texts are not on this machine")
+def test_whole_licences_by_digest(spark):
+    """Published texts, as they are, wrapped anew, in capitals and with another holder."""
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows, want = [], {}
+    for file, name in names.items():
+        with open(f"{LICENSES}/{file}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        for change in (lambda t: t, str.upper, lambda t: "Copyright (c) 2031 Someone Else\n" + t.replace("License", "Licence"), lambda t: t.replace("  ", "\n"), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */"):
+            want[len(rows)] = name
+            rows.append((len(rows), change(text)))
+        rows.append((len(rows), text.replace(" not ", " ", 1)))  # another meaning is another text
+    got = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: want.get(k) for k in got}
+    unlicense = license_scan._UNLICENSE.replace("\n\n", "\n")
+    assert license_scan.scan(spark.createDataFrame([(1, unlicense)], "doc_id long, text string")).first().license_id == "Unlicense"
