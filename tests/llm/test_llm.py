@@ -429,13 +429,13 @@ LICENSES = "/usr/share/common-licenses"
 
 @pytest.mark.skipif(not os.path.isdir(LICENSES), reason="the published texts are not on this machine")
 def test_whole_licences_by_digest(spark):
-    """Published texts, as they are, wrapped anew, in capitals and with another holder."""
+    """Published texts, as they are, indented, in capitals and with another holder."""
     names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
     rows, want = [], {}
     for file, name in names.items():
         with open(f"{LICENSES}/{file}", encoding="utf-8", errors="replace") as f:
             text = f.read()
-        for change in (lambda t: t, str.upper, lambda t: "Copyright (c) 2031 Someone Else\n" + t.replace("License", "Licence"), lambda t: t.replace("  ", "\n"), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */"):
+        for change in (lambda t: t, str.upper, lambda t: "Copyright (c) 2031 Someone Else\n" + t.replace("License", "Licence"), lambda t: t.replace("\n", "\r\n\t"), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */"):
             want[len(rows)] = name
             rows.append((len(rows), change(text)))
         rows.append((len(rows), text.replace(" not ", " ", 1)))  # another meaning is another text
