@@ -15,9 +15,14 @@ extending a text comparison word by word: a block that occurs elsewhere as a who
 matches from its first window to its last. At the border, where only its anchor occurs
 elsewhere, its windows are looked up one by one among those of all other blocks of the
 same anchor, one of each kind of whole copies included, so a hot anchor costs a row a
-window and no pairs. The parse (``factor``) walks a document from left to right and
-takes the longest match that begins at or before each place; what matches nothing stays
-literal. Each factor has ``window`` words or more, and all its words go.
+window and no pairs. Each match says where in the reference it lies: at the first place
+that the index has of it or, for what is itself there, at the last. Neighbouring matches
+that lie as far from each other there as here (on one diagonal) are one longer match.
+The parse (``factor``) walks a document from left to right and takes, of the matches that
+begin at or before each place, the one that reaches furthest; what matches nothing stays
+literal. Each factor has ``window`` words or more, and all its words go. The index keeps
+two places of each block, not all, so a factor may end where those two part from the
+document though a third place goes on; the next factor starts there, and no word is lost.
 
 Scale. About one row for 14 words is shuffled, pre-aggregated by hash; the counts are
 joined back, and Spark splits frequent keys there (AQE skew join). Windows are only
@@ -136,25 +141,39 @@ def _windows(edges: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(k1, k2, spans): for each document with duplicate windows, the ranges of their
-    starts, each packed as ``first << 31 | last``. ``docs`` has k1, k2 and raw."""
+    starts, each as (range, packed as ``first << 31 | last``; k1 of the document where it
+    stands again; how much further on it starts there). ``docs`` has k1, k2 and raw."""
+    # where else: the first place, or the last for what stands at the first
+    other = F.when((F.col("one.k1") == F.col("k1")) & (F.col("one.lo") == F.col("lo")), F.col("two")).otherwise(F.struct("one.k1", "one.lo"))
+    ends = lambda hi: F.struct((F.shiftleft(F.col("lo").cast("long"), 31) + F.col(hi)).alias("span"), other["k1"].alias("source"), (other["lo"] - F.col("lo")).alias("further")).alias("span")
     blocks = work_table(_blocks(docs, window, anchor), "blocks")
-    index = blocks.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    index = blocks.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"), F.max(F.struct("k1", "lo")).alias("two"))
     index = work_table(index, "block-index")
     anchors = index.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("single")).where("kinds > 1 AND single = 1").select("h")
-    whole = blocks.join(index.where("n > 1").select("h", "run"), ["h", "run"]).select("k1", "k2", (F.shiftleft(F.col("lo").cast("long"), 31) + F.col("hi")).alias("span"))
+    whole = blocks.join(index.where("n > 1").select("h", "run", "one", "two"), ["h", "run"]).select("k1", "k2", ends("hi"))
     border = index.join(anchors, "h", "left_semi").select("one.*", F.least(F.col("n"), F.lit(2)).alias("copies"))
     border = border.groupBy("k1", "k2").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 33) + F.shiftleft(F.col("hi").cast("long"), 2) + F.col("copies")).alias("chosen"))
     # equal rows share k1 and k2: one of them will do
     windows = _windows(docs.join(border, ["k1", "k2"]).select("k1", "k2", "raw", "chosen"), window, anchor)
     windows = work_table(windows, "border-windows")
-    again = windows.groupBy("w", "g").agg(F.sum("copies").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("w", "g")
-    found = windows.where("copies = 1").join(again, ["w", "g"]).select("k1", "k2", (F.shiftleft(F.col("lo").cast("long"), 31) + F.col("lo")).alias("span"))
+    again = windows.groupBy("w", "g").agg(F.sum("copies").alias("n"), F.min("copies").alias("least"), F.min(F.struct("k1", "lo")).alias("one"), F.max(F.struct("k1", "lo")).alias("two")).where("n > 1 AND least = 1").select("w", "g", "one", "two")
+    found = windows.where("copies = 1").join(again, ["w", "g"]).select("k1", "k2", ends("lo"))
     spans = work_table(whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
     for table in (blocks, index, windows):
         drop_work_table(table)
     return spans
 
 
+def on_diagonals(spans: np.ndarray, source: np.ndarray, further: np.ndarray) -> np.ndarray:
+    """Packed ranges of windows, neighbouring ones on one diagonal joined."""
+    order = np.lexsort((spans, further, source))
+    lo, hi, source, further = spans[order] >> 31, spans[order] & 0x7FFFFFFF, source[order], further[order]
+    new = np.ones(len(lo), bool)
+    new[1:] = (source[1:] != source[:-1]) | (further[1:] != further[:-1]) | (lo[1:] > hi[:-1] + 1)
+    starts = np.flatnonzero(new)
+    return (lo[starts] << 31) + np.maximum.reduceat(hi, starts)
+
+
 def factor(spans: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Greedy parse of a document into (first word, words) of its factors, in order;
     ``spans`` are the matched ranges of window starts, packed. The windows that two
@@ -202,7 +221,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             for text, spans in zip(b.column(1), b.column(2)):
                 words = _words(text.as_py())
                 n.append(len(words))
-                found = factor(np.array(spans.as_py(), np.int64), window) if spans.is_valid else []
+                found = factor(on_diagonals(*(x.to_numpy() for x in spans.values.flatten())), window) if spans.is_valid else []
                 cut = covered(len(words), found)
                 parts.append(len(found))
                 gone.append(int(cut.sum()))

@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.llm import ann, divergence, entries, packing, period_runs
+from pactlens.llm import ann, divergence, entries, packing, period_runs, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank long, task long, runs string"
 ODD = [None, "", " \n\t ", "one", "Ünï çödé 漢字 🙂", "the same text again and again " * 30, "the same text again and again " * 30, "x" * 20000, "word " * 5000, "a<|endoftext|>b  <|endoftext|>", "a  b \n\n c   "]
@@ -285,3 +285,58 @@ def test_vectors_are_shuffled_once(spark):
     x = np.array([v for _, v in rows])
     got = {(r.query_id, r.vec_id) for r in out.collect()}
     assert got == nearest_by_brute_force(np.arange(400), x, np.arange(0, 400, 20), 3)
+
+
+# --- factors of substring deduplication ----------------------------------------------
+
+
+def test_a_copy_is_one_factor(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(1000)
+    rows = [(1, fresh(60) + shared + fresh(70)), (2, fresh(11) + shared + fresh(9)), (3, fresh(300)), (4, fresh(50) + shared[100:180] + fresh(50) + shared[400:460])]
+    factors = lambda rows: {r.doc_id: (r.n_factors, r.n_removed) for r in substring_dedup.dedup_substrings(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert factors(rows[:3]) == {1: (1, 1000), 2: (1, 1000), 3: (0, 0)}
+    assert factors([rows[0], rows[3]]) == {1: (2, 140), 4: (2, 140)}
+    # three places of a passage, of which the index keeps two: what goes is the same
+    got = factors(rows)
+    assert (got[2], got[3], got[4]) == ((1, 1000), (0, 0), (2, 140)) and got[1][1] == 1000
+
+
+def longest_matches(words, other, window):
+    """Greedy parse against one other text, by brute force: (first word, words)."""
+    out, at = [], 0
+    while at + window <= len(words):
+        best = 0
+        for j in range(len(other)):
+            n = 0
+            while at + n < len(words) and j + n < len(other) and words[at + n] == other[j + n]:
+                n += 1
+            best = max(best, n)
+        if best >= window:
+            out.append((at, best))
+            at += best - window + 1  # the next factor starts at the next window
+        else:
+            at += 1
+    return out
+
+
+def test_parse_equals_longest_matches(spark):
+    """Two documents with several passages in common: what the index knows is all there is."""
+    rng = random.Random(9)
+    for trial in range(4):
+        fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]  # noqa: B023, E731
+        parts = [fresh(rng.randint(36, 260)) for _ in range(4)]
+        a = fresh(20) + parts[0] + fresh(9) + parts[1] + parts[2] + fresh(40) + parts[3]
+        b = parts[2] + fresh(5) + parts[0] + fresh(50) + parts[3] + fresh(3) + parts[1]
+        out = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).collect()}
+        for doc, mine, other in ((1, a, b), (2, b, a)):
+            want = longest_matches(mine, other, 35)
+            gone = set().union(*(range(s, s + n) for s, n in want))
+            assert (out[doc].n_factors, out[doc].n_removed) == (len(want), len(gone)), (trial, doc)
+
+
+def test_diagonals():
+    lo, hi = np.array([0, 5, 9, 9, 20]), np.array([4, 8, 12, 12, 30])
+    got = substring_dedup.on_diagonals((lo << 31) + hi, np.array([7, 7, 7, 3, 7]), np.array([10, 10, 10, 2, 10]))
+    assert sorted((int(x) >> 31, int(x) & 0x7FFFFFFF) for x in got) == [(0, 12), (9, 12), (20, 30)]
