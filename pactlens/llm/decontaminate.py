@@ -30,6 +30,7 @@ reported each by their ids; an empty benchmark contaminates nothing.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,44 +61,69 @@ _EDGE = re.compile(r"^[^\w$€£%]+|[^\w%]+$")
 
 
 class Tokens(dict):
-    """raw token -> (hash of the lower-cased word, kind, ends a sentence?); a bounded memo."""
+    """raw token -> place in the arrays of: hash of the lower-cased word, kind, whether it
+    ends a sentence. A bounded memo, emptied between two texts."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, int]:
+    LIMIT = 400_000
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.kinds, self.ends = array("Q"), array("b"), array("b")
+
+    def __missing__(self, raw: str) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 400_000:
-            self.clear()
         core = _EDGE.sub("", raw)
+        low = core.lower()
         if raw == "\n":
             kind = BREAK
         elif not core:
             kind = EMPTY
         elif NUMERIC.fullmatch(core):
             kind = NUMBER
-        elif core.lower() in UNITS:
+        elif low in UNITS:
             kind = UNIT
         elif core[0].isupper():
             kind = CAPITAL
         else:
             kind = LITERAL_KIND
-        self[raw] = found = (xxh3_64_intdigest(core.lower().encode()), kind, int(kind == BREAK or raw.rstrip("\"')]»”’")[-1:] in ".!?:"))
-        return found
+        self[raw] = place = len(self.hashes)
+        self.hashes.append(xxh3_64_intdigest(low.encode()))
+        self.kinds.append(kind)
+        self.ends.append(kind == BREAK or raw.rstrip("\"')]»”’")[-1:] in ".!?:")
+        return place
+
+    def of(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > self.LIMIT:
+            self.clear()
+            del self.hashes[:], self.kinds[:], self.ends[:]
+        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        return np.frombuffer(self.hashes, np.uint64)[at], np.frombuffer(self.kinds, np.int8)[at].astype(np.int64), np.frombuffer(self.ends, np.int8)[at] != 0
 
 
 _tokens = Tokens()
 
 
-def template(text: str, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash, kind, raw token) of each template token; without ``names`` capitalised
-    words are words."""
+def tokens_of(text: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """The raw tokens of a text and what is known of each."""
     raw = []
     for line in LINE_END.split(text):
         raw += line.split()
         raw.append("\n")
     raw.pop()
-    if not raw:
+    return raw, _tokens.of(raw) if raw else None
+
+
+def template(text: str, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash, kind, raw token) of each template token; without ``names`` capitalised
+    words are words."""
+    return template_of(*tokens_of(text), names)
+
+
+def template_of(raw: list[str], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, names: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    if known is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-    h, kind, ends = (np.array(x, t) for x, t in zip(zip(*map(_tokens.__getitem__, raw)), (np.uint64, np.int64, bool)))
+    h, kind, ends = known[0], known[1].copy(), known[2]
     starts = np.concatenate(([True], ends[:-1]))
     kind[(kind == CAPITAL) & (starts | (not names))] = LITERAL_KIND
     solid = np.flatnonzero(kind != BREAK)  # a line may end between a number and its unit
@@ -152,8 +178,12 @@ def _rows(src: DataFrame, window: int, literal: int, shortest: int, lengths: dic
             yield form, n, np.zeros(1, np.int64), mix(rolling(h, n) + np.uint64(n)), kind, raw
 
     def of_document(text: str) -> Iterator[tuple]:
+        known, made = tokens_of(text), {}
         for form, own in lengths.items():
-            h, kind, raw = template(text, form != WHOLE_WORDS)
+            names = form != WHOLE_WORDS
+            if names not in made:
+                made[names] = template_of(*known, names)
+            h, kind, raw = made[names]
             yield from ((form, n, starts, w, kind, raw) for n, starts, w in windows(h, kind, own, literal if form == WINDOWS else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
