@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Haystack, audit_norm, best_window, ratio_from, strip, truncate
+from ..session import stored
 from .search import beside_documents
 
 #: Keywords of obligations, first match wins; fixed values.
@@ -92,12 +93,13 @@ def _look_up(text: str | None):
     return lambda item: fuzzy_match(item["source_text"], text, hay)
 
 
-def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85, store: str | None = None) -> DataFrame:
     """exact_quotes() with the search done where it is needed, and a status.
 
-    Quotes that need it go beside their document, which is sent once for all of them.
+    Quotes that need it go beside their document, which is sent once for all of them; with
+    a path ``store``, exact_quotes() is written there once and read back.
     """
-    rows = exact_quotes(items, docs)
+    rows = stored(exact_quotes(items, docs), store)
     hard = rows.where("match_ratio IS NULL").drop("match_ratio", "best_match_text")
     found = beside_documents(hard, docs, _look_up, "match_ratio double, best_match_text string")
     return rows.where("match_ratio IS NOT NULL").unionByName(found).withColumn("status", audit_status(F.col("match_ratio"), threshold))

@@ -11,18 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, report, risk, structure, verify
-from ..session import session
+from ..session import session, stored
 from ..sources.readers import read_documents, write_json
 
 
-def stored(df: DataFrame, path: str | None) -> DataFrame:
-    """``df`` written once and read back; as it is where no path is given."""
-    if path is None:
-        return df
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def analyse(docs: DataFrame, extractor=None, store: str | None = None, attempts: int = extract.ATTEMPTS, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     """All stages over ``docs`` (doc_id, raw_text and, if they came with their own, pages).
 
@@ -38,7 +30,7 @@ def analyse(docs: DataFrame, extractor=None, store: str | None = None, attempts:
     parties, obligations = extract.merge_parties(parsed), extract.merge_obligations(parsed)
     header, definitions = _headers(docs, errors, extract.merge_header(parsed)), extract.merge_definitions(parsed)
     quotes = obligations.select("doc_id", "ord", F.col("id").alias("obligation_id"), "source_text", "source_location")
-    results = stored(verify.verify(quotes, docs), store and f"{store}/results")
+    results = stored(verify.verify(quotes, docs, store=store and f"{store}/exact"), store and f"{store}/results")
     flags = risk.score_risks(obligations, header, rules)
     verification, summary = verify.verification_report(results), risk.risk_summary(flags)
     summaries = report.summary_text(header, parties, obligations, verification, summary)

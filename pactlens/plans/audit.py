@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..session import session
+from ..session import session, stored
 from ..sources.named_files import write_named
 from ..sources.readers import prepared_json, read_annotations, read_documents, with_annotations
-from .analysis import stored
 
 
 def items_of(rows: DataFrame, name: str) -> DataFrame:
@@ -35,7 +34,7 @@ def audit_folder(spark: SparkSession, folder: str, annotations: str, out: str, t
     items = audit.audit_items(obligations, flags)
     said = obligations.select("doc_id", F.col("ord").cast("int").alias("ord"), F.lit("obligation").alias("item_type"), "description", F.lit("").alias("severity"))
     said = said.unionByName(flags.select("doc_id", F.col("ord").cast("int").alias("ord"), F.lit("risk_flag").alias("item_type"), F.coalesce("title", "description").alias("description"), "severity"))
-    results = stored(audit.verify_quotes(items, docs, threshold).join(said, ["doc_id", "ord", "item_type"]), f"{out}/_store/results")
+    results = stored(audit.verify_quotes(items, docs, threshold, f"{out}/_store/exact").join(said, ["doc_id", "ord", "item_type"]), f"{out}/_store/results")
     misses = stored(audit.potential_misses(audit.keyword_sentences(docs), items), f"{out}/_store/misses")
     names = rows.select(F.col("stem").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
     named = lambda df, column, ending: df.select(F.concat("doc_id", F.lit(ending)).alias("name"), F.col(column).alias("content"))

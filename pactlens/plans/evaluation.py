@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
-from ..session import session
+from ..session import session, stored
 from ..sources.named_files import write_named
 from ..sources.readers import read_annotations, read_documents, with_annotations, write_json
-from .analysis import analyse, stored
+from .analysis import analyse
 from .audit import items_of
 
 AGGREGATE = ["Contracts evaluated: {}", "Average Obligation F1: {:.1%}", "Average Risk Flag F1:  {:.1%}"]

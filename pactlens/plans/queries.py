@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
 from ..operators import audit, evaluate, extract, report, risk, structure, verify
+from ..session import work_path
 from .clauses import duck, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,7 +169,8 @@ def eval_prf1(v):
 
 
 def fuzzy_verify(v):
-    return verify.verify(v["quotes"], v["docs"]).withColumn("issues", F.array_join("issues", "|"))
+    store = work_path(v["docs"].sparkSession, "exact-quotes")
+    return verify.verify(v["quotes"], v["docs"], store=store).withColumn("issues", F.array_join("issues", "|"))
 
 
 def _items(v):
@@ -181,7 +183,7 @@ def audit_exact(v):
 
 
 def audit_statuses(v):
-    return audit.verify_quotes(_items(v), v["docs"])
+    return audit.verify_quotes(_items(v), v["docs"], store=work_path(v["docs"].sparkSession, "exact-audit"))
 
 
 def audit_tallies(v):

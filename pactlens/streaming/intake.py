@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract, report
-from ..plans.analysis import analyse, stored
+from ..plans.analysis import analyse
+from ..session import stored
 from ..sources.readers import decode_text, write_json
 
 
