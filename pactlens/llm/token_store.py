@@ -44,6 +44,8 @@ GAMMA, LEVELS = 2.0, 48
 MANIFEST = "partition int, seq int, file string, n_docs bigint, n_ids bigint, nulls boolean, least bigint, most bigint"
 #: Documents that one task reads back of a shard at once.
 PIECE = 1 << 16
+#: Tasks that share the keys of one shard, each with the shard's index.
+TASKS_A_SHARD = 4
 #: Shards whose key ranges the driver holds at most: 24 MB.
 MOST_SHARDS = 1_000_000
 
@@ -331,7 +333,8 @@ def lookup(manifest: DataFrame, folder: str, keys: DataFrame, key_col: str = "do
 
     The directory, one range a shard, is a bounded array in every task: more than
     MOST_SHARDS shards stop the job (then write larger ones). It deals keys to shards;
-    a task opens each of its shards once and takes a few reads a key.
+    a task opens each of its shards once and takes a few reads a key; a shard that many keys
+    ask for is shared by TASKS_A_SHARD tasks.
     """
     rows = manifest.select("file", "nulls", "least", "most", "partition", "seq").orderBy("partition", "seq").limit(MOST_SHARDS + 1).collect()
     if len(rows) > MOST_SHARDS:
@@ -370,4 +373,6 @@ def lookup(manifest: DataFrame, folder: str, keys: DataFrame, key_col: str = "do
 
     found_schema = pa.schema([("key", pa.int64()), ("nth", pa.int32()), ("ids", pa.list_(pa.int64()))])
     asked = keys.select(F.col(key_col).cast("long").alias("key")).distinct().mapInArrow(route, "key long, file string")
-    return asked.repartition("file").sortWithinPartitions("file", "key").mapInArrow(read, "key long, nth int, ids array<bigint>")
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given: a few keys stand for much reading
+    dealt = asked.repartition(tasks, "file", F.pmod(F.xxhash64("key"), F.lit(TASKS_A_SHARD)))
+    return dealt.sortWithinPartitions("file", "key").mapInArrow(read, "key long, nth int, ids array<bigint>")
