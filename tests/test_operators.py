@@ -8,10 +8,9 @@ from difflib import SequenceMatcher
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from pactlens.functions.text import best_window, ratio, ratio_from, similarity, similarity_bound
-from pactlens.operators import audit, evaluate, extract, report, risk, structure, verify
+from pactlens.operators import audit, evaluate, extract, risk, structure, verify
 from pactlens.plans import analysis, queries
 from pactlens.plans import audit as audit_plan
 from pactlens.sources import readers
