@@ -154,3 +154,25 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
         size = len(words) - 2 * have + 1
         power = power[:size] * np.uint64(pow(base, have, 1 << 64)) + power[have : have + size]
         have *= 2
+
+
+def rolling_many(words: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """rolling() for several lengths, which share the passes over doubled spans."""
+    base = 0x9E3779B97F4A7C15
+    lengths = [n for n in lengths if n <= len(words)]
+    levels = [mix(words)] if lengths else []
+    while lengths and 2 << len(levels) - 1 <= max(lengths):
+        have, power = 1 << len(levels) - 1, levels[-1]
+        size = len(words) - 2 * have + 1
+        levels.append(power[:size] * np.uint64(pow(base, have, 1 << 64)) + power[have : have + size])
+    found = {}
+    for n in lengths:
+        out, done = None, 0
+        for k, power in enumerate(levels):
+            have = 1 << k
+            if n & have:
+                size = len(words) - done - have + 1
+                out = power if out is None else power[:size] * np.uint64(pow(base, done, 1 << 64)) + out[have : have + size]
+                done += have
+        found[n] = mix(out)
+    return found

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, rolling, small_batches
+from .common import fresh, mix, rolling, rolling_many, small_batches
 
 WINDOW, LITERAL, SHORTEST, COVERAGE = 8, 5, 5, 0.5
 BITS = 24
@@ -117,12 +117,13 @@ def tokens_of(text: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.nd
 def template(text: str, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash, kind, raw token) of each template token; without ``names`` capitalised
     words are words."""
-    return template_of(*tokens_of(text), names)
+    h, kind, kept = template_of(*tokens_of(text), names)
+    return h, kind, [kept[i] for i in range(len(h))]
 
 
-def template_of(raw: list[str], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, names: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def template_of(raw: list[str], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, names: bool) -> tuple[np.ndarray, np.ndarray, Kept]:
     if known is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), Kept(raw, np.zeros(0, np.int64))
     h, kind, ends = known[0], known[1].copy(), known[2]
     starts = np.concatenate(([True], ends[:-1]))
     kind[(kind == CAPITAL) & (starts | (not names))] = LITERAL_KIND
@@ -135,17 +136,28 @@ def template_of(raw: list[str], known: tuple[np.ndarray, np.ndarray, np.ndarray]
     h, kind = h[keep], kind[keep]
     for k, code in PLACEHOLDER.items():
         h[kind == k] = code
-    return h, kind, [raw[i] for i in keep]
+    return h, kind, Kept(raw, keep)
 
 
-def windows(h: np.ndarray, kind: np.ndarray, lengths: list[int], literal: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+class Kept:
+    """Some of a text's raw tokens; few of them are ever looked at."""
+
+    def __init__(self, raw: list[str], keep: np.ndarray):
+        self.raw, self.keep = raw, keep
+
+    def __getitem__(self, i: int) -> str:
+        return self.raw[self.keep[i]]
+
+
+def windows(h: np.ndarray, kind: np.ndarray, lengths: list[int], literal: int, rolled: dict[int, np.ndarray] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, starts, hashes) of the windows of each length that have enough words."""
     out = []
     words = np.concatenate(([0], np.cumsum(kind == LITERAL_KIND)))
+    rolled = rolling_many(h, lengths) if rolled is None else rolled
     for n in lengths:
         if len(h) >= n:
-            w = rolling(h, n) + np.uint64(n)
-            good = np.flatnonzero(words[n:] - words[:-n] >= min(literal, n))
+            w = rolled[n] + np.uint64(n)
+            good = np.flatnonzero(words[n:] - words[:-n] >= min(literal, n)) if literal else np.arange(len(w))
             out.append((n, good, mix(w[good])))
     return out
 
@@ -182,9 +194,10 @@ def _rows(src: DataFrame, window: int, literal: int, shortest: int, lengths: dic
         for form, own in lengths.items():
             names = form != WHOLE_WORDS
             if names not in made:
-                made[names] = template_of(*known, names)
-            h, kind, raw = made[names]
-            yield from ((form, n, starts, w, kind, raw) for n, starts, w in windows(h, kind, own, literal if form == WINDOWS else 0))
+                t = template_of(*known, names)
+                made[names] = t, rolling_many(t[0], sorted({n for f, ns in lengths.items() if (f != WHOLE_WORDS) == names for n in ns}))
+            (h, kind, raw), rolled = made[names]
+            yield from ((form, n, starts, w, kind, raw) for n, starts, w in windows(h, kind, own, literal if form == WINDOWS else 0, rolled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
