@@ -73,9 +73,13 @@ class Tokens(dict):
     def __missing__(self, raw: str) -> int:
         from xxhash import xxh3_64_intdigest
 
-        core = _EDGE.sub("", raw)
+        # most tokens are letters, perhaps with one mark behind: no pattern is needed for these
+        plain = raw if raw.isalpha() else raw[:-1] if raw[-1] in ",;.!?:" and raw[:-1].isalpha() else ""
+        core = plain or _EDGE.sub("", raw)
         low = core.lower()
-        if raw == "\n":
+        if plain:
+            kind = UNIT if low in UNITS else CAPITAL if core[0].isupper() else LITERAL_KIND
+        elif raw == "\n":
             kind = BREAK
         elif not core:
             kind = EMPTY
@@ -90,7 +94,7 @@ class Tokens(dict):
         self[raw] = place = len(self.hashes)
         self.hashes.append(xxh3_64_intdigest(low.encode()))
         self.kinds.append(kind)
-        self.ends.append(kind == BREAK or raw.rstrip("\"')]»”’")[-1:] in ".!?:")
+        self.ends.append(raw[-1] in ".!?:" if plain else kind == BREAK or raw.rstrip("\"')]»”’")[-1:] in ".!?:")
         return place
 
     def of(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
