@@ -15,7 +15,9 @@ Equal sets form a class at once, and a class takes part once. Of the classes tha
 a signature, each is verified against the least one, its head, on whole sets. Classes
 with one head that are still in different components may be linked too: their
 differences from the head are joined by their first elements (_open_pairs), and what
-passes is verified on whole sets. So a group of n near copies costs n verifications and
+passes is verified on whole sets. Where a member is far from its head, which parities of
+its elements tell (_parted), that difference would be most of both sets: it meets the
+head's other members by their parities instead (_stray_pairs). So a group of n near copies costs n verifications and
 not n * n, and no link between components is lost. Frequent signatures are pre-aggregated; joins back are split by
 Spark where a key is frequent (AQE skew join).
 
@@ -45,6 +47,10 @@ LEAST_SEGMENT = 3
 #: Passes over the signatures, a power of two, and the columns that hold them.
 PASSES = 4
 SIGNATURES = [f"sigs_{p}" for p in range(PASSES)]
+#: 64-bit words of a set's parities.
+WORDS = 32
+#: Parities that differ between far sets: more than this, and than FAR times what similar sets may differ by.
+NOT_FAR, FAR = 32, 1.2
 #: Elements and heads that a row carries, so that pairs which share several are told apart.
 FIRSTS = 16
 
@@ -127,12 +133,19 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's elements falls in each of 64 * WORDS classes. Two
+    sets have at least as many elements apart as parities."""
+    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
 
 
 def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
-    """Size, hashes and signatures of each set; the signatures lie in PASSES columns, by
+    """Size, hashes, parities and signatures of each set; the signatures lie in PASSES columns, by
     their highest bits, so that each pass reads its own alone."""
     bits = PASSES.bit_length() - 1
 
@@ -141,7 +154,7 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                size, h1, h2, sigs, ends = [], [], [], [], [0]
+                size, h1, h2, odd, sigs, ends = [], [], [], [], [], [0]
                 for text in part.column(2):
                     s = shingles(text.as_py(), n)
                     size.append(len(s))
@@ -152,9 +165,11 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(a)
+                        odd.append(parities(s))
                         sigs.append(signatures(s, num, den))
                         ends.append(ends[-1] + len(sigs[-1]))
                     else:
+                        odd.append(None)
                         ends.append(ends[-1])
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
                 of_pass = flat >> np.uint64(64 - bits)
@@ -164,10 +179,10 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
                     mine = of_pass == p
                     until = np.concatenate(([0], np.cumsum(mine)))[ends]
                     dealt.append(pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), pa.array(flat[mine].view(np.int64))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), signed(h1), signed(h2), *dealt], names=["doc_id", "k", "n_shingles", "h", "h2", *SIGNATURES])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), signed(h1), signed(h2), pa.array(odd, pa.list_(pa.int64())), *dealt], names=["doc_id", "k", "n_shingles", "h", "h2", "odd", *SIGNATURES])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, h long, h2 long, {', '.join(f'{c} array<long>' for c in SIGNATURES)}")
+    return src.mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, h long, h2 long, odd array<long>, {', '.join(f'{c} array<long>' for c in SIGNATURES)}")
 
 
 def _candidates(sketches: DataFrame) -> DataFrame:
@@ -190,6 +205,46 @@ def _candidates(sketches: DataFrame) -> DataFrame:
     return pairs
 
 
+def _most(total: str, num: int, den: int) -> str:
+    """How many elements similar sets of ``total`` elements in all may have apart."""
+    return f"({total} - 2 * cast(ceil({num} * {total} / {num + den}) as int))"
+
+
+def _odd_apart(one: str, other: str) -> str:
+    return "(" + " + ".join(f"bit_count({one}[{k}] ^ {other}[{k}])" for k in range(WORDS)) + ")"
+
+
+def _parted(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs with ``far``: their parities alone show that they are not similar, by a wide margin."""
+    side = lambda c: marks.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), F.col("odd").alias(f"{c}_odd"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    far = F.expr(f"{_odd_apart('a_odd', 'b_odd')} > greatest({NOT_FAR}, {FAR} * {_most('(a_size + b_size)', num, den)})")
+    return both.select("a", "b", "among_more", far.alias("far"))
+
+
+def _stray_pairs(pairs: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may be similar among the classes of one head of which one or both are far
+    from it, where their components differ: by sizes and parities."""
+    strays = pairs.where("far AND among_more").select("a").distinct()
+    met = pairs.where("among_more").join(strays, "a", "left_semi").join(labels.withColumnRenamed("node", "b"), "b", "left")
+    members = work_table(met.join(marks.withColumnRenamed("h", "b"), "b").select("a", "b", "far", F.coalesce("label", "b").alias("label"), "size", "odd"), "stray-members")
+    side = lambda p: members.select("a", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "far", "label", "size", "odd")])
+    s, l = side("s").where("s_far"), side("l")
+    meets = [
+        "s_label <> l_label",
+        "s_b < l_b OR NOT l_far",
+        f"least(s_size, l_size) * {den} >= greatest(s_size, l_size) * {num}",
+        f"{_odd_apart('s_odd', 'l_odd')} <= {_most('(s_size + l_size)', num, den)}",
+    ]
+    on = s["a"] == l["a"]
+    for m in meets:
+        on = on & F.expr(f"({m})")
+    found = s.join(l, on).select(F.least("s_b", "l_b").alias("a"), F.greatest("s_b", "l_b").alias("b")).distinct()
+    found = work_table(found.withColumn("among_more", F.lit(False)), "stray-pairs")
+    drop_work_table(members)
+    return found
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Whole sets of each pair (a, b) of classes compared: (a, b, linked, size of b's
     set, apart: how many elements just one of the two sets has, differ: those elements,
@@ -268,7 +323,7 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
     members = ranked
     side = lambda p: members.select("a", "x", *[F.col(c).alias(f"{p}_{c}") for c in ("b", "label", "size", "apart", "pos", "earlier", "lesser")])
     total = "(s_size + l_size)"
-    most = f"({total} - 2 * cast(ceil({num} * {total} / {num + den}) as int))"
+    most = _most(total, num, den)
     need = f"((s_apart + l_apart - {most} + 1) div 2)"
     meets = [
         "s_label <> l_label",
@@ -310,25 +365,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     classes = sketches.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two sets have one hash: give another seed"))).alias("clash"))
     classes = work_table(classes.where("clash IS NULL").drop("clash"), "classes")
     pairs = _candidates(sketches)
-    rows_of = work_table(sketches.drop(*SIGNATURES), "documents")
+    rows_of = work_table(sketches.drop("odd", *SIGNATURES), "documents")
+    ends = lambda of: of.select(F.col("a").alias("h")).union(of.select("b")).distinct()
+    marks = sketches.where("odd IS NOT NULL").join(ends(pairs), "h", "left_semi").groupBy("h").agg(F.first("n_shingles").cast("int").alias("size"), F.first("odd").alias("odd"))
+    marks = work_table(marks, "marks")
     drop_work_table(sketches)
-    involved = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(classes, "h").select("h", "k")
-    texts = work_table(src.join(involved, "k").select("h", "raw"), "texts")
-    compared = work_table(_compared(pairs, texts, n, num, den), "compared")
+    parted = work_table(_parted(pairs, marks, num, den), "parted")
     drop_work_table(pairs)
+    near = parted.where("NOT far").drop("far")
+    texts = work_table(src.join(ends(near).join(classes, "h").select("h", "k"), "k").select("h", "raw"), "texts")
+    compared = work_table(_compared(near, texts, n, num, den), "compared")
     labels = components(compared.where("linked").select("a", "b"))
+    stray_pairs = _stray_pairs(parted, labels, marks, num, den)
+    for table in (parted, marks):
+        drop_work_table(table)
     open_pairs = _open_pairs(compared, labels, num, den)
+    new = ends(stray_pairs).join(texts.select("h"), "h", "left_anti").join(classes, "h").select("h", "k")
+    stray_texts = work_table(src.join(new, "k").select("h", "raw"), "stray-texts")
+    open_pairs, texts, old = open_pairs.unionByName(stray_pairs), texts.unionByName(stray_texts), (open_pairs, stray_pairs, texts, stray_texts)
     more = work_table(_compared(open_pairs, texts, n, num, den).where("linked").select("a", "b"), "more-links")
     if more.limit(1).count():
         joined = components(_between(more, labels)).select(F.col("node").alias("label"), F.col("label").alias("further"))
-        ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-        known = labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+        known = labels.join(ends(more).withColumnRenamed("h", "node"), "node", "full").select("node", F.coalesce("label", "node").alias("label"))
         labels = known.join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
     named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "label").select("h", "component_id")
     of_class = work_table(of_class, "class-components")
-    for table in (classes, texts, open_pairs, more):
+    for table in (classes, *old, more):
         drop_work_table(table)
     out = rows_of.join(of_class, "h", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
