@@ -104,17 +104,19 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     that contain them or are contained, without a join; a page without text has one row
     whose text is null."""
     heads = F.filter(F.transform(F.split("text", "\n"), strip), heading)
-    rows = pages.select("doc_id", "page", heads.alias("heads"), F.posexplode_outer(_parts()).alias("ord", "text"))
+    # headings first: beside the generator they would be sought once for each paragraph
+    rows = pages.withColumn("heads", heads).select("doc_id", "page", "heads", F.posexplode_outer(_parts()).alias("ord", "text"))
     return rows.select("doc_id", "page", "ord", "text", F.filter("heads", lambda h: F.contains("text", h) | F.contains(h, F.col("text"))).alias("sections"))
 
 
 def paragraph_sections(paras: DataFrame, heads: DataFrame) -> DataFrame:
     """Paragraphs with the names of their page's sections that contain them or are
-    contained: an equi-join by page with a residual condition."""
-    s = heads.select("doc_id", "page", F.col("line").alias("s_line"), F.col("name").alias("s_name"))
-    met = paras.join(s, ["doc_id", "page"], "left").withColumn("hit", F.contains("text", "s_name") | F.contains("s_name", "text"))
-    grouped = met.groupBy("doc_id", "page", "ord", "text").agg(F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("s_line", "s_name")))).alias("hits"))
-    return grouped.select("doc_id", "page", "ord", "text", F.transform("hits", lambda h: h["s_name"]).alias("sections"))
+    contained: a page's headings are listed before the join, so texts are shuffled once
+    and are no keys. Where both come from the same pages, page_paragraphs() needs no join."""
+    s = heads.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("heads"))
+    met = F.filter("heads", lambda h: F.contains("text", h["name"]) | F.contains(h["name"], F.col("text")))
+    names = F.coalesce(F.transform(met, lambda h: h["name"]), F.array().cast("array<string>"))
+    return paras.join(s, ["doc_id", "page"], "left").select("doc_id", "page", "ord", "text", names.alias("sections"))
 
 
 def overlap_tail(text: str, overlap: int) -> str:
