@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Haystack, audit_norm, best_window, ratio_from, strip, truncate
+from ..functions.needed import held, needed
+from ..functions.text import Haystack, audit_norm, best_window, ratio_bound, ratio_from, strip, truncate
 from ..session import stored
 from .search import beside_documents
 
@@ -28,10 +29,14 @@ KEYWORDS = {
 PRIORITY = ["SHALL", "MUST", "AGREES", "WARRANTS", "COVENANTS"]
 
 
-def keyword(sentence: Column) -> Column:
-    out = None
+def keyword(sentence: Column, lower: Column | None = None) -> Column:
+    """``lower`` may give the sentence in lower case. Patterns are tried where their
+    literals are; where case is ignored some other letters stand for ASCII ones, so a
+    sentence that is not all ASCII is always tried."""
+    out, lower = None, F.lower(sentence) if lower is None else lower
+    other = F.octet_length(sentence) != F.char_length(sentence)
     for name, pattern in KEYWORDS.items():
-        test = sentence.rlike("(?iuUd)" + pattern)
+        test = (other | held(lower, needed(pattern))) & sentence.rlike("(?iuUd)" + pattern)
         out = F.when(test, name) if out is None else out.when(test, name)
     return out
 
@@ -39,9 +44,11 @@ def keyword(sentence: Column) -> Column:
 def keyword_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_number, ord, sentence, keyword): lines count from 1."""
     lines = docs.select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("line", "text"))
-    parts = lines.select("doc_id", (F.col("line") + 1).alias("line_number"), F.posexplode(F.split("text", r"(?U)(?<=[.;])\s+")).alias("ord", "sentence"))
-    rows = parts.withColumn("sentence", strip(F.col("sentence"))).where(F.char_length("sentence") >= 10)
-    return rows.withColumn("keyword", keyword(F.col("sentence"))).where("keyword IS NOT NULL")
+    parts = lines.select("doc_id", (F.col("line") + 1).alias("line_number"), F.posexplode(F.transform(F.split("text", r"(?U)(?<=[.;])\s+"), strip)).alias("ord", "sentence"))
+    rows = parts.where(F.char_length("sentence") >= 10).withColumn("lower", F.lower("sentence"))
+    # from an outer generator the filter is not pushed below, where the tests would be made once more
+    found = rows.select(*parts.columns, F.explode_outer(F.array(keyword(F.col("sentence"), F.col("lower")))).alias("keyword"))
+    return found.where("keyword IS NOT NULL")
 
 
 def priority_top(found: DataFrame, n: int = 10) -> DataFrame:
@@ -125,8 +132,10 @@ def _open_quotes(quotes: list[str] | None):
         a = _squeezed(item["sentence"])
         if a not in known:
             best = 1.0 if a and a in others else 0.0
-            for q in others:
-                if best < 1.0 and 2.0 * min(len(a), len(q)) > best * (len(a) + len(q)):
+            if best < 1.0:
+                for most, q in sorted(((ratio_bound(a, q), q) for q in others), reverse=True):
+                    if most <= best:
+                        break
                     best = max(best, ratio_from(a, q, best))
             known[a] = best
         return (known[a],)
@@ -137,8 +146,8 @@ def _open_quotes(quotes: list[str] | None):
 def potential_misses(found: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Keyword sentences unlike every quote of their document: an anti-join by similarity.
 
-    A document's quotes are sent once for all of its sentences; of a pair whose lengths
-    alone rule out more than the best so far, nothing else is looked at."""
+    A document's quotes are sent once for all of its sentences; a pair whose longest common
+    subsequence rules out more than the best so far is not looked at."""
     quotes = items.where(F.coalesce("source_text", F.lit("")) != "").groupBy("doc_id").agg(F.collect_set("source_text").alias("quotes"))
     rows = beside_documents(found, quotes, _open_quotes, "similarity_to_existing double", text="quotes", order="line_number")
     return rows.where(F.col("similarity_to_existing") < threshold)
