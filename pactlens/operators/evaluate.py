@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio_from, similarity_udf
+from ..functions.text import ratio_bound, ratio_from, similarity_udf
 from .report import percent
 
 OBLIGATION, RISK = (0.6, 0.85), (0.5, 0.8)
@@ -52,7 +52,9 @@ def _similar(a: str | None, b: str | None, least: float) -> float:
     if not a or not b:
         return 0.0
     x, y = _prepared(a)[0], _prepared(b)[0]
-    return 1.0 if x == y else ratio_from(x, y, least)
+    if x == y:
+        return 1.0
+    return -1.0 if least > 0 and ratio_bound(x, y) < least else ratio_from(x, y, least)
 
 
 def _weighed(s, t, texts: list[tuple[float, str]], total, above: float) -> float:
