@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.needed import held, needed
-from ..functions.text import Haystack, audit_norm, best_window, ratio_bound, ratio_from, strip, truncate
+from ..functions.text import Haystack, audit_norm, best_window, ratio_bound, ratio_from, strip, truncate, window_bounds
 from ..session import stored
 from .search import beside_documents
 
@@ -68,17 +71,21 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split()).lower()
 
 
-def fuzzy_match(source: str | None, text: str, hay: Haystack | None = None) -> tuple[float, str | None]:
+#: Widths of windows, as shares of the quote's.
+WINDOW_SIZES = (1.0, 1.2, 0.8)
+
+
+def fuzzy_match(source: str | None, text: str, hay: Haystack | None = None, bounds: np.ndarray | None = None) -> tuple[float, str | None]:
     """(ratio, the text's best window): 1 if the normalised text holds the source, which
     one of white space alone always is; an empty one is not looked for. ``hay`` may give
-    the text in its normal form."""
+    the text in its normal form, ``bounds`` its windows' bounds."""
     if not source:
         return 0.0, None
     hay = hay or Haystack(_squeezed(text))
     needle = _squeezed(source)
     if needle in hay.text:
         return 1.0, source
-    score, at, size = best_window(needle, hay, (1.0, 1.2, 0.8), clamp=False)
+    score, at, size = best_window(needle, hay, WINDOW_SIZES, clamp=False, bounds=bounds)
     return (score, text[at : at + size]) if at >= 0 else (0.0, None)
 
 
@@ -94,10 +101,18 @@ def exact_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("ord").cast("int").alias("ord"), "item_id", "item_type", "source_text", ratio.alias("match_ratio"), F.when(~empty & held, F.col("source_text")).alias("best_match_text"))
 
 
-def _look_up(text: str | None):
-    text = text or ""
-    hay = Haystack(_squeezed(text))
-    return lambda item: fuzzy_match(item["source_text"], text, hay)
+def _open(text: str | None) -> tuple[str, Haystack]:
+    return text or "", Haystack(_squeezed(text or ""))
+
+
+def _match_all(asked: list[tuple[tuple[str, Haystack], dict]], least: float = 0.0) -> list[tuple]:
+    """fuzzy_match() of each item in its document; (0, None) where the bounds of all windows
+    are below ``least``."""
+    needles = [_squeezed(item["source_text"] or "") for _, item in asked]
+    hard = [k for k, ((_, hay), _) in enumerate(asked) if needles[k] not in hay.text]
+    bounds = dict(zip(hard, window_bounds([(needles[k], asked[k][0][1]) for k in hard], WINDOW_SIZES, clamp=False)))
+    far = {k for k in hard if bounds[k].max(initial=0.0) < least}
+    return [(0.0, None) if k in far else fuzzy_match(item["source_text"], text, hay, bounds.get(k)) for k, ((text, hay), item) in enumerate(asked)]
 
 
 def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85, store: str | None = None) -> DataFrame:
@@ -108,12 +123,27 @@ def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85, st
     """
     rows = stored(exact_quotes(items, docs), store)
     hard = rows.where("match_ratio IS NULL").drop("match_ratio", "best_match_text")
-    found = beside_documents(hard, docs, _look_up, "match_ratio double, best_match_text string")
+    found = beside_documents(hard, docs, _open, "match_ratio double, best_match_text string", together=_match_all)
     return rows.where("match_ratio IS NOT NULL").unionByName(found).withColumn("status", audit_status(F.col("match_ratio"), threshold))
 
 
+def quote_statuses(items: DataFrame, docs: DataFrame, threshold: float = 0.85, store: str | None = None) -> DataFrame:
+    """(doc_id, ord, item_type, status) as of verify_quotes(), without ratios and texts: no
+    ratio is taken in a document whose windows' bounds all tell that a quote is flagged."""
+    rows = exact_quotes(items, docs).select("doc_id", "ord", "item_type", F.when(F.col("match_ratio").isNull(), F.col("source_text")).alias("source_text"), "match_ratio")
+    rows = stored(rows, store)
+    hard = rows.where("match_ratio IS NULL").drop("match_ratio")
+    found = beside_documents(hard, docs, _open, "match_ratio double, best_match_text string", together=partial(_match_all, least=min(threshold, EXACT)))
+    both = rows.where("match_ratio IS NOT NULL").unionByName(found.drop("best_match_text"))
+    return both.select("doc_id", "ord", "item_type", audit_status(F.col("match_ratio"), threshold).alias("status"))
+
+
+#: From this ratio on a quote counts as verified.
+EXACT = 0.95
+
+
 def audit_status(score: Column, threshold: float = 0.85) -> Column:
-    return F.when(score >= 0.95, "VERIFIED").when(score >= threshold, "LIKELY_OK").otherwise("FLAGGED")
+    return F.when(score >= EXACT, "VERIFIED").when(score >= threshold, "LIKELY_OK").otherwise("FLAGGED")
 
 
 def audit_items(obligations: DataFrame, flags: DataFrame) -> DataFrame:

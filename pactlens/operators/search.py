@@ -20,15 +20,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Items that share one copy of their document.
 A_COPY = 256
+#: Items that are answered together.
+TOGETHER = 256
 
 
-def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[[object], Callable[[dict], tuple]], result: str, text: str = "raw_text", order: str = "ord") -> DataFrame:
+def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[[object], Callable[[dict], tuple]], result: str, text: str = "raw_text", order: str = "ord", together: Callable[[list[tuple[object, dict]]], list[tuple]] | None = None) -> DataFrame:
     """``items`` (doc_id, .., in any order) with the columns of ``result``, a DDL string.
 
     ``open_document`` is called once for a document, with its column ``text`` (None if there
     is no document), and gives a function from an item, as a dict, to the values of
-    ``result``.
+    ``result``. With ``together`` it may give anything: that answers TOGETHER items at once,
+    each beside its opened document.
     """
+    together = together or (lambda asked: [answer(item) for answer, item in asked])
     cols = [c for c in items.columns if c != "doc_id"]
     added = T._parse_datatype_string(result)
     copies = items.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / A_COPY).cast("int").alias("copies"))
@@ -44,7 +48,7 @@ def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, answer = None, None
         for b in batches:
-            rows, out = [], []
+            rows, asked, out = [], [], []
             for k, (doc, copy, there, of) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).is_null().to_pylist(), b.column(3))):
                 if there:
                     at, answer = (doc, copy), open_document(b.column(2)[k].as_py())
@@ -52,7 +56,11 @@ def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[
                 if at != (doc, copy):
                     at, answer = (doc, copy), open_document(None)
                 rows.append(k)
-                out.append(answer(of.as_py()))
+                asked.append((answer, of.as_py()))
+                if len(asked) == TOGETHER:
+                    out += together(asked)
+                    asked = []
+            out += together(asked)
             kept = b.take(pa.array(rows, pa.int64()))
             values = list(zip(*out)) if out else [()] * len(fields)
             columns = [kept.column(0), *kept.column(3).flatten(), *[pa.array(list(v), f.type) for v, f in zip(values, fields)]]
