@@ -104,7 +104,12 @@ DUCK = {"numbered": NUMBERED, "clauses": CLAUSES, "quotes": QUOTES, "renewals":
 
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """clauses, quotes, renewals, responses and docs over the tables of a folder."""
+    """clauses, quotes, renewals, responses and docs over the tables of a folder.
+
+    Clauses come sorted by document from their numbering, so they are grouped as they stand;
+    a hash map of lists would be given up after some groups and all sorted once more. The
+    setting stays in the session."""
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders")}
     out: dict[str, DataFrame] = {}
     for name, sql in (("numbered", NUMBERED), ("clauses", CLAUSES), ("renewals", RENEWALS), ("responses", RESPONSES), ("quotes", QUOTES), ("docs", DOCS_SPARK)):
