@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 RESPONSE = """parties ARRAY<STRUCT<name:STRING,role:STRING,is_reader:BOOLEAN>>, effective_date STRING, term STRING,
 termination_notice_period STRING, auto_renewal STRUCT<`exists`:BOOLEAN,period:STRING,notice_to_cancel:STRING>,
 obligations ARRAY<STRUCT<id:STRING,party:STRING,type:STRING,description:STRING,deadline:STRING,conditions:STRING,source_text:STRING,source_location:STRING>>,
@@ -111,7 +113,8 @@ def whole_documents(responses: DataFrame) -> DataFrame:
 def unfenced(response: Column) -> Column:
     """The body of the first fenced block, else the whole response."""
     body = F.regexp_extract(response, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.when(body == "", response).otherwise(body)
+    found = F.when(F.contains(response, F.lit("```")), body)
+    return bound(found, lambda b: F.coalesce(F.when(b != "", b), response))
 
 
 def parse(responses: DataFrame) -> DataFrame:
@@ -122,6 +125,13 @@ def parse(responses: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_index", bad.alias("error"), *[F.when(~bad, F.col(f"r.{c}")).alias(c) for c in names], F.when(bad, "JSON parsing error").otherwise(F.col("r.extraction_notes")).alias("notes"), F.when(bad, F.col("response")).alias("raw_response"))
 
 
+def _each(parsed: DataFrame, name: str, as_: str) -> DataFrame:
+    """(doc_id, chunk_index, pos, value) of a list's elements. An inner generator's filter
+    would be pushed below the parsing, which would be done once more for it, or oftener."""
+    rows = parsed.select("doc_id", "chunk_index", F.posexplode_outer(name).alias("pos", as_))
+    return rows.where("pos IS NOT NULL")
+
+
 def _first_of_each(rows: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy("doc_id", key).orderBy("chunk_index", "pos")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
@@ -129,14 +139,14 @@ def _first_of_each(rows: DataFrame, key: str) -> DataFrame:
 
 def merge_parties(parsed: DataFrame) -> DataFrame:
     """(doc_id, ord, name, role, is_reader): the first party of each name, in order."""
-    rows = parsed.select("doc_id", "chunk_index", F.posexplode("parties").alias("pos", "p"))
+    rows = _each(parsed, "parties", "p")
     rows = rows.select("doc_id", "chunk_index", "pos", F.coalesce("p.name", F.lit("Unknown")).alias("name"), F.coalesce("p.role", F.lit("Unknown")).alias("role"), F.coalesce("p.is_reader", F.lit(False)).alias("is_reader"))
     return _numbered(_first_of_each(rows, "name")).drop("chunk_index", "pos")
 
 
 def merge_definitions(parsed: DataFrame) -> DataFrame:
     """(doc_id, ord, term, definition, source_location): the first of each term, if not empty."""
-    rows = parsed.select("doc_id", "chunk_index", F.posexplode("key_definitions").alias("pos", "d")).select("doc_id", "chunk_index", "pos", F.coalesce("d.term", F.lit("")).alias("term"), F.coalesce("d.definition", F.lit("")).alias("definition"), F.coalesce("d.source_location", F.lit("Unknown")).alias("source_location"))
+    rows = _each(parsed, "key_definitions", "d").select("doc_id", "chunk_index", "pos", F.coalesce("d.term", F.lit("")).alias("term"), F.coalesce("d.definition", F.lit("")).alias("definition"), F.coalesce("d.source_location", F.lit("Unknown")).alias("source_location"))
     return _numbered(_first_of_each(rows.where("term <> ''"), "term")).drop("chunk_index", "pos")
 
 
@@ -146,7 +156,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def merge_obligations(parsed: DataFrame) -> DataFrame:
     """Obligations numbered anew over all chunks; none is dropped."""
-    rows = _numbered(parsed.select("doc_id", "chunk_index", F.posexplode("obligations").alias("pos", "o")))
+    rows = _numbered(_each(parsed, "obligations", "o"))
     default = {"party": "Unknown", "type": "requirement", "description": "", "source_text": "", "source_location": "Unknown"}
     cols = [F.coalesce(f"o.{c}", F.lit(v)).alias(c) for c, v in default.items()]
     return rows.select("doc_id", "ord", F.format_string("OBL-%03d", "ord").alias("id"), *cols, "o.deadline", "o.conditions")
