@@ -50,7 +50,8 @@ SIGNATURES = [f"sigs_{p}" for p in range(PASSES)]
 #: 64-bit words of a set's parities.
 WORDS = 32
 #: Parities that differ between far sets: more than this, and than FAR times what similar sets may differ by.
-NOT_FAR, FAR = 32, 1.2
+#: Sets have at least as many elements apart, so far ones are not similar.
+NOT_FAR, FAR = 0, 1.0
 #: Elements and heads that a row carries, so that pairs which share several are told apart.
 FIRSTS = 16
 
@@ -215,7 +216,7 @@ def _odd_apart(one: str, other: str) -> str:
 
 
 def _parted(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs with ``far``: their parities alone show that they are not similar, by a wide margin."""
+    """Pairs with ``far``: their parities alone show that they are not similar."""
     side = lambda c: marks.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), F.col("odd").alias(f"{c}_odd"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     far = F.expr(f"{_odd_apart('a_odd', 'b_odd')} > greatest({NOT_FAR}, {FAR} * {_most('(a_size + b_size)', num, den)})")

@@ -76,3 +76,10 @@ def test_parities_are_no_more_than_elements():
         a = np.unique(np.concatenate((a, b[: size // 2])))
         odd = np.bitwise_count(jaccard_join.parities(a) ^ jaccard_join.parities(b)).sum()
         assert 0 < odd <= len(np.setxor1d(a, b))
+
+
+def test_what_parities_rule_out_is_far(spark):
+    odd = lambda n: [(1 << n) - 1] + [0] * (jaccard_join.WORDS - 1)
+    marks = spark.createDataFrame([(1, 100, odd(0)), (2, 100, odd(22)), (3, 100, odd(23))], "h long, size int, odd array<long>")
+    pairs = spark.createDataFrame([(1, 2, True), (1, 3, True)], "a long, b long, among_more boolean")
+    assert {r.b: r.far for r in jaccard_join._parted(pairs, marks, 80, 100).collect()} == {2: False, 3: True}
