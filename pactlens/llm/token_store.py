@@ -23,6 +23,7 @@ has no ids. Null keys come first. A key that occurs k times has the k entries
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,7 +54,28 @@ MOST_SHARDS = 1_000_000
 # --- the tokenizer -------------------------------------------------------------------
 
 
-class WordIds(dict):
+#: ASCII marks that may follow a word: not an apostrophe, which may begin a piece with
+#: letters (``'s``), nor the bar, which the separator and added tokens hold.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
+#: Letters of Latin-1: each is one letter in lower case, in any version of Unicode.
+LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha())
+AFTER_WORD = re.compile(rf"([{re.escape(MARKS)}])(?<=[{LETTERS}].)([{re.escape(MARKS)}]*)(?![^ \n])", re.S)
+
+
+def spaced(text: str) -> str:
+    """A text of the same ids with fewer different words: marks after a word stand by
+    themselves, for the tokenizer cuts between a letter and a mark; and letters are small
+    where its lower case and Python's are the same and no added token can arise."""
+    if "|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return AFTER_WORD.sub(r" \1\2", text)
+
+
+class WordIds:
     """word between blanks -> packed ids; a bounded memo over the tokenizers library.
 
     Blanks separate the pieces of this tokenizer and have no ids of their own, so a
@@ -64,22 +86,21 @@ class WordIds(dict):
 
     SEPARATOR, TOGETHER = "|", 4096
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
+    def __init__(self, path: str, kind: str, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.kind, self.limit = kind, limit
         self.library = Tokenizer.from_file(path)
         self.between = self._ids([self.SEPARATOR])[0]
-        self[""] = b""
+        self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         alone = [w for w in words if self.SEPARATOR in w] if len(self.between) == 1 else words
-        self.update(zip(alone, (x.tobytes() for x in self._ids(alone))))
+        self.known.update(zip(alone, (x.tobytes() for x in self._ids(alone))))
         if alone is words:
             return
         words = [w for w in words if self.SEPARATOR not in w]
@@ -91,21 +112,19 @@ class WordIds(dict):
                 raise ValueError("the tokenizer does not keep the separator apart")
             raw, width, start = ids.tobytes(), ids.itemsize, 0
             for w, end in zip(part, ends):
-                self[w] = raw[start * width : end * width]
+                self.known[w] = raw[start * width : end * width]
                 start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        met: set[str] = set()
-        for ws in words:
-            met.update(ws)
-        new = [w for w in met if w not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            self[""] = b""
-            new = [w for w in met if w]
-        self._learn(new)
-        return [b"".join([self[w] for w in ws]) for ws in words]
+        words = [spaced(t).replace("\n", " ").split(" ") for t in texts]
+        met = set().union(*words)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known = {"": b""}
+            new = met - {""}
+        self._learn(list(new))
+        of = self.known.__getitem__
+        return [b"".join(map(of, ws)) for ws in words]
 
 
 @lru_cache(2)
