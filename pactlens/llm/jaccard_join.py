@@ -16,7 +16,7 @@ a signature, each is verified against the least one, its head, on whole sets. Cl
 with one head that are still in different components may be linked too: their
 differences from the head are joined by their first elements (_open_pairs), and what
 passes is verified on whole sets. Where a member is far from its head, which parities of
-its elements tell (_parted), that difference would be most of both sets: it meets the
+its elements tell (_parted, in more classes for larger sets), that difference would be most of both sets: it meets the
 head's other members by their parities instead (_stray_pairs). So a group of n near copies costs n verifications and
 not n * n, and no link between components is lost. Frequent signatures are pre-aggregated; joins back are split by
 Spark where a key is frequent (AQE skew join).
@@ -47,7 +47,7 @@ LEAST_SEGMENT = 3
 #: Passes over the signatures, a power of two, and the columns that hold them.
 PASSES = 4
 SIGNATURES = [f"sigs_{p}" for p in range(PASSES)]
-#: 64-bit words of a set's parities.
+#: 64-bit words of a set's parities; large sets have more of them besides (parities_of_large).
 WORDS = 32
 #: Parities that differ between far sets: more than this, and than FAR times what similar sets may differ by.
 #: Sets have at least as many elements apart, so far ones are not similar.
@@ -141,6 +141,18 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parities_of_large(s: np.ndarray) -> np.ndarray:
+    """As parities(), of a set too large for those to tell: in at least twice as many
+    classes as it has elements, the next power of two. Less than that fill up: half of
+    their parities differ at most, which similar sets may. Of sets that do well with
+    WORDS, nothing."""
+    if len(s) <= 32 * WORDS:
+        return np.zeros(0, np.int64)
+    classes = 1 << (2 * len(s) - 1).bit_length()
+    odd = np.bincount((s % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
 
@@ -166,7 +178,7 @@ def _sketches(src: DataFrame, n: int, num: int, den: int, seed: int) -> DataFram
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(a)
-                        odd.append(parities(s))
+                        odd.append(np.concatenate((parities(s), parities_of_large(s))))
                         sigs.append(signatures(s, num, den))
                         ends.append(ends[-1] + len(sigs[-1]))
                     else:
@@ -215,11 +227,22 @@ def _odd_apart(one: str, other: str) -> str:
     return "(" + " + ".join(f"bit_count({one}[{k}] ^ {other}[{k}])" for k in range(WORDS)) + ")"
 
 
+def _wide_apart(one: str, other: str) -> str:
+    """As _odd_apart, by the words after the first WORDS. Where one has twice as many, its
+    halves are put together, which gives its parities in half as many classes; where their
+    numbers are further apart, or one has none, nothing is told (0)."""
+    words = f"(least(size({one}), size({other})) - {WORDS})"
+    both = lambda c: f"({c}[k] ^ if(size({c}) - {WORDS} > {words}, {c}[k + {words}], 0L))"
+    told = f"size({one}) > {WORDS} AND size({other}) > {WORDS} AND greatest(size({one}), size({other})) - {WORDS} <= 2 * {words}"
+    return f"if({told}, aggregate(sequence({WORDS}, {WORDS} - 1 + greatest({words}, 1)), 0, (n, k) -> n + bit_count({both(one)} ^ {both(other)})), 0)"
+
+
 def _parted(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with ``far``: their parities alone show that they are not similar."""
     side = lambda c: marks.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), F.col("odd").alias(f"{c}_odd"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    far = F.expr(f"{_odd_apart('a_odd', 'b_odd')} > greatest({NOT_FAR}, {FAR} * {_most('(a_size + b_size)', num, den)})")
+    least = f"greatest({NOT_FAR}, {FAR} * {_most('(a_size + b_size)', num, den)})"
+    far = F.expr(f"{_odd_apart('a_odd', 'b_odd')} > {least} OR {_wide_apart('a_odd', 'b_odd')} > {least}")
     return both.select("a", "b", "among_more", far.alias("far"))
 
 
@@ -236,6 +259,7 @@ def _stray_pairs(pairs: DataFrame, labels: DataFrame, marks: DataFrame, num: int
         "s_b < l_b OR NOT l_far",
         f"least(s_size, l_size) * {den} >= greatest(s_size, l_size) * {num}",
         f"{_odd_apart('s_odd', 'l_odd')} <= {_most('(s_size + l_size)', num, den)}",
+        f"{_wide_apart('s_odd', 'l_odd')} <= {_most('(s_size + l_size)', num, den)}",
     ]
     on = s["a"] == l["a"]
     for m in meets:
@@ -283,8 +307,8 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
     share one of the first |D| - need + 1 of both; where the first shared stands bounds
     how many can follow. The order is by how many members have the element, rarest
     first: what the head alone has of its own stands in every D and so comes last. No
-    more than the first most + 1 can be needed, and one that no other member has meets
-    none. Pairs with need < 1 are both similar to the head.
+    more than the first most + 1 can be needed, and one that no member of another
+    component has meets none. Pairs with need < 1 are both similar to the head.
 
     A similar pair is found by each head of both and by the element shared first, if by
     any; so it comes from the least such head and that element alone, as far as they are
@@ -303,9 +327,10 @@ def _open_pairs(compared: DataFrame, labels: DataFrame, num: int, den: int) -> D
     parts = []
     for p in range(PASSES):
         mine = compared.select("a", "b", F.filter("differ", lambda x: F.pmod(x, F.lit(PASSES)) == p).alias("differ"))  # noqa: B023
-        elements = mine.where(F.size("differ") > 0).join(members.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("differ").alias("x"))
-        shared = work_table(elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "family-shared")
-        parts.append(work_table(elements.join(shared, ["a", "x"]), "family-met"))
+        elements = mine.where(F.size("differ") > 0).join(members.select("a", "b", "label"), ["a", "b"]).select("a", "b", "label", F.explode("differ").alias("x"))
+        counts = elements.groupBy("a", "x").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("y"), F.max("label").alias("z"))
+        shared = work_table(counts.where("y < z").select("a", "x", "often"), "family-shared")
+        parts.append(work_table(elements.drop("label").join(shared, ["a", "x"]), "family-met"))
         drop_work_table(shared)
     drop_work_table(compared)
     met = reduce(DataFrame.unionByName, parts)
