@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.needed import held, needed
-from ..functions.text import Haystack, audit_norm, best_window, ratio_bound, ratio_from, strip, truncate, window_bounds
+from ..functions.text import Haystack, audit_norm, best_window, best_windows, ratio_bound, ratio_from, strip, truncate
 from ..session import stored
 from .search import beside_documents
 
@@ -75,17 +74,17 @@ def _squeezed(text: str) -> str:
 WINDOW_SIZES = (1.0, 1.2, 0.8)
 
 
-def fuzzy_match(source: str | None, text: str, hay: Haystack | None = None, bounds: np.ndarray | None = None) -> tuple[float, str | None]:
+def fuzzy_match(source: str | None, text: str, hay: Haystack | None = None, window: tuple[float, int, int] | None = None) -> tuple[float, str | None]:
     """(ratio, the text's best window): 1 if the normalised text holds the source, which
     one of white space alone always is; an empty one is not looked for. ``hay`` may give
-    the text in its normal form, ``bounds`` its windows' bounds."""
+    the text in its normal form, ``window`` its best one."""
     if not source:
         return 0.0, None
     hay = hay or Haystack(_squeezed(text))
     needle = _squeezed(source)
     if needle in hay.text:
         return 1.0, source
-    score, at, size = best_window(needle, hay, WINDOW_SIZES, clamp=False, bounds=bounds)
+    score, at, size = best_window(needle, hay, WINDOW_SIZES, clamp=False) if window is None else window
     return (score, text[at : at + size]) if at >= 0 else (0.0, None)
 
 
@@ -110,9 +109,8 @@ def _match_all(asked: list[tuple[tuple[str, Haystack], dict]], least: float = 0.
     are below ``least``."""
     needles = [_squeezed(item["source_text"] or "") for _, item in asked]
     hard = [k for k, ((_, hay), _) in enumerate(asked) if needles[k] not in hay.text]
-    bounds = dict(zip(hard, window_bounds([(needles[k], asked[k][0][1]) for k in hard], WINDOW_SIZES, clamp=False)))
-    far = {k for k in hard if bounds[k].max(initial=0.0) < least}
-    return [(0.0, None) if k in far else fuzzy_match(item["source_text"], text, hay, bounds.get(k)) for k, ((text, hay), item) in enumerate(asked)]
+    windows = dict(zip(hard, best_windows([(needles[k], asked[k][0][1]) for k in hard], WINDOW_SIZES, clamp=False, least=least)))
+    return [fuzzy_match(item["source_text"], text, hay, windows.get(k)) for k, ((text, hay), item) in enumerate(asked)]
 
 
 def verify_quotes(items: DataFrame, docs: DataFrame, threshold: float = 0.85, store: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Items that share one copy of their document.
 A_COPY = 256
 #: Items that are answered together.
-TOGETHER = 256
+TOGETHER = 1024
 
 
 def beside_documents(items: DataFrame, docs: DataFrame, open_document: Callable[[object], Callable[[dict], tuple]], result: str, text: str = "raw_text", order: str = "ord", together: Callable[[list[tuple[object, dict]]], list[tuple]] | None = None) -> DataFrame:
