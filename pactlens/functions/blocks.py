@@ -175,7 +175,7 @@ def matched_all(masks: list[np.ndarray], n: np.ndarray, at: np.ndarray, width: n
     give the runs of the texts. What parts can still match is bounded before each step."""
     got = np.zeros(len(at), np.int64)
     pair, top, bottom, left, right = np.arange(len(at)), np.zeros(len(at), np.int64), n, at, at + width
-    few = np.minimum(n, width)
+    few, bounded = np.minimum(n, width), bool((least > 0).any())
     while True:
         keep = (few > 0) & (got + np.bincount(pair, few, minlength=len(at)) >= least)[pair]
         if not keep.any():
@@ -193,5 +193,5 @@ def matched_all(masks: list[np.ndarray], n: np.ndarray, at: np.ndarray, width: n
         few = np.minimum(bottom - top, right - left)
         open_ = (few > 0) & (got + np.bincount(pair, few, minlength=len(at)) >= least)[pair]
         pair, top, bottom, left, right = (x[open_] for x in (pair, top, bottom, left, right))
-        few = _common(masks, top, bottom, left, right) if len(open_) >= BOUNDED else few[open_]
+        few = _common(masks, top, bottom, left, right) if bounded and len(pair) >= BOUNDED else few[open_]
     return np.where(got >= least, got, -1)

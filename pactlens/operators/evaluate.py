@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio_bound, ratio_from, similarity_udf
+from ..functions.text import Ratios, ratio_bound, ratio_from, similarity_udf
 from .report import percent
 
 OBLIGATION, RISK = (0.6, 0.85), (0.5, 0.8)
@@ -20,20 +21,33 @@ def _same(a, b, other: float) -> float:
     return 1.0 if (a or "").lower() == (b or "").lower() else other
 
 
-def obligation_score(s, t, above: float = -1.0) -> float:
+def obligation_parts(s, t):
+    """The weights of the texts whose similarity counts, and the score that these make."""
     same = 0.15 * _same(s["party"], t["party"], 0.0), 0.1 * _same(s["type"], t["type"], 0.5)
-    return _weighed(s, t, [(0.5, "source_text"), (0.25, "description")], lambda text, other: text + other + same[0] + same[1], above)
+    return [(0.5, "source_text"), (0.25, "description")], lambda text, other: text + other + same[0] + same[1]
 
 
-def risk_score(s, t, above: float = -1.0) -> float:
+def risk_parts(s, t):
     same = 0.3 * (s["category"] == t["category"]) + 0.15 * (1.0 if s["severity"] == t["severity"] else 0.5)
-    return _weighed(s, t, [(0.3, "source_text"), (0.25, "title")], lambda text, title: same + text + title, above)
+    return [(0.3, "source_text"), (0.25, "title")], lambda text, title: same + text + title
+
+
+def obligation_score(s, t, above: float = -1.0) -> float:
+    return _weighed(s, t, *obligation_parts(s, t), above)
+
+
+def risk_score(s, t, above: float = -1.0) -> float:
+    return _weighed(s, t, *risk_parts(s, t), above)
+
+
+@lru_cache(8192)
+def _plain(text: str) -> str:
+    return text.lower().strip()
 
 
 @lru_cache(8192)
 def _prepared(text: str) -> tuple[str, Counter]:
-    text = text.lower().strip()
-    return text, Counter(text)
+    return _plain(text), Counter(_plain(text))
 
 
 def _bound(a: str | None, b: str | None) -> float:
@@ -72,32 +86,110 @@ def _weighed(s, t, texts: list[tuple[float, str]], total, above: float) -> float
     return total(*parts)
 
 
-def match_greedy(system: DataFrame, truth: DataFrame, score=obligation_score, threshold: float = 0.6, exact: float = 0.85) -> DataFrame:
+_known = Ratios()
+
+
+def _matches(mine: list[dict], others: list[dict], parts, threshold: float) -> Generator[list[tuple[str, str]], dict[tuple[str, str], float], list[tuple]]:
+    """(ord, truth_ord, score, whether one is taken) of a document's rows, in order. Yields the pairs of texts
+    whose ratios it needs next and is sent these, so that many documents ask together."""
+    left = {i: x for i, x in enumerate(others)}
+    out = []
+    for one in mine:
+        asked = []
+        for i, other in left.items():
+            weights, total = parts(one["row"], other["row"])
+            pairs, sure = [], []
+            for w, c in weights:
+                a, b = one["row"][c], other["row"][c]
+                pair = None
+                if not a or not b:
+                    x = 0.0
+                elif a == b or (pair := (_plain(a), _plain(b)))[0] == pair[1]:
+                    x, pair = 1.0, None
+                elif not pair[0] or not pair[1]:
+                    x, pair = 0.0, None
+                elif (x := _known.get(pair)) is None:
+                    x = 2.0 * min(map(len, pair)) / sum(map(len, pair))
+                else:
+                    pair = None
+                pairs.append((w, pair))
+                sure.append(w * x)
+            asked.append([total(*sure), i, pairs, sure, total])
+        while True:
+            best = max((x[0] for x in asked if not any(p for _, p in x[2])), default=0.0)
+            need = [x for x in asked if x[0] >= best and any(p for _, p in x[2])]
+            if not need:
+                break
+            # first texts settle most; then one pair after another, the most hopeful first
+            first = [x for x in need if x[2][0][1]]
+            need, k = (first, 0) if first else ([max(need, key=lambda x: x[0])], 1)
+            got = yield [x[2][k][1] for x in need]
+            for x in need:
+                w, pair = x[2][k]
+                x[2][k], x[3][k] = (w, None), w * got[pair]
+                x[0] = x[4](*x[3])
+        best, at = 0.0, None
+        for score, i, pairs, _, _ in asked:
+            if score > best and not any(p for _, p in pairs):
+                best, at = score, i
+        taken = left.pop(at) if at is not None and best >= threshold else None
+        out.append((one["ord"], taken and taken["ord"], best, taken is not None))
+    return out
+
+
+def _together(running: list[Generator]) -> list[list[tuple]]:
+    """The results of all, each step's ratios worked out together."""
+    out: list = [None] * len(running)
+    asked: dict[int, list] = {}
+
+    def go(k: int, got) -> None:
+        try:
+            asked[k] = running[k].send(got)
+        except StopIteration as end:
+            out[k] = end.value
+
+    for k in range(len(running)):
+        go(k, None)
+    while asked:
+        now, known = list(asked), _known.learn([p for pairs in asked.values() for p in pairs])
+        asked.clear()
+        for k in now:
+            go(k, known)
+    return out
+
+
+def _rows(lists: pa.ListArray) -> list[list[dict]]:
+    """Lists of (ord, row), column by column: much faster than one value after another."""
+    place, row = lists.flatten().flatten()
+    names = [f.name for f in row.type]
+    values = [{"ord": k, "row": dict(zip(names, x))} for k, x in zip(place.to_pylist(), zip(*[c.to_pylist() for c in row.flatten()]))]
+    ends = accumulate(n or 0 for n in lists.value_lengths().to_pylist())
+    at = 0
+    return [values[at : (at := end)] for end in ends]
+
+
+#: Documents that are matched together.
+TOGETHER = 8192
+
+
+def match_greedy(system: DataFrame, truth: DataFrame, parts=obligation_parts, threshold: float = 0.6, exact: float = 0.85) -> DataFrame:
     """(doc_id, ord, truth_ord, score, match_type), for each system row in order the best
-    annotation not yet taken; ``score`` may return -1 for a pair that cannot exceed its
-    third argument, the best so far. Later rows depend on earlier ones, so a document's rows
+    annotation not yet taken. Later rows depend on earlier ones, so a document's rows
     are matched in one place, as two lists; documents are independent, and dealt over all
-    tasks, as the work is in seconds and not in bytes."""
+    tasks, as the work is in seconds and not in bytes. Similarities are worked out for many
+    documents together, where bounds leave a pair a chance."""
     kind = system.schema["doc_id"].dataType.simpleString()
     rows = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c != "doc_id"]).alias("row")))).alias(name))
     tasks = int(system.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = rows(system, "mine").join(rows(truth, "others"), "doc_id", "left").repartition(tasks, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k, (mine, others) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                left = {i: x["row"] for i, x in enumerate(others or [])}
-                for one in mine:
-                    best, at = 0.0, None
-                    for i, other in left.items():
-                        x = score(one["row"], other, best)
-                        if x > best:
-                            best, at = x, i
-                    taken = left.pop(at) if at is not None and best >= threshold else None
-                    out.append((k, one["ord"], taken and taken["ord"], best, ("exact" if best >= exact else "partial") if taken else "none"))
-            k, place, other, best, how = (list(c) for c in zip(*out)) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k, pa.int64())), pa.array(place, pa.int32()), pa.array(other, pa.int32()), pa.array(best, pa.float64()), pa.array(how, pa.string())], names=["doc_id", "ord", "truth_ord", "score", "match_type"])
+        for whole in batches:
+            for b in (whole.slice(k, TOGETHER) for k in range(0, whole.num_rows, TOGETHER)):
+                found = _together([_matches(mine, others, parts, threshold) for mine, others in zip(_rows(b.column(1)), _rows(b.column(2)))])
+                out = [(k, place, other, best, "none" if not taken else "exact" if best >= exact else "partial") for k, rows in enumerate(found) for place, other, best, taken in rows]
+                k, place, other, best, how = (list(c) for c in zip(*out)) if out else ([],) * 5
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k, pa.int64())), pa.array(place, pa.int32()), pa.array(other, pa.int32()), pa.array(best, pa.float64()), pa.array(how, pa.string())], names=["doc_id", "ord", "truth_ord", "score", "match_type"])
 
     return both.mapInArrow(run, f"doc_id {kind}, ord int, truth_ord int, score double, match_type string")
 
@@ -163,7 +255,8 @@ def macro(obligations: DataFrame, risks: DataFrame) -> DataFrame:
 
 def match_obligations(system: DataFrame, truth: DataFrame) -> DataFrame:
     """match_greedy() of obligations with the ids of both and a line of details."""
-    found = match_greedy(system, truth, obligation_score, *OBLIGATION)
+    scored = lambda df: df.select("doc_id", "ord", "party", "type", "description", "source_text")
+    found = match_greedy(scored(system), scored(truth), obligation_parts, *OBLIGATION)
     ids = lambda df, place, name: df.select("doc_id", F.col("ord").alias(place), F.col("id").alias(name))
     rows = found.join(ids(system, "ord", "system_id"), ["doc_id", "ord"]).join(ids(truth, "truth_ord", "truth_id"), ["doc_id", "truth_ord"], "left")
     text = F.when(F.col("truth_ord").isNull(), F.format_string("No match found (best score: %.2f)", "score")).otherwise(F.format_string("Matched to %s (score: %.2f)", "truth_id", "score"))
@@ -179,7 +272,7 @@ def match_risks(system: DataFrame, truth: DataFrame) -> DataFrame:
         return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("ord"), "category", "severity", "title", "source_text")
 
     system, truth = placed(system), placed(truth)
-    found = match_greedy(system, truth, risk_score, *RISK)
+    found = match_greedy(system, truth, risk_parts, *RISK)
     of = lambda df, place, name: df.select("doc_id", F.col("ord").alias(place), F.coalesce("category", F.lit("None")).alias(name))
     rows = found.join(of(system, "ord", "mine"), ["doc_id", "ord"]).join(of(truth, "truth_ord", "other"), ["doc_id", "truth_ord"], "left")
     text = F.when(F.col("truth_ord").isNull(), F.format_string("No match (category: %s)", "mine")).otherwise(F.format_string("Category: %s -> %s", "mine", "other"))
