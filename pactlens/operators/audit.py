@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.needed import held, needed
-from ..functions.text import Haystack, audit_norm, best_window, best_windows, ratio_bound, ratio_from, strip, truncate
+from ..functions.text import Haystack, Ratios, audit_norm, best_window, best_windows, ratio_bound, ratio_from, strip, truncate
 from ..session import stored
 from .search import beside_documents
 
@@ -171,13 +171,39 @@ def _open_quotes(quotes: list[str] | None):
     return answer
 
 
-def potential_misses(found: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
+_known = Ratios()
+
+
+def _others(quotes: list[str] | None) -> list[str]:
+    return list(dict.fromkeys(map(_squeezed, quotes or [])))
+
+
+def _likeness(asked: list[tuple[list[str], dict]], enough: float) -> list[tuple]:
+    """(ratio,) of each sentence to the quote most like it, worked out for all together; a
+    sentence with a quote of ``enough`` may have less than its best."""
+    rows, tried = [], []
+    for others, item in asked:
+        a = _squeezed(item["sentence"])
+        best, rest = (1.0, []) if a in others else (0.0, [q for q in others if a and q])
+        for q in rest:
+            if (x := _known.get((a, q))) is not None and x > best:
+                best = x
+        rows.append([a, best])
+        tried.append([] if best >= enough else [(a, q) for q in rest if 2.0 * min(len(a), len(q)) / (len(a) + len(q)) > best])
+    got = _known.learn([pair for pairs in tried for pair in pairs])
+    return [(max([best, *(got[p] for p in pairs)]),) for (_, best), pairs in zip(rows, tried)]
+
+
+def potential_misses(found: DataFrame, items: DataFrame, threshold: float = 0.7, store: str | None = None) -> DataFrame:
     """Keyword sentences unlike every quote of their document: an anti-join by similarity.
 
-    A document's quotes are sent once for all of its sentences; a pair whose longest common
-    subsequence rules out more than the best so far is not looked at."""
+    A document's quotes are sent once for all of its sentences. A sentence that one quote
+    is like is not compared further, pairs that recur are compared once, and what is left
+    of many documents is compared together. Sentences are counted, then sent: with a path
+    ``store`` they are written there once and read back."""
+    found = stored(found, store)
     quotes = items.where(F.coalesce("source_text", F.lit("")) != "").groupBy("doc_id").agg(F.collect_set("source_text").alias("quotes"))
-    rows = beside_documents(found, quotes, _open_quotes, "similarity_to_existing double", text="quotes", order="line_number")
+    rows = beside_documents(found, quotes, _others, "similarity_to_existing double", text="quotes", order="line_number", together=partial(_likeness, enough=threshold))
     return rows.where(F.col("similarity_to_existing") < threshold)
 
 
